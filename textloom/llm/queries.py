@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe_codec, media_mpeg, token_counts
+from textloom.llm import bpe_codec, media_mpeg, quality_gbdt, token_counts, toxicity_knn
 
 #: Where the vocabulary files of public tokenizers are; never copied into the repository.
 TOKEN_LIMIT = 4096
@@ -44,8 +44,32 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.decode_ids(encoded, ranks, pattern, keep_bytes=False)
 
 
+def _remainder(divisor: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(divisor))
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality_gbdt.Trees:
+    """Fitted on labelled rows outside the held-out fold."""
+    return quality_gbdt.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", _remainder(5) != 0)
+
+
+def op8_quality_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_gbdt.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def toxicity_index(spark: SparkSession, sf_dir: str) -> toxicity_knn.Index:
+    """Examples from labelled rows outside the held-out fold."""
+    return toxicity_knn.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", _remainder(4) != 2)
+
+
+def op10_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity_knn.score(table(spark, sf_dir, "documents"), toxicity_index(spark, sf_dir))
+    return scored.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted", "evidence")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_media_mpeg, op7_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op2_media_mpeg, op7_byte_bpe, op8_quality_gbdt, op10_toxicity_knn)}
 
 
 def oracle_sql() -> dict[str, str]:
