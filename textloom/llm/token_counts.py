@@ -122,11 +122,11 @@ def count_tokens(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
             n_bytes, n_tokens, n_units, n_missed = [], [], [], []
             for text in batch.column(1).to_pylist():
                 parts = lengths.split(text)
-                missed = list(set(parts) - known.keys())
+                missed = list(set(parts).difference(known))
                 if missed:
                     if len(known) > CACHE:
                         known = dict(frequent)
-                        missed = list(set(parts) - known.keys())
+                        missed = list(set(parts).difference(known))
                     known.update(zip(missed, lengths.lengths(missed), strict=True))
                 n_tokens.append(sum(map(known.__getitem__, parts)))
                 for unit in missed:
