@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe_codec, media_mpeg, quality_gbdt, token_counts, toxicity_knn
+from textloom.llm import bpe_codec, media_mpeg, ngram_join, quality_gbdt, token_counts, toxicity_knn
 
 #: Where the vocabulary files of public tokenizers are; never copied into the repository.
 TOKEN_LIMIT = 4096
@@ -68,8 +68,12 @@ def op10_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_media_mpeg, op7_byte_bpe, op8_quality_gbdt, op10_toxicity_knn)}
+    return {f.__name__: f for f in (op1_token_counts, op2_media_mpeg, op7_byte_bpe, op8_quality_gbdt, op9_ngram_join, op10_toxicity_knn)}
 
 
 def oracle_sql() -> dict[str, str]:
