@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe_codec, media_mpeg, ngram_join, quality_gbdt, token_counts, toxicity_knn
+from textloom.llm import bpe_codec, fm_decontam, media_mpeg, ngram_join, quality_gbdt, token_counts, toxicity_knn
 
 #: Where the vocabulary files of public tokenizers are; never copied into the repository.
 TOKEN_LIMIT = 4096
@@ -38,6 +38,15 @@ def op2_media_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_mpeg.probe_media(media_mpeg.store_texts(table(spark, sf_dir, "documents")), with_offsets=False).drop("seek_offsets")
 
 
+def op4_fm_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fm_decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = fm_decontam.hit_words(F.col("spans"))
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        fm_decontam.items_digest(F.col("items")).alias("items_sha256"), fm_decontam.is_contaminated(n_hit, F.col("n_words")).alias("contaminated"),
+    )
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = tokenizer_file("byte_bpe_50k.tiktoken"), split_pattern()
     encoded = bpe_codec.encode_texts(table(spark, sf_dir, "documents"), ranks, pattern)
@@ -73,7 +82,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_media_mpeg, op7_byte_bpe, op8_quality_gbdt, op9_ngram_join, op10_toxicity_knn)}
+    return {f.__name__: f for f in (op1_token_counts, op2_media_mpeg, op4_fm_decontam, op7_byte_bpe, op8_quality_gbdt, op9_ngram_join, op10_toxicity_knn)}
 
 
 def oracle_sql() -> dict[str, str]:
