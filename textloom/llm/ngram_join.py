@@ -9,7 +9,8 @@
    itself and counts 1; frequent ones fall into sub-classes, every pair inside a sub-class is a signature, and p of them count
    p - 1.  The number of sub-classes follows the size of the set, so sets sign under the schemes of their own size
    bucket and of the next: sets that can link differ by one bucket at most.
-4. Verify, in two rounds.  First each class against one other with which it shares most signatures.  Then, where a
+4. Verify.  A pair's parity sketches first: bits that differ bound the symmetric difference from below, so a pair they rule out cannot
+   link; the texts of the others are compared.  This goes in two rounds.  First each class against one other with which it shares most signatures.  Then, where a
    signature still joins different components, every pair across components is verified.  Pairs inside a component are settled.
    Signatures of frequent shingles are dealt out with a salt, a group's smallest class stands for it across salts.
 
@@ -35,8 +36,10 @@ from textloom.llm.components import components
 WORDS = 5
 PERCENT = 80
 #: Shards in which shared shingles are counted, how many sets must share one there, and the size of the table: speed only.
-SHARD_SHINGLES, SHARED, TABLE = 4 << 20, 4, 1 << 18
-FREQUENT = 16
+SHARD_SHINGLES, SHARED, TABLE = 4 << 20, 2, 1 << 19
+FREQUENT = 8
+#: Bits of a set's parity sketch.
+SKETCH = 1024
 SUBCLASS = 25
 SALT_ROWS = 4096
 _U = np.uint64
@@ -77,6 +80,11 @@ def node_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def sketch_of(s: np.ndarray) -> bytes:
+    """For each of ``SKETCH`` residues whether an odd number of shingles has it."""
+    return np.packbits(np.bincount((s & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, n, node) of every document, and rows (null, times, shingle) of what a shard's different sets share."""
     held, size, nodes = [], 0, set()
@@ -87,13 +95,16 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times = np.diff(np.append(at, len(s)))
         many = times >= SHARED
         key = s[at][many].view(np.int64)
-        return pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(key), pa.int64()), "n": times[many].astype(np.int64), "node": key, "shared": np.ones(len(key), bool)})
+        return pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(key), pa.int64()), "n": times[many].astype(np.int64), "node": key, "shared": np.ones(len(key), bool), "sketch": pa.nulls(len(key), pa.binary())})
 
     for batch in batches:
         for i, j, buf, off in text_chunks(batch):
             sets = shingle_sets(buf, off)
             found = [node_of(s) for s in sets]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)[i:j], "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(found, pa.int64()), "shared": pa.array(np.zeros(j - i, bool))})
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column(0)[i:j], "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(found, pa.int64()),
+                "shared": pa.array(np.zeros(j - i, bool)), "sketch": pa.array([sketch_of(s) for s in sets], pa.binary()),
+            })
             for node, s in zip(found, sets, strict=True):
                 if node not in nodes:
                     nodes.add(node)
@@ -258,8 +269,21 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i, j - i).filter(pa.array(same))
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    with_v = pairs.join(texts.toDF("v", "text_v"), "v")
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (u, v, both sizes, both sketches) that their sketches do not rule out."""
+    for batch in batches:
+        size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), _U).reshape(len(size), -1) for c in (4, 5))
+        differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+        keep = pa.array(differ * (100 + PERCENT) <= size * (100 - PERCENT))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
+
+
+def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    both = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "n_u", "n_v", "sketch_u", "sketch_v")
+    left = both.mapInArrow(_possible, "u long, v long")
+    with_v = left.join(texts.toDF("v", "text_v"), "v")
     return with_v.join(texts.toDF("u", "text_u"), "u").select("u", "v", "text_u", "text_v").mapInArrow(_verified, "u long, v long")
 
 
@@ -267,8 +291,8 @@ def linked_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_shingles, component_id): the size of each document's set, and the smallest id that links reach."""
     spark = prepare(df.sparkSession)
     docs = documents_of(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    survey = stored(docs.mapInArrow(_survey, "doc_id long, n long, node long, shared boolean"), "join-survey")
-    members = survey.where("not shared").drop("shared")
+    survey = stored(docs.mapInArrow(_survey, "doc_id long, n long, node long, shared boolean, sketch binary"), "join-survey")
+    members = survey.where("not shared").select("doc_id", "n", "node")
     frequent = survey.where("shared").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     top = frequent.orderBy(F.desc("n"), "node").limit(TABLE).toArrow()  # a table of bounded size; what it lacks counts as rare
     keys = top.column("node").to_numpy().view(_U)
@@ -309,12 +333,13 @@ def linked_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tops = groups.where("salts > 1 and lead = node").join(salted, "sign").where("top < node").select(F.col("node").alias("u"), F.col("top").alias("v"))
     shares = led.union(tops).groupBy("u", "v").agg(F.count("*").alias("c"))
     pairs = shares.groupBy("u").agg(F.max(F.struct("c", "v"))["v"].alias("v"))
-    involved = groups.select("node").distinct()
     names = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = names.join(involved, "node").where("doc_id is not null")
+    sketched = survey.where("not shared and n > 0").select("node", "n", "sketch")
+    nodes = stored(groups.select("node").distinct().join(sketched, "node").groupBy("node", "n").agg(F.first("sketch").alias("sketch")), "join-nodes")
+    wanted = names.join(nodes.select("node"), "node").where("doc_id is not null")
     named_texts = docs.join(wanted, "doc_id").select("doc_id", "node", "text").distinct()  # partitioned by the join already
     texts = stored(named_texts.select("node", "text").mapInArrow(_own, "node long, text string"), "join-texts")
-    first = stored(_verify(pairs, texts), "join-links")
+    first = stored(_verify(pairs, nodes, texts), "join-links")
     roots = components(first)
 
     # round two: pairs across components under a shared signature
@@ -322,9 +347,9 @@ def linked_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     mixed = placed.groupBy("sign").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("sign")
     crossing = placed.join(mixed, "sign", "left_semi").select("sign", "node", "n", "root")
     rest = crossing.repartition(width, "sign").mapInArrow(_across, "u long, v long").distinct()
-    second = stored(_verify(rest.join(pairs, ["u", "v"], "left_anti"), texts), "join-links")
+    second = stored(_verify(rest.join(pairs, ["u", "v"], "left_anti"), nodes, texts), "join-links")
     linked = components(first.union(second))
-    for used in (groups, texts, first, second, roots):
+    for used in (groups, nodes, texts, first, second, roots):
         dropped(used)
 
     reach = names.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
