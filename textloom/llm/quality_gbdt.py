@@ -199,3 +199,16 @@ def score(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "
 
     docs = documents_of(df, id_col, text_col)
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+
+
+def accepted(df: DataFrame, trees: Trees, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df``, with all their columns, whose text scores at least ``threshold``; one pass, no join."""
+    spark = prepare(df.sparkSession)
+    shared = spark.sparkContext.broadcast(trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, buf, off in text_chunks(batch, column=text_col):
+                yield batch.slice(i, j - i).filter(pa.array(shared.value.scores(statistics(buf, off)) >= threshold))
+
+    return df.mapInArrow(run, df.schema)

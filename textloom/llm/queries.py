@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe_codec, fm_decontam, media_mpeg, ngram_join, quality_gbdt, token_counts, toxicity_knn
+from textloom.llm import bpe_codec, fm_decontam, media_mpeg, ngram_join, quality_gbdt, token_counts, tool_chat, toxicity_knn, url_cascade, xent_lm
 
 #: Where the vocabulary files of public tokenizers are; never copied into the repository.
 TOKEN_LIMIT = 4096
@@ -38,6 +38,32 @@ def op2_media_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_mpeg.probe_media(media_mpeg.store_texts(table(spark, sf_dir, "documents")), with_offsets=False).drop("seek_offsets")
 
 
+#: Fixed by the contract: (action, host, path).
+URL_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
+
+
+def op3_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "action string, host string, path string")
+    return url_cascade.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+OP3_SQL = """
+WITH parsed AS (
+  SELECT page_id,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)
+), rules(action, rule_host, rule_path) AS (
+  VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('allow', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), ranked AS (
+  SELECT page_id, host, path, rule_host || rule_path AS rule, action,
+    row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS at
+  FROM parsed LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM ranked WHERE at = 1
+"""
+
+
 def op4_fm_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fm_decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = fm_decontam.hit_words(F.col("spans"))
@@ -47,34 +73,60 @@ def op4_fm_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_xent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the texts of ``conversations``; background: all ``documents``."""
+    documents = table(spark, sf_dir, "documents")
+    return xent_lm.score(documents, xent_lm.fit(table(spark, sf_dir, "conversations"), documents))
+
+
+#: The tools that turns of ``conversations`` are calls of: what a system turn sets and what a user turn asks.
+CHAT_TOOLS = {
+    "configure": {"type": "object", "required": ["text"], "additionalProperties": False, "properties": {"text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "maximum": 0}}},
+    "ask": {"type": "object", "required": ["text", "turn"], "properties": {"text": {"type": "string", "minLength": 1, "maxLength": 400}, "turn": {"type": "integer", "minimum": 0}}},
+}
+
+
+def op6_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """System and user turns as calls, each assistant turn as the result of the turn before it; a call needs the last two turns' calls."""
+    turns = table(spark, sf_dir, "conversations")
+    call_id = lambda back: F.concat_ws("-", "conv_id", (F.col("turn") - back).cast("string"))
+    calls = turns.where("role <> 'assistant'").select(
+        "conv_id", call_id(0).alias("call_id"), "turn", F.when(F.col("role") == "system", "configure").otherwise("ask").alias("name"),
+        F.to_json(F.struct("turn", "text")).alias("arguments"), F.array(call_id(1), call_id(2)).alias("needs"),
+    )
+    results = turns.where("role = 'assistant'").select("conv_id", call_id(1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return tool_chat.link_calls(calls, results, CHAT_TOOLS)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = tokenizer_file("byte_bpe_50k.tiktoken"), split_pattern()
     encoded = bpe_codec.encode_texts(table(spark, sf_dir, "documents"), ranks, pattern)
     return bpe_codec.decode_ids(encoded, ranks, pattern, keep_bytes=False)
 
 
-def _remainder(divisor: int) -> Column:
+def fold(divisor: int) -> Column:
+    """The fold of a document by its id, as the contracts count."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(divisor))
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> quality_gbdt.Trees:
     """Fitted on labelled rows outside the held-out fold."""
-    return quality_gbdt.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", _remainder(5) != 0)
+    return quality_gbdt.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", fold(5) != 0)
 
 
 def op8_quality_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_gbdt.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
-    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
 def toxicity_index(spark: SparkSession, sf_dir: str) -> toxicity_knn.Index:
     """Examples from labelled rows outside the held-out fold."""
-    return toxicity_knn.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", _remainder(4) != 2)
+    return toxicity_knn.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", fold(4) != 2)
 
 
 def op10_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity_knn.score(table(spark, sf_dir, "documents"), toxicity_index(spark, sf_dir))
-    return scored.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted", "evidence")
+    return scored.select("doc_id", (fold(4) == 2).alias("held_out"), "score", "predicted", "evidence")
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +134,8 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_media_mpeg, op4_fm_decontam, op7_byte_bpe, op8_quality_gbdt, op9_ngram_join, op10_toxicity_knn)}
+    return {f.__name__: f for f in (op1_token_counts, op2_media_mpeg, op3_url_cascade, op4_fm_decontam, op5_xent_lm, op6_tool_chat, op7_byte_bpe, op8_quality_gbdt, op9_ngram_join, op10_toxicity_knn)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_cascade": OP3_SQL}

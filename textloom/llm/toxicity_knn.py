@@ -243,3 +243,21 @@ def score(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "
                 })
 
     return docs.mapInArrow(run, f"doc_id {kind}, score double, predicted int, votes double, evidence array<struct<doc_id: {kind}, cosine: double, label: int>>")
+
+
+def accepted(df: DataFrame, index: Index, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df``, with all their columns, whose text scores below ``threshold``; one pass, no join."""
+    spark = prepare(df.sparkSession)
+    shared = spark.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            for i, j, buf, off in text_chunks(batch, column=text_col):
+                if index.constant is None:
+                    s = index.score(np.array([index.votes(*index.nearest(t, w)) for t, w in index.vectors(buf, off)]))
+                else:
+                    s = np.full(j - i, index.constant)
+                yield batch.slice(i, j - i).filter(pa.array(s < threshold))
+
+    return df.mapInArrow(run, df.schema)
