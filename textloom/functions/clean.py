@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that are never a fragment, and prefixes that get stuck to the next word, in the order of their tests.
 WHOLE_WORDS = "the and that with from this they have been are was were will clean clear can for not but all has".split()
@@ -47,7 +48,7 @@ def _joined(m: re.Match) -> str:
     return m.group(0) if apart else a + b
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fixed_split_words(text: pd.Series) -> pd.Series:
     """Fragments rejoined; a pair that is left alone still uses up its second word, which no single pattern can say."""
     for rx in _SPLITS:

@@ -57,7 +57,8 @@ def pair_counts(sents: DataFrame, terms: list[str], case_sensitive: bool = False
     each = found.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("k"))
     total = F.broadcast(sents.agg(F.count("*").alias("n")))  # one row
     # `each` has at most one row a listed term
-    return both.join(each.select(F.col("t").alias("t1"), F.col("k").alias("n1")), "t1").join(each.select(F.col("t").alias("t2"), F.col("k").alias("n2")), "t2").join(total)
+    joined = both.join(each.select(F.col("t").alias("t1"), F.col("k").alias("n1")), "t1").join(each.select(F.col("t").alias("t2"), F.col("k").alias("n2")), "t2").join(total)
+    return joined.select("t1", "t2", "a", "n1", "n2", "n")
 
 
 def pmi(counts: DataFrame) -> DataFrame:

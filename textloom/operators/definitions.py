@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TERM = r"([\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*)"
@@ -22,7 +22,11 @@ PATTERNS = {
 def definitional_contexts(sents: DataFrame, patterns: dict[str, str] | None = None, case_sensitive: bool = False) -> DataFrame:
     """(doc_id, sent_index, sentence, kind, term): every match of every pattern in every sentence, one pass over them."""
     flag = "(?U)" if case_sensitive else "(?iU)"
-    found = [F.transform(F.regexp_extract_all("sentence", F.lit(flag + p), F.lit(1)), lambda t, k=k: F.struct(F.lit(k).alias("kind"), t.alias("term"))) for k, p in (patterns or PATTERNS).items()]
+
+    def matches(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("sentence", F.lit(flag + pattern), F.lit(1)), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
+
+    found = [matches(k, p) for k, p in (patterns or PATTERNS).items()]
     return sents.select("doc_id", "sent_index", "sentence", F.explode(F.flatten(F.array(*found))).alias("m")).select("doc_id", "sent_index", "sentence", "m.kind", "m.term")
 
 

@@ -62,11 +62,11 @@ _PARTS = {
     + " UNION ALL ".join(f"SELECT doc_id, sent_index, sentence, '{k}' AS kind, regexp_extract_all(sentence, '(?i){p.replace(chr(39), chr(39) * 2)}', 1) AS found FROM sentences" for k, p in definitions.PATTERNS.items())
     + "))",
     "hits": f"hits AS (SELECT *, lower(sentence) AS low FROM sentences WHERE contains(lower(sentence), '{TERM}'))",
-    "occ": f"occ AS (SELECT doc_id, sent_index, sentence, at FROM (SELECT *, unnest(range(0, length(low) - {len(TERM) - 1})) AS at FROM hits) WHERE substr(low, at + 1, {len(TERM)}) = '{TERM}')",
-    "kw": f"""kw AS (SELECT doc_id, sent_index, at, keyword,
+    "occ": f"""occ AS (SELECT doc_id, sent_index, sentence, "at" FROM (SELECT *, unnest(range(0, length(low) - {len(TERM) - 1})) AS "at" FROM hits) WHERE substr(low, "at" + 1, {len(TERM)}) = '{TERM}')""",
+    "kw": f"""kw AS (SELECT doc_id, sent_index, "at", keyword,
     trim(CASE WHEN instr(l, ' ') > 1 AND instr(l, ' ') < length(l) THEN substr(l, instr(l, ' ') + 1) ELSE l END) AS left_context,
     trim(CASE WHEN contains(r, ' ') AND length(r) - instr(reverse(r), ' ') + 1 > 1 THEN substr(r, 1, length(r) - instr(reverse(r), ' ')) ELSE r END) AS right_context
-  FROM (SELECT doc_id, sent_index, at, substr(sentence, greatest(at - 50, 0) + 1, at - greatest(at - 50, 0)) AS l, substr(sentence, at + 1, {len(TERM)}) AS keyword, substr(sentence, at + {len(TERM) + 1}, 50) AS r FROM occ))""",
+  FROM (SELECT doc_id, sent_index, "at", substr(sentence, greatest("at" - 50, 0) + 1, "at" - greatest("at" - 50, 0)) AS l, substr(sentence, "at" + 1, {len(TERM)}) AS keyword, substr(sentence, "at" + {len(TERM) + 1}, 50) AS r FROM occ))""",
     "content": f"""content AS (SELECT * FROM toks WHERE regexp_matches(pos, '^(NN|VB|JJ)') AND lemma NOT IN ({_quoted(STOPWORDS)}) AND regexp_matches(lemma, '[\\p{{L}}\\p{{N}}]')), freq AS (SELECT lemma AS term, count(*) AS f FROM content GROUP BY 1)""",
     "sig": f"""sig AS (SELECT doc_id, sent_index, term, score FROM (SELECT b.*, 10 * ln(1 + f) / ln(1 + (SELECT max(f) FROM freq)) AS score FROM (SELECT DISTINCT doc_id, sent_index, lemma AS term FROM content WHERE lemma <> '{TERM}' AND (doc_id, sent_index) IN (SELECT (doc_id, sent_index) FROM hits)) b JOIN freq USING (term)) WHERE score >= 0.1)""",
     "side": "side AS (SELECT * FROM (SELECT doc_id, sent_index, sentence, trim(unnest(regexp_split_to_array(lower(sentence), '\\s+')), '.,;:!?\"()[]{}') AS word FROM sentences) WHERE word <> '')",
@@ -395,7 +395,7 @@ def example_sentences(spark, sf):
 
 
 @query("""-- occ
-SELECT doc_id, sent_index, sentence, list(at::INT ORDER BY at) AS term_positions FROM occ GROUP BY 1, 2, 3""")
+SELECT doc_id, sent_index, sentence, list("at"::INT ORDER BY "at") AS term_positions FROM occ GROUP BY 1, 2, 3""")
 def find_sentences(spark, sf):
     return search.find_sentences(_sents(spark, sf), TERM)
 
@@ -426,19 +426,19 @@ def find_lemma(spark, sf):
 
 
 @query("""-- kw
-SELECT doc_id, sent_index, at, left_context, keyword, right_context FROM kw""")
+SELECT doc_id, sent_index, "at", left_context, keyword, right_context FROM kw""")
 def kwic(spark, sf):
     return search.concordance(_sents(spark, sf), TERM)
 
 
 @query("""-- kw
-SELECT doc_id, sent_index, at, left_context, keyword, right_context FROM kw ORDER BY reverse(lower(left_context)), doc_id, sent_index, at""")
+SELECT doc_id, sent_index, "at", left_context, keyword, right_context FROM kw ORDER BY reverse(lower(left_context)), doc_id, sent_index, "at" """)
 def kwic_sorted(spark, sf):
     return search.concordance_sorted(search.concordance(_sents(spark, sf), TERM))
 
 
 @query("""-- kw
-SELECT doc_id, sent_index, at, left_context, keyword, right_context FROM kw WHERE contains(lower(left_context || ' ' || right_context), 'was') OR contains(lower(left_context || ' ' || right_context), 'tion')""")
+SELECT doc_id, sent_index, "at", left_context, keyword, right_context FROM kw WHERE contains(lower(left_context || ' ' || right_context), 'was') OR contains(lower(left_context || ' ' || right_context), 'tion')""")
 def kwic_filtered(spark, sf):
     return search.concordance_filtered(search.concordance(_sents(spark, sf), TERM), ["was", "tion"])
 
@@ -483,7 +483,7 @@ def dispersion_plot(spark, sf):
 
 
 @query("""-- sents
-SELECT doc_id, start, hits, round(hits / 10, 9) AS density FROM (SELECT doc_id, sent_index::INT AS start, sum(contains(lower(sentence), 'was')::INT) OVER w AS hits, count(*) OVER w AS size FROM sentences WINDOW w AS (PARTITION BY doc_id ORDER BY sent_index ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)) WHERE size = 10 AND hits >= 3""")
+SELECT doc_id, start, hits, round(hits / 10, 9) AS density FROM (SELECT doc_id, sent_index::INT AS start, (sum(contains(lower(sentence), 'was')::INT) OVER w)::BIGINT AS hits, count(*) OVER w AS size FROM sentences WINDOW w AS (PARTITION BY doc_id ORDER BY sent_index ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)) WHERE size = 10 AND hits >= 3""")
 def dense_regions(spark, sf):
     return search.dense_regions(_sents(spark, sf), "was").select("doc_id", "start", "hits", _r("density"))
 
@@ -530,7 +530,7 @@ def cooccur_paragraph(spark, sf):
 
 
 @query("""-- side
-SELECT word, sum(times) AS n FROM side JOIN (SELECT s.doc_id, s.sent_index, count(*) AS times FROM sentences s JOIN sentences h ON s.doc_id = h.doc_id AND abs(s.sent_index - h.sent_index) <= 3 AND contains(lower(h.sentence), 'was') GROUP BY 1, 2) USING (doc_id, sent_index) WHERE word <> 'was' GROUP BY 1""")
+SELECT word, sum(times)::BIGINT AS n FROM side JOIN (SELECT s.doc_id, s.sent_index, count(*) AS times FROM sentences s JOIN sentences h ON s.doc_id = h.doc_id AND abs(s.sent_index - h.sent_index) <= 3 AND contains(lower(h.sentence), 'was') GROUP BY 1, 2) USING (doc_id, sent_index) WHERE word <> 'was' GROUP BY 1""")
 def cooccur_within_n(spark, sf):
     return cooccurrence.within_n(_sents(spark, sf), "was")
 
@@ -624,8 +624,8 @@ def graph_prune_nodes(spark, sf):
     return graph.prune_nodes(_graph(spark, sf), 3).nodes.select("id")
 
 
-@query("""-- edges
-SELECT src, dst, weight FROM edges WHERE src IN ('and', 'the', 'of') AND dst IN ('and', 'the', 'of')""")
+@query("""-- half
+SELECT t1 AS src, t2 AS dst, score AS weight FROM half WHERE score >= 50 AND t1 IN ('and', 'the', 'of') AND t2 IN ('and', 'the', 'of')""")
 def graph_subgraph(spark, sf):
     return graph.subgraph(_graph(spark, sf), spark.createDataFrame([("and",), ("the",), ("of",)], "term string")).edges.select("src", "dst", "weight")
 
