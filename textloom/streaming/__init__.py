@@ -1 +1 @@
-"""See the package documentation."""
+"""Structured Streaming: documents annotated as they arrive, and running counts of terms."""
