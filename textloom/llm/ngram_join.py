@@ -10,8 +10,9 @@
    p - 1.  The number of sub-classes follows the size of the set, so sets sign under the schemes of their own size
    bucket and of the next: sets that can link differ by one bucket at most.
 4. Verify.  A pair's parity sketches first: bits that differ bound the symmetric difference from below, so a pair they rule out cannot
-   link; the texts of the others are compared.  This goes in two rounds.  First each class against one other with which it shares most signatures.  Then, where a
-   signature still joins different components, every pair across components is verified.  Pairs inside a component are settled.
+   link; the texts of the others are compared.  This goes in rounds.  First each class against the smallest set of most of its signatures.  Then, where a
+   signature still joins different components, first a forest of the likely pairs, and at last every pair across components is verified that sizes allow.  Pairs inside a component are settled; sets that share no rare
+   signature share frequent shingles at most, which bounds what they can have in common.
    Signatures of frequent shingles are dealt out with a salt, a group's smallest class stands for it across salts.
 
 Defined cases: null or empty text, or no word: size 0, linked with nothing.  Fewer words than a shingle: the whole sequence is the one
@@ -42,6 +43,8 @@ FREQUENT = 8
 SKETCH = 1024
 SUBCLASS = 25
 SALT_ROWS = 4096
+#: Groups of more rows carry sketches along; speed only.
+LARGE = 64
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _SHORT = np.arange(WORDS, dtype=_U) * _GOLD
@@ -141,12 +144,13 @@ class Signer:
         self.rank = np.empty(len(keys), np.int64)
         self.rank[order] = np.arange(len(keys))
 
-    def __call__(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(signatures, salts): a salt above 1 says over how many parts the signature's group is dealt."""
+    def __call__(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(signatures, salts, most): a salt above 1 says over how many parts a signature's group is dealt; ``most``: how many
+        shingles the set can share with another that has none of its rare signatures - all, for a rare signature itself."""
         n = len(s)
         need = errors_allowed(n, self.percent) + 1
         if n < 2:  # links with equal sets only
-            return np.empty(0, _U), np.empty(0, np.int64)
+            return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
             known = self.keys[at] == s
@@ -171,65 +175,105 @@ class Signer:
                     a, b = part[x], part[y]
                     signs.append(mix(self.keys[a] * _GOLD + mix(self.keys[b] + _U(bucket + 1))))
                     salts.append(1 + np.minimum(self.counts[a], self.counts[b]) // SALT_ROWS)
-        return np.concatenate(signs), np.concatenate(salts)
-
-
-def _pairs_in(sign: np.ndarray, salt: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Where groups of equal (sign, salt) start, over rows sorted by sign, salt, node."""
-    new = np.ones(len(sign), bool)
-    new[1:] = (sign[1:] != sign[:-1]) | (salt[1:] != salt[:-1])
+        signs = np.concatenate(signs)
+        most = np.full(len(signs), int(known.sum()))
+        most[: len(rare)] = n
+        return signs, np.concatenate(salts), most
+
+
+def _starts_of(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
     return np.flatnonzero(new)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
-    table = pa.Table.from_batches(list(batches))
+    held = list(batches)
+    table = pa.Table.from_batches(held) if held else []
     return {c: table.column(c).to_numpy() for c in table.column_names} if len(table) else {}
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the signatures that different sets share, each with its group's smallest node (``lead``)."""
+    """Rows of the signatures that different sets share, each with its group's smallest set (``lead``), the likeliest to link with many."""
     rows = _gathered(batches)
     if not rows:
         return
-    order = np.lexsort((rows["node"], rows["salt"], rows["sign"]))
-    sign, salt, node, n, salts = (rows[c][order] for c in ("sign", "salt", "node", "n", "salts"))
+    order = np.lexsort((rows["node"], rows["n"], rows["salt"], rows["sign"]))
+    rows = {c: v[order] for c, v in rows.items()}
+    sign, salt, node = rows["sign"], rows["salt"], rows["node"]
     keep = np.ones(len(sign), bool)
     keep[1:] = (sign[1:] != sign[:-1]) | (salt[1:] != salt[:-1]) | (node[1:] != node[:-1])
-    sign, salt, node, n, salts = sign[keep], salt[keep], node[keep], n[keep], salts[keep]
-    at = _pairs_in(sign, salt, node)
+    rows = {c: v[keep] for c, v in rows.items()}
+    sign, node = rows["sign"], rows["node"]
+    at = _starts_of(sign, rows["salt"])
     lens = np.diff(np.append(at, len(sign)))
-    lead = np.repeat(node[at], lens)
-    wanted = np.flatnonzero(np.repeat(lens > 1, lens) | (salts > 1))
+    rows["lead"] = np.repeat(node[at], lens)
+    wanted = np.flatnonzero(np.repeat(lens > 1, lens) | (rows["salts"] > 1))
     for i in range(0, len(wanted), 1 << 16):
         w = wanted[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_pydict({"sign": sign[w], "node": node[w], "n": n[w], "lead": lead[w], "salts": salts[w]})
+        yield pa.RecordBatch.from_pydict({c: rows[c][w] for c in ("sign", "node", "n", "most", "lead", "salts")})
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one signature that stand in different components and whose sizes allow a link."""
-    rows = _gathered(batches)
-    if not rows:
+def _across(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of one signature that stand in different components and that sizes, ``most`` and sketches (if there) allow to link.
+
+    ``forest``: of the pairs found in one task only some that connect as much as all of them.
+    """
+    held = list(batches)
+    table = pa.Table.from_batches(held) if held else None
+    if not table or not len(table):
         return
-    order = np.lexsort((rows["n"], rows["sign"]))
-    sign, node, n, root = (rows[c][order] for c in ("sign", "node", "n", "root"))
-    ends = np.append(_pairs_in(sign, np.zeros(len(sign)), node), len(sign))
-    held, size = [], 0
+    rows = {c: table.column(c).to_numpy() for c in ("sign", "node", "n", "most", "root")}
+    order = np.lexsort((rows["node"], rows["n"], rows["sign"]))
+    sign, node, n, most, root = (rows[c][order] for c in ("sign", "node", "n", "most", "root"))
+    n, most = n.astype(np.int64), most.astype(np.int64)
+    sketches = table.column("sketch").combine_chunks().take(pa.array(order))
+    ends = np.append(_starts_of(sign), len(sign))
+    found, size, above = [np.empty((0, 2), np.int64)], 0, {}
+
+    def top_of(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = x = above.get(up, up)
+        return x
 
     def out() -> pa.RecordBatch:
-        p = np.unique(np.concatenate(held), axis=0) if held else np.empty((0, 2), np.int64)
+        p = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_pydict({"u": p[:, 0], "v": p[:, 1]})
 
     for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        last = np.searchsorted(n[i:j], n[i:j] * 100 // PERCENT, "right") + i
-        for x in range(i, j):
-            y = np.arange(x + 1, last[x - i])
-            y = y[root[y] != root[x]]
+        # overlap o >= PERCENT (a + b) / (100 + PERCENT), and o <= most of either: who fails that beside the smallest set fails beside all
+        able = most[i:j] * (100 + PERCENT) >= PERCENT * (n[i:j] + n[i])
+        at = np.arange(i, j)[able]
+        if len(at) < 2 or (root[at] == root[at[0]]).all():
+            continue
+        last = np.searchsorted(n[at], np.minimum(n[at] * 100 // PERCENT, most[at] * (100 + PERCENT) // PERCENT - n[at]), "right")
+        drawn = np.frombuffer(b"".join(sketches.take(pa.array(at)).to_pylist()), _U).reshape(len(at), -1) if sketches[i].is_valid else None
+        for k, x in enumerate(at.tolist()):
+            y = np.arange(k + 1, last[k])
+            y = y[(root[at[y]] != root[x]) & (most[at[y]] * (100 + PERCENT) >= PERCENT * (n[at[y]] + n[x]))]
+            if len(y) and drawn is not None:
+                y = y[np.bitwise_count(drawn[y] ^ drawn[k]).sum(axis=1, dtype=np.int64) * (100 + PERCENT) <= (n[at[y]] + n[x]) * (100 - PERCENT)]
+            if len(y) and forest:
+                kept = []
+                for z in y.tolist():
+                    a, b = top_of(int(root[x])), top_of(int(root[at[z]]))
+                    if a != b:
+                        above[a] = b
+                        kept.append(z)
+                y = np.array(kept, np.int64)
             if len(y):
-                held.append(np.column_stack([np.maximum(node[x], node[y]), np.minimum(node[x], node[y])]))
+                other = node[at[y]]
+                found.append(np.column_stack([np.maximum(node[x], other), np.minimum(node[x], other)]))
                 size += len(y)
-                if size > 1 << 18:
-                    yield out()
-                    held, size = [], 0
+                if size > 1 << 20:
+                    found, size = [np.unique(np.concatenate(found), axis=0)], 0
+                    size = len(found[0]) // 2
+                    if len(found[0]) > 1 << 20:
+                        yield out()
+                        found, size = [np.empty((0, 2), np.int64)], 0
     yield out()
 
 
@@ -303,7 +347,7 @@ def linked_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         signer, seen = Signer(*shared.value), set()
         for batch in batches:
             for i, j, buf, off in text_chunks(batch):
-                signs, salts, nodes, sizes, lens = [], [], [], [], []
+                signs, salts, mosts, nodes, sizes, lens = [], [], [], [], [], []
                 for s in shingle_sets(buf, off):
                     node = node_of(s)
                     if node in seen or len(s) < 2:
@@ -311,9 +355,10 @@ def linked_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     if len(seen) > 1 << 18:
                         seen.clear()
                     seen.add(node)
-                    x, salt = signer(s)
+                    x, salt, most = signer(s)
                     signs.append(x)
                     salts.append(salt)
+                    mosts.append(most)
                     nodes.append(node)
                     sizes.append(len(s))
                     lens.append(len(x))
@@ -321,18 +366,20 @@ def linked_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     continue
                 node, salt = np.repeat(np.array(nodes, np.int64), lens), np.concatenate(salts)
                 part = (mix(node.view(_U) ^ _GOLD) % salt.astype(_U)).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"sign": np.concatenate(signs).view(np.int64), "node": node, "n": np.repeat(np.array(sizes, np.int32), lens), "salt": part, "salts": salt.astype(np.int32)})
+                yield pa.RecordBatch.from_pydict({"sign": np.concatenate(signs).view(np.int64), "node": node, "n": np.repeat(np.array(sizes, np.int32), lens), "most": np.concatenate(mosts).astype(np.int32), "salt": part, "salts": salt.astype(np.int32)})
 
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signed = docs.mapInArrow(sign, "sign long, node long, n int, salt int, salts int")
-    groups = stored(signed.repartition(width, "sign", "salt").mapInArrow(_grouped, "sign long, node long, n int, lead long, salts int"), "join-groups")
-
-    # round one: each class with the one of smaller name that leads most of its signatures; leads of a salted group with its smallest lead
-    salted = groups.where("salts > 1").groupBy("sign").agg(F.min("lead").alias("top"))
-    led = groups.where("lead < node").select(F.col("node").alias("u"), F.col("lead").alias("v"))
-    tops = groups.where("salts > 1 and lead = node").join(salted, "sign").where("top < node").select(F.col("node").alias("u"), F.col("top").alias("v"))
+    signed = docs.mapInArrow(sign, "sign long, node long, n int, most int, salt int, salts int")
+    groups = stored(signed.repartition(width, "sign", "salt").mapInArrow(_grouped, "sign long, node long, n int, most int, lead long, salts int"), "join-groups")
+
+    # round one: each class with the one that leads most of its signatures; leads of a salted group with the smallest of them
+    leads = groups.where("salts > 1 and lead = node").select("sign", "node", "n")
+    salted = leads.groupBy("sign").agg(F.min_by("node", F.struct("n", "node")).alias("top"))
+    led = groups.where("lead <> node").select(F.col("node").alias("u"), F.col("lead").alias("v"))
+    tops = leads.join(salted, "sign").where("top <> node").select(F.col("node").alias("u"), F.col("top").alias("v"))
     shares = led.union(tops).groupBy("u", "v").agg(F.count("*").alias("c"))
-    pairs = shares.groupBy("u").agg(F.max(F.struct("c", "v"))["v"].alias("v"))
+    chosen = shares.groupBy("u").agg(F.max(F.struct("c", "v"))["v"].alias("v"))
+    pairs = chosen.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     names = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sketched = survey.where("not shared and n > 0").select("node", "n", "sketch")
     nodes = stored(groups.select("node").distinct().join(sketched, "node").groupBy("node", "n").agg(F.first("sketch").alias("sketch")), "join-nodes")
@@ -342,14 +389,20 @@ def linked_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = stored(_verify(pairs, nodes, texts), "join-links")
     roots = components(first)
 
-    # round two: pairs across components under a shared signature
-    placed = groups.select("sign", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("sign").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("sign")
-    crossing = placed.join(mixed, "sign", "left_semi").select("sign", "node", "n", "root")
-    rest = crossing.repartition(width, "sign").mapInArrow(_across, "u long, v long").distinct()
-    second = stored(_verify(rest.join(pairs, ["u", "v"], "left_anti"), nodes, texts), "join-links")
-    linked = components(first.union(second))
-    for used in (groups, nodes, texts, first, second, roots):
+    # round two: pairs across components under a shared signature; in large groups sketches go along, so that few pairs leave a task
+    def crossing(roots: DataFrame, forest: bool) -> DataFrame:
+        placed = groups.select("sign", "node", "n", "most").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = placed.groupBy("sign").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m")).where("a <> b").select("sign", "m")
+        rows = placed.join(mixed, "sign").select("sign", "node", "n", "most", "root", "m")
+        large = rows.where(F.col("m") > LARGE).join(nodes.select("node", "sketch"), "node").select("sign", "node", "n", "most", "root", "sketch")
+        small = rows.where(F.col("m") <= LARGE).select("sign", "node", "n", "most", "root", F.lit(None).cast("binary").alias("sketch"))
+        return small.union(large).repartition(width, "sign").mapInArrow(lambda b: _across(b, forest), "u long, v long").distinct()
+
+    second = stored(_verify(crossing(roots, True), nodes, texts), "join-links")
+    nearer = components(first.union(second))
+    third = stored(_verify(crossing(nearer, False), nodes, texts), "join-links")
+    linked = components(first.union(second).union(third))
+    for used in (groups, nodes, texts, first, second, third, roots, nearer):
         dropped(used)
 
     reach = names.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
