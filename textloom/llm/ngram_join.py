@@ -40,11 +40,9 @@ PERCENT = 80
 SHARD_SHINGLES, SHARED, TABLE = 4 << 20, 2, 1 << 19
 FREQUENT = 8
 #: Bits of a set's parity sketch.
-SKETCH = 1024
+SKETCH = 512
 SUBCLASS = 25
 SALT_ROWS = 4096
-#: Groups of more rows carry sketches along; speed only.
-LARGE = 64
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _SHORT = np.arange(WORDS, dtype=_U) * _GOLD
@@ -218,7 +216,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of one signature that stand in different components and that sizes, ``most`` and sketches (if there) allow to link.
+    """Pairs of one signature that stand in different components and that sizes, ``most`` and sketches allow to link.
 
     ``forest``: of the pairs found in one task only some that connect as much as all of them.
     """
@@ -250,11 +248,11 @@ def _across(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.Reco
         if len(at) < 2 or (root[at] == root[at[0]]).all():
             continue
         last = np.searchsorted(n[at], np.minimum(n[at] * 100 // PERCENT, most[at] * (100 + PERCENT) // PERCENT - n[at]), "right")
-        drawn = np.frombuffer(b"".join(sketches.take(pa.array(at)).to_pylist()), _U).reshape(len(at), -1) if sketches[i].is_valid else None
+        drawn = np.frombuffer(b"".join(sketches.take(pa.array(at)).to_pylist()), _U).reshape(len(at), -1)
         for k, x in enumerate(at.tolist()):
             y = np.arange(k + 1, last[k])
             y = y[(root[at[y]] != root[x]) & (most[at[y]] * (100 + PERCENT) >= PERCENT * (n[at[y]] + n[x]))]
-            if len(y) and drawn is not None:
+            if len(y):
                 y = y[np.bitwise_count(drawn[y] ^ drawn[k]).sum(axis=1, dtype=np.int64) * (100 + PERCENT) <= (n[at[y]] + n[x]) * (100 - PERCENT)]
             if len(y) and forest:
                 kept = []
@@ -389,14 +387,12 @@ def linked_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = stored(_verify(pairs, nodes, texts), "join-links")
     roots = components(first)
 
-    # round two: pairs across components under a shared signature; in large groups sketches go along, so that few pairs leave a task
+    # round two: pairs across components under a shared signature; sketches go along, so that few pairs leave a task
     def crossing(roots: DataFrame, forest: bool) -> DataFrame:
         placed = groups.select("sign", "node", "n", "most").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = placed.groupBy("sign").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m")).where("a <> b").select("sign", "m")
-        rows = placed.join(mixed, "sign").select("sign", "node", "n", "most", "root", "m")
-        large = rows.where(F.col("m") > LARGE).join(nodes.select("node", "sketch"), "node").select("sign", "node", "n", "most", "root", "sketch")
-        small = rows.where(F.col("m") <= LARGE).select("sign", "node", "n", "most", "root", F.lit(None).cast("binary").alias("sketch"))
-        return small.union(large).repartition(width, "sign").mapInArrow(lambda b: _across(b, forest), "u long, v long").distinct()
+        mixed = placed.groupBy("sign").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("sign")
+        rows = placed.join(mixed, "sign", "left_semi").join(nodes.select("node", "sketch"), "node").select("sign", "node", "n", "most", "root", "sketch")
+        return rows.repartition(width, "sign").mapInArrow(lambda b: _across(b, forest), "u long, v long").distinct()
 
     second = stored(_verify(crossing(roots, True), nodes, texts), "join-links")
     nearer = components(first.union(second))
