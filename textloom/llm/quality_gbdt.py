@@ -126,7 +126,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEP
     inner, leaves = 2**depth - 1, 2**depth
     share = float(y.mean()) if len(y) else 0.5
     empty = Trees(np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, leaves)), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return empty
     n, width = x.shape
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(width)]

@@ -57,10 +57,10 @@ WITH parsed AS (
   VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('allow', 'example.net', '/de/8'), ('block', 'org', '/es/')
 ), ranked AS (
   SELECT page_id, host, path, rule_host || rule_path AS rule, action,
-    row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS at
+    row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS place
   FROM parsed LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
 )
-SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM ranked WHERE at = 1
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM ranked WHERE place = 1
 """
 
 
