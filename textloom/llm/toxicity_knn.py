@@ -3,7 +3,7 @@
 Terms are words and their first bytes (4 to 7, so that inflected forms share a term); those that tell the classes apart
 best (likelihood ratio over the training texts) form the vocabulary.  Examples stand in blocks; the index keeps, for
 each term, its largest weight in each block.  A query visits blocks by falling upper bound and stops when no
-block left can reach its k-th similarity, so the neighbours are exact.  Votes weigh by similarity; a logistic curve fitted on the
+block left can reach its k-th similarity, so the neighbours are exact; a batch's queries of one block are one product.  Votes weigh by similarity; a logistic curve fitted on the
 training texts (each without itself) turns the share of votes into a calibrated score.  Evidence: the nearest examples.
 
 Training uses a bounded sample (``EXAMPLES`` of each class, in the order of a hash of their ids); scoring covers every row.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import ALNUM_WORD, documents_of, prepare, stored, dropped, text_chunks, word_hashes, words_of
 
-EXAMPLES = 6_000
-TERMS, LEAST_DOCS = 4_096, 5
+EXAMPLES = 3_000
+TERMS, LEAST_DOCS = 512, 5
 PREFIXES = (4, 5, 6, 7)
 BLOCK, NEIGHBOURS, EVIDENCE = 64, 16, 3
 THRESHOLD = 0.3
@@ -56,90 +56,84 @@ def counted(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 @dataclass
 class Index:
+    """Terms, and examples in blocks: for each block the terms it has, their weights in its examples, and the largest of each."""
+
     vocabulary: np.ndarray  # sorted term hashes
     idf: np.ndarray
-    starts: np.ndarray = None  # (terms, blocks + 1) into the postings
-    example: np.ndarray = None
-    weight: np.ndarray = None
+    blocks: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # (terms, terms x BLOCK weights)
     bound: np.ndarray = None  # (terms, blocks)
     label: np.ndarray = None
     ids: list = field(default_factory=list)
     curve: tuple[float, float] = (0.0, 0.0)
     constant: float | None = None
 
-    def vectors(self, buf: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text its vocabulary terms and their weights, of length one."""
+    def __post_init__(self):
+        self._low = np.zeros(1 << 16, bool)
+        self._low[(self.vocabulary & _U(0xFFFF)).astype(np.int64)] = True
+
+    def vectors(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """A row of length one for each text, of zeros where it has no vocabulary term."""
         doc, key = terms_of(buf, off)
         hit = self._low[(key & _U(0xFFFF)).astype(np.int64)]
         doc, key = doc[hit], key[hit]
         term = np.minimum(np.searchsorted(self.vocabulary, key), max(len(self.vocabulary) - 1, 0))
         same = self.vocabulary[term] == key if len(self.vocabulary) else np.zeros(len(key), bool)
-        d, t, n = counted(doc[same], term[same])
-        w = (1 + np.log(n)) * self.idf[t]
-        size = len(off) - 1
-        norm = np.sqrt(np.bincount(d, w * w, size))
-        w = w / norm[d]
-        ends = np.searchsorted(d, np.arange(size + 1))
-        return [(t[i:j], w[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
-
-    def __post_init__(self):
-        self._low = np.zeros(1 << 16, bool)
-        self._low[(self.vocabulary & _U(0xFFFF)).astype(np.int64)] = True
-
-    def build(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        blocks, width = max(1, -(-len(rows) // BLOCK)), len(self.vocabulary)
-        e = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
-        t = np.concatenate([t for t, _ in rows] or [np.empty(0, np.int64)])
-        w = np.concatenate([w for _, w in rows] or [np.empty(0)])
-        order = np.lexsort((e, t))
-        self.example, self.weight = e[order], w[order]
-        cell = t[order] * blocks + self.example // BLOCK
-        self.starts = np.searchsorted(cell, np.arange(width)[:, None] * blocks + np.arange(blocks + 1)[None, :])
-        self.bound = np.zeros(width * blocks)
-        np.maximum.at(self.bound, cell, self.weight)
-        self.bound = self.bound.reshape(width, blocks)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` examples of greatest cosine above zero, and their cosines."""
-        none = np.empty(0, np.int64), np.empty(0)
-        if not len(terms):
-            return none
-        upper = weights @ self.bound[terms] * (1 + 1e-9)
-        order = np.argsort(-upper, kind="stable")
-        order = order[: int((upper[order] > 0).sum())]
-        ids, sims, at, step, floor = *none, 0, 4, 0.0
-        while at < len(order) and upper[order[at]] >= floor:
-            blocks = np.sort(order[at : at + step])
-            begin, end = self.starts[terms[:, None], blocks[None, :]].ravel(), self.starts[terms[:, None], blocks[None, :] + 1].ravel()
-            lens = end - begin
-            total = int(lens.sum())
-            where = np.arange(total) + np.repeat(begin - np.cumsum(lens) + lens, lens)
-            slot = np.repeat(np.tile(np.arange(len(blocks)), len(terms)), lens) * BLOCK + self.example[where] % BLOCK
-            dot = np.bincount(slot, np.repeat(np.repeat(weights, len(blocks)), lens) * self.weight[where], len(blocks) * BLOCK)
-            found = np.flatnonzero(dot)
-            ids = np.concatenate([ids, blocks[found // BLOCK] * BLOCK + found % BLOCK])
-            sims = np.concatenate([sims, dot[found]])
-            keep = ids != without
-            ids, sims = ids[keep], sims[keep]
-            if len(ids) > k:
-                best = np.lexsort((ids, -np.round(sims, 12)))[:k]
-                ids, sims = ids[best], sims[best]
-                floor = sims.min()
-            at, step = at + step, step * 2
-        best = np.lexsort((ids, -np.round(sims, 12)))[:k]
-        return ids[best], sims[best]
-
-    def votes(self, ids: np.ndarray, sims: np.ndarray) -> float:
-        """Weighted share of label 1 among the neighbours, drawn to 0 where they are few or far."""
+        return self.weighted(*counted(doc[same], term[same]), len(off) - 1)
+
+    def weighted(self, doc: np.ndarray, term: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros((n, len(self.vocabulary)))
+        out[doc, term] = (1 + np.log(times)) * self.idf[term]
+        return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-300)
+
+    def build(self, rows: np.ndarray, label: np.ndarray, ids: list) -> None:
+        """Examples that weigh the same terms most go into the same blocks, which keeps the bounds tight."""
+        order = np.lexsort(tuple(np.argsort(-rows, axis=1, kind="stable")[:, :3].T[::-1]))
+        rows, self.label, self.ids = rows[order], label[order], [ids[i] for i in order]
+        tops = []
+        for i in range(0, len(rows), BLOCK):
+            part = np.zeros((rows.shape[1], BLOCK))
+            part[:, : len(rows[i : i + BLOCK])] = rows[i : i + BLOCK].T
+            terms = np.flatnonzero(part.any(axis=1))
+            self.blocks.append((terms, part[terms]))
+            tops.append(part.max(axis=1))
+        self.bound = np.array(tops).T
+
+    def nearest(self, query: np.ndarray, k: int = NEIGHBOURS, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each query row its ``k`` examples of greatest cosine above zero (-1: none left) and their cosines."""
+        n = len(query)
+        ids, sims = np.full((n, k), len(self.ids)), np.zeros((n, k))
+        upper = query @ self.bound + 1e-9
+        order = np.argsort(-upper, axis=1, kind="stable")
+        upper = np.take_along_axis(upper, order, axis=1)
+        live = np.flatnonzero(query.any(axis=1))
+        for turn in range(order.shape[1]):
+            live = live[(upper[live, turn] > 1e-8) & (upper[live, turn] >= sims[live, -1])]
+            if not len(live):
+                break
+            block = order[live, turn]
+            by = np.argsort(block, kind="stable")
+            for rows in np.split(live[by], np.flatnonzero(np.diff(block[by])) + 1):
+                b = int(order[rows[0], turn])
+                terms, weights = self.blocks[b]
+                found = np.round(query[rows[:, None], terms] @ weights, 10)
+                number = np.broadcast_to(b * BLOCK + np.arange(BLOCK), found.shape)
+                if without is not None:
+                    found = np.where(number == without[rows, None], 0.0, found)
+                both = np.concatenate([sims[rows], found], axis=1)
+                name = np.concatenate([ids[rows], np.where(found > 0, number, len(self.ids))], axis=1)
+                best = np.lexsort((name, -both), axis=-1)[:, :k]
+                sims[rows], ids[rows] = np.take_along_axis(both, best, axis=1), np.take_along_axis(name, best, axis=1)
+        return np.where(sims > 0, ids, -1), sims
+
+    def votes(self, ids: np.ndarray, sims: np.ndarray) -> np.ndarray:
+        """Weighted share of label 1 among each row's neighbours, drawn to 0 where they are few or far."""
         w = sims**2
-        return float((w * self.label[ids]).sum() / (w.sum() + 0.1))
+        return (w * np.where(ids >= 0, self.label[ids], 0)).sum(axis=1) / (w.sum(axis=1) + 0.1)
 
     def score(self, votes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * votes)))
 
 
-
-
 def _curve(v: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     """Weighted logistic regression of ``y`` on ``v``, slightly damped, by Newton's steps."""
     x, beta = np.column_stack([np.ones(len(v)), v]), np.zeros(2)
@@ -196,26 +190,29 @@ def fit(df: DataFrame, labels: DataFrame, label: str, allowed: Column, id_col: s
     order = np.argsort(vocabulary)
     index = Index(vocabulary[order], np.log((n1 + n0) / table.column("n").to_numpy()[order].astype(float)))
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_t, out_w = [], []
+            out_t, out_n = [], []
             for terms, times in zip(batch.column("terms").to_pylist(), batch.column("times").to_pylist(), strict=True):
                 k, c = np.frombuffer(terms, _U), np.frombuffer(times, np.uint32)
                 t = np.minimum(np.searchsorted(index.vocabulary, k), len(index.vocabulary) - 1)
                 same = index.vocabulary[t] == k
-                w = (1 + np.log(c[same])) * index.idf[t[same]]
-                w = w / max(np.sqrt((w * w).sum()), 1e-300)
                 out_t.append(t[same].astype(np.int32).tobytes())
-                out_w.append(w.tobytes())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "label": batch.column("label"), "t": pa.array(out_t, pa.binary()), "w": pa.array(out_w, pa.binary())})
+                out_n.append(c[same].tobytes())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "label": batch.column("label"), "t": pa.array(out_t, pa.binary()), "n": pa.array(out_n, pa.binary())})
 
-    rows = packed.mapInArrow(vectors, f"doc_id {kind}, label int, t binary, w binary").toArrow().sort_by("doc_id")  # bounded by the sample and the vocabulary
+    rows = packed.mapInArrow(known, f"doc_id {kind}, label int, t binary, n binary").toArrow().sort_by("doc_id")  # bounded by the sample and the vocabulary
     dropped(packed)
-    found = [(np.frombuffer(t, np.int32).astype(np.int64), np.frombuffer(w)) for t, w in zip(rows.column("t").to_pylist(), rows.column("w").to_pylist(), strict=True)]
-    index.ids, index.label = rows.column("doc_id").to_pylist(), rows.column("label").to_numpy().astype(float)
-    index.build(found)
-    v = np.array([index.votes(*index.nearest(t, w, without=i)) for i, (t, w) in enumerate(found)])
-    index.curve = _curve(v, index.label, np.where(index.label == 1, sizes[1] / n1, sizes[0] / n0))
+    terms = [np.frombuffer(x, np.int32) for x in rows.column("t").to_pylist()]
+    doc = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+    times = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column("n").to_pylist()])
+    found = index.weighted(doc, np.concatenate(terms), times, len(terms))
+    index.build(found, rows.column("label").to_numpy().astype(float), rows.column("doc_id").to_pylist())
+    place = {x: i for i, x in enumerate(index.ids)}
+    own = np.array([place[x] for x in rows.column("doc_id").to_pylist()])
+    v = np.concatenate([index.votes(*index.nearest(found[i : i + 512], without=own[i : i + 512])) for i in range(0, len(found), 512)])
+    y = index.label[own]
+    index.curve = _curve(v, y, np.where(y == 1, sizes[1] / n1, sizes[0] / n0))
     return index
 
 
@@ -232,10 +229,9 @@ def score(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "
             for i, j, buf, off in text_chunks(batch):
                 votes, evidence = np.zeros(j - i), [[] for _ in range(j - i)]
                 if index.constant is None:
-                    for r, (t, w) in enumerate(index.vectors(buf, off)):
-                        ids, sims = index.nearest(t, w)
-                        votes[r] = index.votes(ids, sims)
-                        evidence[r] = [{"doc_id": index.ids[e], "cosine": float(s), "label": int(index.label[e])} for e, s in zip(ids[:EVIDENCE], sims[:EVIDENCE], strict=True)]
+                    ids, sims = index.nearest(index.vectors(buf, off))
+                    votes = index.votes(ids, sims)
+                    evidence = [[{"doc_id": index.ids[e], "cosine": s, "label": int(index.label[e])} for e, s in zip(a, b, strict=True) if e >= 0] for a, b in zip(ids[:, :EVIDENCE].tolist(), sims[:, :EVIDENCE].tolist(), strict=True)]
                 s = index.score(votes) if index.constant is None else np.full(j - i, index.constant)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0)[i:j], "score": pa.array(s), "predicted": pa.array((s >= threshold).astype(np.int32)), "votes": pa.array(votes),
@@ -255,7 +251,7 @@ def accepted(df: DataFrame, index: Index, text_col: str = "text", threshold: flo
         for batch in batches:
             for i, j, buf, off in text_chunks(batch, column=text_col):
                 if index.constant is None:
-                    s = index.score(np.array([index.votes(*index.nearest(t, w)) for t, w in index.vectors(buf, off)]))
+                    s = index.score(index.votes(*index.nearest(index.vectors(buf, off))))
                 else:
                     s = np.full(j - i, index.constant)
                 yield batch.slice(i, j - i).filter(pa.array(s < threshold))
