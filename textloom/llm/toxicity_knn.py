@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from textloom.llm.common import ALNUM_WORD, documents_of, prepare, stored, dropped, text_chunks, word_hashes, words_of
 
 EXAMPLES = 3_000
-TERMS, LEAST_DOCS = 512, 5
+#: At most so many terms, each in so many texts at least, and of a likelihood ratio that chance reaches once in a thousand terms.
+TERMS, LEAST_DOCS, LEAST_RATIO = 512, 5, 10.83
 PREFIXES = (4, 5, 6, 7)
 BLOCK, NEIGHBOURS, EVIDENCE = 64, 16, 3
 THRESHOLD = 0.3
@@ -185,7 +186,10 @@ def fit(df: DataFrame, labels: DataFrame, label: str, allowed: Column, id_col: s
     p = n / F.lit(n1 + n0)
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(F.lit(0.0))
     ratio = part(a, p * n1) + part(n - a, p * n0) + part(F.lit(n1) - a, (1 - p) * n1) + part(F.lit(n0) - (n - a), (1 - p) * n0)
-    table = counts.withColumn("g", F.round(ratio, 6)).orderBy(F.desc("g"), "term").limit(TERMS).toArrow()  # a top-k of terms
+    table = counts.withColumn("g", F.round(2 * ratio, 6)).where(F.col("g") >= LEAST_RATIO).orderBy(F.desc("g"), "term").limit(TERMS).toArrow()  # a top-k of terms
+    if not len(table):
+        dropped(packed)
+        return Index(np.empty(0, _U), np.empty(0), constant=sizes[1] / (sizes[0] + sizes[1]))
     vocabulary = np.array(table.column("term").to_numpy(), np.int64).view(_U)
     order = np.argsort(vocabulary)
     index = Index(vocabulary[order], np.log((n1 + n0) / table.column("n").to_numpy()[order].astype(float)))
