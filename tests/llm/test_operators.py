@@ -329,6 +329,16 @@ def test_similarity_join_repeated_ids_and_empty(spark):
     assert ngram_join.linked_documents(frame(spark, [])).count() == 0
 
 
+def test_similarity_join_of_few_words(spark):
+    """Chunks that hold fewer words than a shingle, down to none."""
+    for n in range(7):
+        text = " ".join("abcdefg"[:n])
+        buf = np.frombuffer(text.encode(), np.uint8)
+        assert [len(s) for s in ngram_join.shingle_sets(buf, np.array([0, len(buf)]))] == [max(n - 4, min(n, 1))]
+    got = ngram_join.linked_documents(frame(spark, ["a b c"]).coalesce(1)).collect()
+    assert [(r.doc_id, r.n_shingles, r.component_id) for r in got] == [(0, 1, 0)]
+
+
 def test_signatures_cover_every_link():
     """Two sets that link share a signature, whatever shingles are called frequent."""
     rng = np.random.default_rng(5)

@@ -59,9 +59,10 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int = WORDS) -> list[np.nd
     c = _multipliers(k)
     n = len(off) - 1
     cut = np.searchsorted(doc, np.arange(n + 1))
-    whole = np.zeros(max(len(w) - k + 1, 0), _U)
+    m = max(len(w) - k + 1, 0)
+    whole = np.zeros(m, _U)
     for i in range(k):
-        whole += w[i : len(w) - k + 1 + i] * c[i]
+        whole += w[i : i + m] * c[i]
     whole = mix(whole)
     out = []
     for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
