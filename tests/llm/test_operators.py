@@ -393,6 +393,19 @@ def test_toxicity(spark):
     assert toxicity_knn.score(frame(spark, []), index).count() == 0
 
 
+def test_toxicity_indexes_terms_beyond_the_strongest(spark):
+    """Toxic words that hundreds of stronger terms outrank still find their neighbours."""
+    rng = random.Random(4)
+    plain = [f"{rng.choice('bcdfg')}{i:03d}" for i in range(600)]
+    texts = [" ".join(plain) if i % 2 else "" for i in range(80)]  # 600 terms that only clean texts have
+    texts = [t if i % 2 else "zork fool" if i < 20 else f"vile{i}" for i, t in enumerate(texts)] + ["zork fool"]
+    docs = frame(spark, texts)
+    labels = labelled(spark, [(i, 1, int(i % 2 == 0)) for i in range(80)])
+    index = toxicity_knn.fit(docs, labels, "toxic", F.lit(True))
+    got = {r.doc_id: r for r in toxicity_knn.score(docs, index).collect()}
+    assert len(index.vocabulary) > 600 and got[80].votes > 0.9 and len(got[80].evidence) == 3
+
+
 def test_block_max_neighbours_are_exact():
     rng = np.random.default_rng(3)
     rows = rng.random((500, 40)) * (rng.random((500, 40)) < 0.15)

@@ -1,10 +1,10 @@
-"""Toxicity by nearest labelled examples under exact TF-IDF cosine, on a block-max inverted index.
+"""Toxicity by nearest labelled examples under exact TF-IDF cosine, on an inverted index.
 
-Terms are words and their first bytes (4 to 7, so that inflected forms share a term); those that tell the classes apart
-best (likelihood ratio over the training texts) form the vocabulary.  Examples stand in blocks; the index keeps, for
-each term, its largest weight in each block.  A query visits blocks by falling upper bound and stops when no
-block left can reach its k-th similarity, so the neighbours are exact; a batch's queries of one block are one product.  Votes weigh by similarity; a logistic curve fitted on the
-training texts (each without itself) turns the share of votes into a calibrated score.  Evidence: the nearest examples.
+Terms are words and their first bytes (4 to 7, so that inflected forms share a term).  The vocabulary is every term that tells the
+classes apart (likelihood ratio over the training texts) by more than chance explains, however many there are.  The postings of a term are the examples that have it.  A query adds up the postings of its terms, so the neighbours are exact;
+the terms with the longest postings stand as one dense matrix, so that a batch's share of them is one product.
+Votes weigh by similarity; a logistic curve fitted on the training texts (each without itself) turns the share of votes into a
+calibrated score.  Evidence: the nearest examples.
 
 Training uses a bounded sample (``EXAMPLES`` of each class, in the order of a hash of their ids); scoring covers every row.
 Defined cases: null or empty text, or no vocabulary term: no neighbour, the calibrated score of no votes.  Null labels
@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import ALNUM_WORD, documents_of, prepare, stored, dropped, text_chunks, word_hashes, words_of
 
-EXAMPLES = 3_000
-#: At most so many terms, each in so many texts at least, and of a likelihood ratio that chance reaches once in a thousand terms.
-TERMS, LEAST_DOCS, LEAST_RATIO = 512, 5, 10.83
+EXAMPLES = 6_000
+#: The likelihood ratio that chance reaches once in a thousand terms; a term's own, so a vocabulary of any size passes.
+LEAST_RATIO = 10.83
 PREFIXES = (4, 5, 6, 7)
-BLOCK, NEIGHBOURS, EVIDENCE = 64, 16, 3
+NEIGHBOURS, EVIDENCE = 16, 3
+#: Terms that stand in the dense matrix, and queries taken at once: speed only.
+HEAD, QUERIES = 768, 128
 THRESHOLD = 0.3
 _U = np.uint64
 
@@ -57,74 +59,97 @@ def counted(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 @dataclass
 class Index:
-    """Terms, and examples in blocks: for each block the terms it has, their weights in its examples, and the largest of each."""
+    """Postings of every term: examples and codes of weights, from ``start[t]`` to ``start[t + 1]`` for term ``t``."""
 
     vocabulary: np.ndarray  # sorted term hashes
     idf: np.ndarray
-    blocks: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # (terms, terms x BLOCK weights)
-    bound: np.ndarray = None  # (terms, blocks)
+    start: np.ndarray = None
+    example: np.ndarray = None
+    code: np.ndarray = None
+    value: np.ndarray = None  # of each code
+    length: np.ndarray = None  # of each example
     label: np.ndarray = None
     ids: list = field(default_factory=list)
     curve: tuple[float, float] = (0.0, 0.0)
     constant: float | None = None
 
-    def __post_init__(self):
-        self._low = np.zeros(1 << 16, bool)
-        self._low[(self.vocabulary & _U(0xFFFF)).astype(np.int64)] = True
+    def vectors(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sparse rows (starts, terms, weights) of length one, empty for a text that has no vocabulary term."""
+        return self.known(*counted(*terms_of(buf, off)), len(off) - 1)
 
-    def vectors(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """A row of length one for each text, of zeros where it has no vocabulary term."""
-        doc, key = terms_of(buf, off)
-        hit = self._low[(key & _U(0xFFFF)).astype(np.int64)]
-        doc, key = doc[hit], key[hit]
+    def known(self, doc: np.ndarray, key: np.ndarray, times: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         term = np.minimum(np.searchsorted(self.vocabulary, key), max(len(self.vocabulary) - 1, 0))
         same = self.vocabulary[term] == key if len(self.vocabulary) else np.zeros(len(key), bool)
-        return self.weighted(*counted(doc[same], term[same]), len(off) - 1)
-
-    def weighted(self, doc: np.ndarray, term: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros((n, len(self.vocabulary)))
-        out[doc, term] = (1 + np.log(times)) * self.idf[term]
-        return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-300)
+        doc, term, times = doc[same], term[same], times[same]
+        weight = (1 + np.log(times)) * self.idf[term]
+        size = np.maximum(np.sqrt(np.bincount(doc, weight * weight, n)), 1e-300)
+        return np.searchsorted(doc, np.arange(n + 1)), term, weight / size[doc]
 
     def build(self, rows: np.ndarray, label: np.ndarray, ids: list) -> None:
-        """Examples that weigh the same terms most go into the same blocks, which keeps the bounds tight."""
-        order = np.lexsort(tuple(np.argsort(-rows, axis=1, kind="stable")[:, :3].T[::-1]))
-        rows, self.label, self.ids = rows[order], label[order], [ids[i] for i in order]
-        tops = []
-        for i in range(0, len(rows), BLOCK):
-            part = np.zeros((rows.shape[1], BLOCK))
-            part[:, : len(rows[i : i + BLOCK])] = rows[i : i + BLOCK].T
-            terms = np.flatnonzero(part.any(axis=1))
-            self.blocks.append((terms, part[terms]))
-            tops.append(part.max(axis=1))
-        self.bound = np.array(tops).T
-
-    def nearest(self, query: np.ndarray, k: int = NEIGHBOURS, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """For each query row its ``k`` examples of greatest cosine above zero (-1: none left) and their cosines."""
-        n = len(query)
-        ids, sims = np.full((n, k), len(self.ids)), np.zeros((n, k))
-        upper = query @ self.bound + 1e-9
-        order = np.argsort(-upper, axis=1, kind="stable")
-        upper = np.take_along_axis(upper, order, axis=1)
-        live = np.flatnonzero(query.any(axis=1))
-        for turn in range(order.shape[1]):
-            live = live[(upper[live, turn] > 1e-8) & (upper[live, turn] >= sims[live, -1])]
-            if not len(live):
-                break
-            block = order[live, turn]
-            by = np.argsort(block, kind="stable")
-            for rows in np.split(live[by], np.flatnonzero(np.diff(block[by])) + 1):
-                b = int(order[rows[0], turn])
-                terms, weights = self.blocks[b]
-                found = np.round(query[rows[:, None], terms] @ weights, 10)
-                number = np.broadcast_to(b * BLOCK + np.arange(BLOCK), found.shape)
-                if without is not None:
-                    found = np.where(number == without[rows, None], 0.0, found)
-                both = np.concatenate([sims[rows], found], axis=1)
-                name = np.concatenate([ids[rows], np.where(found > 0, number, len(self.ids))], axis=1)
-                best = np.lexsort((name, -both), axis=-1)[:, :k]
-                sims[rows], ids[rows] = np.take_along_axis(both, best, axis=1), np.take_along_axis(name, best, axis=1)
-        return np.where(sims > 0, ids, -1), sims
+        """From dense rows of length one."""
+        doc, term = np.nonzero(rows)
+        value, code = np.unique(rows[doc, term] / self.idf[term], return_inverse=True)
+        self.post(doc, term, code, value, np.ones(len(rows)), label, ids)
+
+    def post(self, doc: np.ndarray, term: np.ndarray, code: np.ndarray, value: np.ndarray, length: np.ndarray, label: np.ndarray, ids: list) -> None:
+        order = np.argsort(term, kind="stable")
+        small = lambda x, n: x.astype(np.uint16 if n <= 1 << 16 else np.uint32)
+        self.example, self.code, self.value = small(doc[order], len(ids)), small(code[order], len(value)), value
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(self.vocabulary)))])
+        self.length, self.label, self.ids = length, label, ids
+
+    def _dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """(column of each term or -1, columns x examples) of the terms with the longest postings; made once a process."""
+        if "_head" not in self.__dict__:
+            top = np.argsort(-np.diff(self.start), kind="stable")[:HEAD]
+            column, matrix = np.full(len(self.vocabulary), -1), np.zeros((len(top), len(self.ids)))
+            column[top] = np.arange(len(top))
+            for c, t in enumerate(top.tolist()):
+                at = slice(self.start[t], self.start[t + 1])
+                matrix[c, self.example[at]] = self.value[self.code[at]] * self.idf[t]
+            self._head = column, matrix
+        return self._head
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_head"}
+
+    def _cosines(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        column, matrix = self._dense()
+        at, m = column[term], len(self.ids)
+        head = np.zeros((n, len(matrix)))
+        head[row[at >= 0], at[at >= 0]] = weight[at >= 0]
+        out = head @ matrix
+        row, term, weight = row[at < 0], term[at < 0], (weight * self.idf[term])[at < 0]
+        first, size = self.start[term], self.start[term + 1] - self.start[term]
+        cut = np.searchsorted(row, np.arange(n + 1))
+        for r, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+            if i < j:
+                lens = size[i:j]
+                ends = np.cumsum(lens)
+                places = np.repeat(first[i:j] - ends + lens, lens) + np.arange(ends[-1])
+                out[r] += np.bincount(self.example[places], np.repeat(weight[i:j], lens) * self.value[self.code[places]], m)
+        return out / self.length
+
+    def nearest(self, query: np.ndarray | tuple, k: int = NEIGHBOURS, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each query row (sparse, or dense) its ``k`` examples of greatest cosine above zero (-1: none left) and their cosines."""
+        if not isinstance(query, tuple):
+            doc, term = np.nonzero(query)
+            query = np.searchsorted(doc, np.arange(len(query) + 1)), term, query[doc, term]
+        starts, term, weight = query
+        n, m = len(starts) - 1, len(self.ids)
+        ids, sims = np.full((n, k), -1), np.zeros((n, k))
+        for i in range(0, n, QUERIES):
+            cut = starts[i : i + QUERIES + 1]
+            found = self._cosines(np.repeat(np.arange(len(cut) - 1), np.diff(cut)), term[cut[0] : cut[-1]], weight[cut[0] : cut[-1]], len(cut) - 1)
+            found = np.round(found, 10)
+            if without is not None:
+                found[np.arange(len(found)), without[i : i + len(found)]] = 0.0
+            least = np.partition(found, max(m - k, 0), axis=1)[:, max(m - k, 0)]
+            for r, row in enumerate(found):
+                at = np.flatnonzero(row >= least[r]) if least[r] > 0 else np.flatnonzero(row > 0)
+                at = at[np.argsort(-row[at], kind="stable")[:k]]
+                ids[i + r, : len(at)], sims[i + r, : len(at)] = at, row[at]
+        return ids, sims
 
     def votes(self, ids: np.ndarray, sims: np.ndarray) -> np.ndarray:
         """Weighted share of label 1 among each row's neighbours, drawn to 0 where they are few or far."""
@@ -148,7 +173,7 @@ def _curve(v: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
 
 def fit(df: DataFrame, labels: DataFrame, label: str, allowed: Column, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES) -> Index:
     """An index of at most ``examples`` texts of each class, of those that ``allowed`` admits."""
-    prepare(df.sparkSession)
+    spark = prepare(df.sparkSession)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & F.coalesce(allowed, F.lit(False)))
     one = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     sizes = {r["label"]: r["n"] for r in one.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two classes
@@ -169,7 +194,6 @@ def fit(df: DataFrame, labels: DataFrame, label: str, allowed: Column, id_col: s
 
     chosen = F.broadcast(pick(0).unionByName(pick(1)))  # at most 2 * examples short rows
     packed = stored(docs.join(chosen, "doc_id").select("doc_id", "text", "label").mapInArrow(run, f"doc_id {kind}, label int, terms binary, times binary"), "toxic-examples")
-    seen = packed.select("label", F.col("terms"))
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,49 +205,64 @@ def fit(df: DataFrame, labels: DataFrame, label: str, allowed: Column, id_col: s
     if not n1 or not n0:
         dropped(packed)
         return nothing
-    counts = seen.mapInArrow(presence, "term long, y int").groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
+    counts = packed.select("label", "terms").mapInArrow(presence, "term long, y int").groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
     a, n = F.col("a").cast("double"), F.col("n").cast("double")
     p = n / F.lit(n1 + n0)
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(F.lit(0.0))
     ratio = part(a, p * n1) + part(n - a, p * n0) + part(F.lit(n1) - a, (1 - p) * n1) + part(F.lit(n0) - (n - a), (1 - p) * n0)
-    table = counts.withColumn("g", F.round(2 * ratio, 6)).where(F.col("g") >= LEAST_RATIO).orderBy(F.desc("g"), "term").limit(TERMS).toArrow()  # a top-k of terms
+    table = counts.where(F.round(2 * ratio, 6) >= LEAST_RATIO).select("term", "n").toArrow()  # bounded by the sample
     if not len(table):
         dropped(packed)
         return Index(np.empty(0, _U), np.empty(0), constant=sizes[1] / (sizes[0] + sizes[1]))
-    vocabulary = np.array(table.column("term").to_numpy(), np.int64).view(_U)
+    vocabulary = table.column("term").to_numpy().view(_U)
     order = np.argsort(vocabulary)
     index = Index(vocabulary[order], np.log((n1 + n0) / table.column("n").to_numpy()[order].astype(float)))
+    words = spark.sparkContext.broadcast(index.vocabulary)
 
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_t, out_n = [], []
             for terms, times in zip(batch.column("terms").to_pylist(), batch.column("times").to_pylist(), strict=True):
                 k, c = np.frombuffer(terms, _U), np.frombuffer(times, np.uint32)
-                t = np.minimum(np.searchsorted(index.vocabulary, k), len(index.vocabulary) - 1)
-                same = index.vocabulary[t] == k
+                t = np.minimum(np.searchsorted(words.value, k), len(words.value) - 1)
+                same = words.value[t] == k
                 out_t.append(t[same].astype(np.int32).tobytes())
                 out_n.append(c[same].tobytes())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "label": batch.column("label"), "t": pa.array(out_t, pa.binary()), "n": pa.array(out_n, pa.binary())})
 
-    rows = packed.mapInArrow(known, f"doc_id {kind}, label int, t binary, n binary").toArrow().sort_by("doc_id")  # bounded by the sample and the vocabulary
+    rows = packed.mapInArrow(placed, f"doc_id {kind}, label int, t binary, n binary").toArrow().sort_by("doc_id")  # bounded by the sample
+    ids, y = rows.column("doc_id").to_pylist(), rows.column("label").to_numpy().astype(float)
+    sizes_of = np.array([len(x) // 4 for c in rows.column("t").chunks for x in c.to_pylist()])
+    term, times = (np.concatenate([np.frombuffer(x, t) for c in rows.column(name).chunks for x in c.to_pylist()] or [np.empty(0, t)]) for name, t in (("t", np.int32), ("n", np.uint32)))
+    del rows
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes_of)
+    value = 1 + np.log(np.maximum(np.arange(int(times.max(initial=0)) + 1), 1))
+    length = np.maximum(np.sqrt(np.bincount(doc, (value[times] * index.idf[term]) ** 2, len(ids))), 1e-300)
+    index.post(doc, term, times, value, length, y, ids)
+    place = {x: i for i, x in enumerate(ids)}
+    shared = spark.sparkContext.broadcast((index, place))
+
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, place = shared.value
+        for batch in batches:
+            raw, n = batch.column("terms").to_pylist(), batch.num_rows
+            key, times = np.frombuffer(b"".join(raw), _U), np.frombuffer(b"".join(batch.column("times").to_pylist()), np.uint32)
+            own = np.array([place[x] for x in batch.column("doc_id").to_pylist()], np.int64)
+            v = index.votes(*index.nearest(index.known(np.repeat(np.arange(n), [len(x) // 8 for x in raw]), key, times, n), without=own))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "label": batch.column("label"), "v": pa.array(v)})
+
+    width = spark.sparkContext.defaultParallelism
+    own = packed.repartition(width, "doc_id").mapInArrow(voted, f"doc_id {kind}, label int, v double").toArrow().sort_by([("doc_id", "ascending"), ("v", "ascending")])
     dropped(packed)
-    terms = [np.frombuffer(x, np.int32) for x in rows.column("t").to_pylist()]
-    doc = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-    times = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column("n").to_pylist()])
-    found = index.weighted(doc, np.concatenate(terms), times, len(terms))
-    index.build(found, rows.column("label").to_numpy().astype(float), rows.column("doc_id").to_pylist())
-    place = {x: i for i, x in enumerate(index.ids)}
-    own = np.array([place[x] for x in rows.column("doc_id").to_pylist()])
-    v = np.concatenate([index.votes(*index.nearest(found[i : i + 512], without=own[i : i + 512])) for i in range(0, len(found), 512)])
-    y = index.label[own]
-    index.curve = _curve(v, y, np.where(y == 1, sizes[1] / n1, sizes[0] / n0))
+    y = own.column("label").to_numpy().astype(float)
+    index.curve = _curve(own.column("v").to_numpy(), y, np.where(y == 1, sizes[1] / n1, sizes[0] / n0))
     return index
 
 
 def score(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, predicted, votes, evidence) of every whole text; evidence: ids and cosines of the nearest examples."""
     spark = prepare(df.sparkSession)
-    shared = spark.sparkContext.broadcast(index)  # bounded by the examples and the vocabulary
+    shared = spark.sparkContext.broadcast(index)  # bounded by the examples
     docs = documents_of(df, id_col, text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
