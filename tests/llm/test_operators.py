@@ -329,6 +329,21 @@ def test_similarity_join_repeated_ids_and_empty(spark):
     assert ngram_join.linked_documents(frame(spark, [])).count() == 0
 
 
+def test_similarity_join_counts_every_link(spark):
+    """Links inside a component too, copies by number, and the pairs of different texts."""
+    base = " ".join(f"w{i}" for i in range(120))
+    texts = [base] + [base.replace(f"w{7 * i} ", f"v{i} ") for i in range(1, 16)] + [base.replace("w9 ", "x "), base, None, "a b", "a b", "c d"]
+    sets = [frozenset(zip(*(w[i:] for i in range(5)))) if len(w := (t or "").split()) > 4 else frozenset([tuple(w)] if w else []) for t in texts]
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] & sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = Counter(x for p in alike for x in p)
+    docs = frame(spark, texts)
+    got = {r.doc_id: r.n_links for r in ngram_join.linked_documents(docs).collect()}
+    assert got == {i: want[i] for i in range(len(texts))} and max(got.values()) > 10
+    first = {s: i for i, s in reversed(list(enumerate(sets)))}
+    pairs = {tuple(sorted((first[sets[i]], first[sets[j]]))) for i, j in alike if sets[i] != sets[j]}
+    assert sorted(map(tuple, ngram_join.linked_pairs(docs).collect())) == sorted(pairs)
+
+
 def test_similarity_join_of_few_words(spark):
     """Chunks that hold fewer words than a shingle, down to none."""
     for n in range(7):

@@ -10,10 +10,11 @@
    p - 1.  The number of sub-classes follows the size of the set, so sets sign under the schemes of their own size
    bucket and of the next: sets that can link differ by one bucket at most.
 4. Verify.  A pair's parity sketches first: bits that differ bound the symmetric difference from below, so a pair they rule out cannot
-   link; the texts of the others are compared.  This goes in rounds.  First each class against the smallest set of most of its signatures.  Then, where a
-   signature still joins different components, first a forest of the likely pairs, and at last every pair across components is verified that sizes allow.  Pairs inside a component are settled; sets that share no rare
-   signature share frequent shingles at most, which bounds what they can have in common.
-   Signatures of frequent shingles are dealt out with a salt, a group's smallest class stands for it across salts.
+   link; the texts of all others are compared, inside components too.  Pairs are dealt into cells of two blocks of classes, so a text goes
+   to a cell once, however many pairs it has there.  Sets that share no rare signature share frequent shingles at most, which bounds
+   what they can have in common.  Signatures of frequent shingles are dealt out with a salt to find those that sets share.
+
+A link of a document is another document whose set is alike enough; exact copies link.  Documents are counted by id and set, rows without an id each.
 
 Defined cases: null or empty text, or no word: size 0, linked with nothing.  Fewer words than a shingle: the whole sequence is the one
 shingle.  Rows that repeat an id belong to one document.  Extra columns are ignored; an empty table gives an empty result.
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +43,8 @@ FREQUENT = 8
 SKETCH = 512
 SUBCLASS = 25
 SALT_ROWS = 4096
+#: Groups of so many classes at most are compared all at once: speed only.
+SMALL = 32
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _SHORT = np.arange(WORDS, dtype=_U) * _GOLD
@@ -196,7 +198,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the signatures that different sets share, each with its group's smallest set (``lead``), the likeliest to link with many."""
+    """Rows of the signatures that different sets share, or may share with those of other salts."""
     rows = _gathered(batches)
     if not rows:
         return
@@ -206,101 +208,83 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keep = np.ones(len(sign), bool)
     keep[1:] = (sign[1:] != sign[:-1]) | (salt[1:] != salt[:-1]) | (node[1:] != node[:-1])
     rows = {c: v[keep] for c, v in rows.items()}
-    sign, node = rows["sign"], rows["node"]
+    sign = rows["sign"]
     at = _starts_of(sign, rows["salt"])
     lens = np.diff(np.append(at, len(sign)))
-    rows["lead"] = np.repeat(node[at], lens)
     wanted = np.flatnonzero(np.repeat(lens > 1, lens) | (rows["salts"] > 1))
     for i in range(0, len(wanted), 1 << 16):
         w = wanted[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_pydict({c: rows[c][w] for c in ("sign", "node", "n", "most", "lead", "salts")})
-
+        yield pa.RecordBatch.from_pydict({c: rows[c][w] for c in ("sign", "node", "n", "most")})
 
-def _across(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of one signature that stand in different components and that sizes, ``most`` and sketches allow to link.
 
-    ``forest``: of the pairs found in one task only some that connect as much as all of them.
-    """
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of one signature that sizes, ``most`` and sketches allow to link."""
     held = list(batches)
     table = pa.Table.from_batches(held) if held else None
     if not table or not len(table):
         return
-    rows = {c: table.column(c).to_numpy() for c in ("sign", "node", "n", "most", "root")}
+    rows = {c: table.column(c).to_numpy() for c in ("sign", "node", "n", "most")}
     order = np.lexsort((rows["node"], rows["n"], rows["sign"]))
-    sign, node, n, most, root = (rows[c][order] for c in ("sign", "node", "n", "most", "root"))
+    sign, node, n, most = (rows[c][order] for c in ("sign", "node", "n", "most"))
     n, most = n.astype(np.int64), most.astype(np.int64)
-    sketches = table.column("sketch").combine_chunks().take(pa.array(order))
+    drawn = np.frombuffer(b"".join(table.column("sketch").to_pylist()), _U).reshape(len(sign), -1)[order]
     ends = np.append(_starts_of(sign), len(sign))
-    found, size, above = [np.empty((0, 2), np.int64)], 0, {}
-
-    def top_of(x: int) -> int:
-        while (up := above.get(x, x)) != x:
-            above[x] = x = above.get(up, up)
-        return x
+    found, size = [np.empty((0, 2), np.int64)], 0
 
     def out() -> pa.RecordBatch:
         p = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_pydict({"u": p[:, 0], "v": p[:, 1]})
 
-    for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        # overlap o >= PERCENT (a + b) / (100 + PERCENT), and o <= most of either: who fails that beside the smallest set fails beside all
-        able = most[i:j] * (100 + PERCENT) >= PERCENT * (n[i:j] + n[i])
-        at = np.arange(i, j)[able]
-        if len(at) < 2 or (root[at] == root[at[0]]).all():
-            continue
-        last = np.searchsorted(n[at], np.minimum(n[at] * 100 // PERCENT, most[at] * (100 + PERCENT) // PERCENT - n[at]), "right")
-        drawn = np.frombuffer(b"".join(sketches.take(pa.array(at)).to_pylist()), _U).reshape(len(at), -1)
-        for k, x in enumerate(at.tolist()):
-            y = np.arange(k + 1, last[k])
-            y = y[(root[at[y]] != root[x]) & (most[at[y]] * (100 + PERCENT) >= PERCENT * (n[at[y]] + n[x]))]
+    def able(x: np.ndarray | int, y: np.ndarray) -> np.ndarray:
+        """Of the rows ``y``, each at least as large as its ``x``, which can link with it: overlap o >= PERCENT (a + b) / (100 + PERCENT), and o <= most of either."""
+        both = n[x] + n[y]
+        fit = (n[y] * PERCENT <= n[x] * 100) & (np.minimum(most[x], most[y]) * (100 + PERCENT) >= PERCENT * both)
+        at = np.flatnonzero(fit)
+        a = drawn[x][None] if np.isscalar(x) else drawn[x[at]]
+        return at[np.bitwise_count(drawn[y[at]] ^ a).sum(axis=1, dtype=np.int64) * (100 + PERCENT) <= both[at] * (100 - PERCENT)]
+
+    def add(x: np.ndarray | int, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        nonlocal found, size
+        found.append(np.column_stack([np.maximum(node[x], node[y]), np.minimum(node[x], node[y])]))
+        size += len(y)
+        if size > 1 << 20:
+            found = [np.unique(np.concatenate(found), axis=0)]
+            size = len(found[0]) // 2
+            if len(found[0]) > 1 << 20:
+                yield out()
+                found, size = [np.empty((0, 2), np.int64)], 0
+
+    lens = np.diff(ends)
+    small = np.repeat(lens <= SMALL, lens)
+    for d in range(1, SMALL):  # all small groups at once, by distance in the order
+        near = np.flatnonzero((sign[d:] == sign[:-d]) & small[d:])
+        for i in range(0, len(near), 1 << 16):
+            x = near[i : i + (1 << 16)]
+            keep = able(x, x + d)
+            yield from add(x[keep], x[keep] + d)
+    for g in np.flatnonzero(lens > SMALL).tolist():
+        for x in range(int(ends[g]), int(ends[g + 1]) - 1):
+            y = np.arange(x + 1, x + 1 + int(np.searchsorted(n[x + 1 : ends[g + 1]], n[x] * 100 // PERCENT, "right")))
+            y = y[able(x, y)]
             if len(y):
-                y = y[np.bitwise_count(drawn[y] ^ drawn[k]).sum(axis=1, dtype=np.int64) * (100 + PERCENT) <= (n[at[y]] + n[x]) * (100 - PERCENT)]
-            if len(y) and forest:
-                kept = []
-                for z in y.tolist():
-                    a, b = top_of(int(root[x])), top_of(int(root[at[z]]))
-                    if a != b:
-                        above[a] = b
-                        kept.append(z)
-                y = np.array(kept, np.int64)
-            if len(y):
-                other = node[at[y]]
-                found.append(np.column_stack([np.maximum(node[x], other), np.minimum(node[x], other)]))
-                size += len(y)
-                if size > 1 << 20:
-                    found, size = [np.unique(np.concatenate(found), axis=0)], 0
-                    size = len(found[0]) // 2
-                    if len(found[0]) > 1 << 20:
-                        yield out()
-                        found, size = [np.empty((0, 2), np.int64)], 0
+                yield from add(x, y)
     yield out()
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (u, v, their texts) that link."""
-    kept: OrderedDict[int, np.ndarray] = OrderedDict()
-
-    def set_of(node: int, text) -> np.ndarray:
-        if node in kept:
-            kept.move_to_end(node)
-            return kept[node]
-        raw = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid else np.empty(0, np.uint8)
-        kept[node] = s = shingle_sets(raw, np.array([0, len(raw)]))[0]
-        if len(kept) > 64:
-            kept.popitem(last=False)
-        return s
-
-    for batch in batches:
-        u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        good = []
-        for i, (a, b) in enumerate(zip(u, v, strict=True)):
-            x, y = set_of(a, batch.column(2)[i]), set_of(b, batch.column(3)[i])
-            if len(x) > len(y):
-                x, y = y, x
-            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
-            good.append(100 * both >= PERCENT * (len(x) + len(y) - both) and both > 0)
-        keep = np.flatnonzero(good)
-        yield pa.RecordBatch.from_pydict({"u": pa.array(np.array(u, np.int64)[keep]), "v": pa.array(np.array(v, np.int64)[keep])})
+def _verified(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+    """The pairs (u, v) of a cell that link, by the texts (node, text) of its classes."""
+    sets = {}
+    for batch in texts.select(["node", "text"]).to_batches():
+        for i, j, buf, off in text_chunks(batch):
+            sets.update(zip(batch.column(0)[i:j].to_pylist(), shingle_sets(buf, off), strict=True))
+    good = []
+    for a, b in zip(pairs.column("u").to_pylist(), pairs.column("v").to_pylist(), strict=True):
+        x, y = sets[a], sets[b]
+        if len(x) > len(y):
+            x, y = y, x
+        both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+        good.append(100 * both >= PERCENT * (len(x) + len(y) - both) and both > 0)
+    return pairs.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,26 +296,16 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i, j - i).filter(pa.array(same))
 
 
-def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (u, v, both sizes, both sketches) that their sketches do not rule out."""
-    for batch in batches:
-        size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), _U).reshape(len(size), -1) for c in (4, 5))
-        differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-        keep = pa.array(differ * (100 + PERCENT) <= size * (100 - PERCENT))
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
+def _verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    block = lambda x: F.pmod(F.xxhash64(x), F.lit(width))
+    dealt = pairs.select((block("u") * width + block("v")).alias("cell"), "u", "v")
+    needed = dealt.select("cell", F.col("u").alias("node")).union(dealt.select("cell", F.col("v").alias("node"))).distinct()
+    held = needed.join(texts, "node").select("cell", "node", "text").toDF("place", "node", "text")
+    return dealt.groupBy("cell").cogroup(held.groupBy("place")).applyInArrow(_verified, "u long, v long")
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    both = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "n_u", "n_v", "sketch_u", "sketch_v")
-    left = both.mapInArrow(_possible, "u long, v long")
-    with_v = left.join(texts.toDF("v", "text_v"), "v")
-    return with_v.join(texts.toDF("u", "text_u"), "u").select("u", "v", "text_u", "text_v").mapInArrow(_verified, "u long, v long")
-
-
-def linked_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): the size of each document's set, and the smallest id that links reach."""
+def _join(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, node) of every row, (node, doc_id) with the smallest id of each class, and all links (u, v) between classes."""
     spark = prepare(df.sparkSession)
     docs = documents_of(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     survey = stored(docs.mapInArrow(_survey, "doc_id long, n long, node long, shared boolean, sketch binary"), "join-survey")
@@ -369,42 +343,43 @@ def linked_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = docs.mapInArrow(sign, "sign long, node long, n int, most int, salt int, salts int")
-    groups = stored(signed.repartition(width, "sign", "salt").mapInArrow(_grouped, "sign long, node long, n int, most int, lead long, salts int"), "join-groups")
-
-    # round one: each class with the one that leads most of its signatures; leads of a salted group with the smallest of them
-    leads = groups.where("salts > 1 and lead = node").select("sign", "node", "n")
-    salted = leads.groupBy("sign").agg(F.min_by("node", F.struct("n", "node")).alias("top"))
-    led = groups.where("lead <> node").select(F.col("node").alias("u"), F.col("lead").alias("v"))
-    tops = leads.join(salted, "sign").where("top <> node").select(F.col("node").alias("u"), F.col("top").alias("v"))
-    shares = led.union(tops).groupBy("u", "v").agg(F.count("*").alias("c"))
-    chosen = shares.groupBy("u").agg(F.max(F.struct("c", "v"))["v"].alias("v"))
-    pairs = chosen.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    groups = stored(signed.repartition(width, "sign", "salt").mapInArrow(_grouped, "sign long, node long, n int, most int"), "join-groups")
+
     names = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sketched = survey.where("not shared and n > 0").select("node", "n", "sketch")
     nodes = stored(groups.select("node").distinct().join(sketched, "node").groupBy("node", "n").agg(F.first("sketch").alias("sketch")), "join-nodes")
-    wanted = names.join(nodes.select("node"), "node").where("doc_id is not null")
-    named_texts = docs.join(wanted, "doc_id").select("doc_id", "node", "text").distinct()  # partitioned by the join already
-    texts = stored(named_texts.select("node", "text").mapInArrow(_own, "node long, text string"), "join-texts")
-    first = stored(_verify(pairs, nodes, texts), "join-links")
-    roots = components(first)
-
-    # round two: pairs across components under a shared signature; sketches go along, so that few pairs leave a task
-    def crossing(roots: DataFrame, forest: bool) -> DataFrame:
-        placed = groups.select("sign", "node", "n", "most").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = placed.groupBy("sign").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("sign")
-        rows = placed.join(mixed, "sign", "left_semi").join(nodes.select("node", "sketch"), "node").select("sign", "node", "n", "most", "root", "sketch")
-        return rows.repartition(width, "sign").mapInArrow(lambda b: _across(b, forest), "u long, v long").distinct()
-
-    second = stored(_verify(crossing(roots, True), nodes, texts), "join-links")
-    nearer = components(first.union(second))
-    third = stored(_verify(crossing(nearer, False), nodes, texts), "join-links")
-    linked = components(first.union(second).union(third))
-    for used in (groups, nodes, texts, first, second, third, roots, nearer):
+    rows = groups.join(nodes.select("node", "sketch"), "node").select("sign", "node", "n", "most", "sketch")  # sketches go along, so that few pairs leave a task
+    pairs = stored(rows.repartition(width, "sign").mapInArrow(_alike, "u long, v long").distinct(), "join-pairs")
+    able = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    # a class whose rows all lack an id is read by its node instead
+    wanted = names.join(able, "node")
+    named_texts = docs.join(wanted.where("doc_id is not null"), "doc_id").select("node", "text")
+    unnamed = docs.where("doc_id is null").crossJoin(F.broadcast(wanted.where("doc_id is null").select("node"))).select("node", "text")
+    texts = stored(named_texts.union(unnamed).distinct().mapInArrow(_own, "node long, text string").dropDuplicates(["node"]), "join-texts")
+    links = stored(_verify(pairs, texts, width), "join-links")
+    for used in (groups, nodes, pairs, texts):
         dropped(used)
+    return members, names, links
 
+
+def linked_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, other_id): every link between different sets once, each set named by the smallest id that has it."""
+    _, names, links = _join(df, id_col, text_col)
+    side = lambda x, to: names.select(F.col("node").alias(x), F.col("doc_id").alias(to))
+    both = links.join(side("u", "a"), "u").join(side("v", "b"), "v")
+    return both.select(F.least("a", "b").alias("doc_id"), F.greatest("a", "b").alias("other_id"))
+
+
+def linked_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links): the size of each document's set, the smallest id that links reach, and how many documents it links with."""
+    members, names, links = _join(df, id_col, text_col)
+    linked = components(links)
     reach = names.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = reach.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = reach.join(least, "root").select("node", "component_id")
-    alone = members.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    full = members.where("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    copies = members.where("n > 0").groupBy("node").agg((F.count_distinct("doc_id") + F.count_if(F.col("doc_id").isNull())).alias("m"))
+    other = links.union(links.select("v", "u")).toDF("node", "v").join(copies.withColumnRenamed("node", "v"), "v").groupBy("node").agg(F.sum("m").alias("others"))
+    counted = copies.join(other, "node", "left").select("node", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    alone = members.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    full = members.where("n > 0").join(named, "node").join(counted, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
     return full.union(alone)
