@@ -230,13 +230,81 @@ def test_tool_calls(spark):
     ).collect()
     by = {(r.conv_id, r.call_id): r for r in got if r.status != "orphan_result"}
     assert len(got) == 10 and {(r.conv_id, r.call_id) for r in got if r.status == "orphan_result"} == {(1, "q"), (None, "z")}
-    assert [by[1, x].level for x in "abc"] == [0, 1, 2] and by[2, "a"].level == by[2, "b"].level == -1
-    assert by[1, "a"].valid and by[1, "a"].json == '{"arguments":{"k":"b","x":1},"call_id":"a","content":"ok","conv_id":"1","level":0,"name":"f","result_turn":1,"status":"linked","turn":0}'
+    assert [by[1, x].stage for x in "abc"] == [0, 0, 0] and by[2, "a"].stage == by[2, "b"].stage == -1
+    assert by[1, "a"].valid and by[1, "a"].json == '{"arguments":{"k":"b","x":1},"call_id":"a","content":"ok","conv_id":"1","name":"f","result_turn":1,"stage":0,"status":"linked","turn":0}'
     assert by[1, "b"].errors == ["$.x: breaks minimum 1"] and by[1, "c"].errors == ["unknown tool"] and by[1, "c"].repeats == 2
     assert by[2, "a"].errors == ["arguments are no JSON"] == by[2, "d"].errors and by[2, "d"].status == "linked" and sorted(by[2, "b"].errors) == ["$: has further properties", "$: lacks x"]
     assert by[None, "z"].status == "no_result" and by[None, "z"].errors == ["$.x: is not integer"]
 
 
+CALLS, RESULTS = "conv_id long, call_id string, turn long, name string, arguments string, needs array<string>, level long, stage string", "conv_id long, call_id string, turn long, content string, repeats long"
+
+
+def plain_stages(calls):
+    """Stages of {call: (turn, needs)} by the definition; -1 on or above a cycle."""
+    known = {c: [d for d in set(needs) if d in calls and d != c] for c, (_, needs) in calls.items()}
+    out, active = {}, set()
+
+    def visit(c):
+        if c in out:
+            return out[c]
+        if c in active:
+            return None
+        active.add(c)
+        below = [(visit(d), (calls[d][0], d) > (calls[c][0], c)) for d in known[c]]
+        active.discard(c)
+        bad = any(x is None or x == -1 for x, _ in below)
+        value = -1 if bad else max([x + f for x, f in below], default=0)
+        if not bad or not active:
+            out[c] = value
+        return value if not bad else (-1 if not active else None)
+
+    for c in calls:
+        visit(c)
+    return out
+
+
+def test_tool_calls_are_in_topological_order(spark):
+    rng, rows, plain = random.Random(31), [], {}
+    for conv in range(60):
+        n, ahead = rng.randint(1, 12), rng.choice([0, 0.05, 0.3])
+        calls = {}
+        for i in range(n):
+            needs = [f"c{rng.randrange(max(i, 1))}" if rng.random() > ahead else f"c{rng.randrange(n)}" for _ in range(rng.randint(0, 3))]
+            calls[f"c{i}"] = (i // 2, needs)
+        plain[conv] = plain_stages(calls), calls
+        rows += [(conv, c, t, "f", "{}", needs, 7, "x") for c, (t, needs) in calls.items()]
+    got = tool_chat.link_calls(spark.createDataFrame(rows, CALLS), spark.createDataFrame([], RESULTS), {"f": {}}).collect()
+    assert len(got) == len(rows) and any(r.stage > 0 for r in got) and any(r.stage < 0 for r in got)
+    for r in got:
+        assert r.stage == plain[r.conv_id][0][r.call_id], (r.conv_id, r.call_id)
+    for conv, (_, calls) in plain.items():
+        order = sorted((r for r in got if r.conv_id == conv and r.stage >= 0), key=lambda r: (r.stage, r.turn, r.call_id))
+        place = {r.call_id: i for i, r in enumerate(order)}
+        assert all(place[d] < place[c] for c in place for d in calls[c][1] if d in place and d != c)
+
+
+def test_tool_calls_of_a_long_conversation(spark):
+    calls = [(1, f"c{i}", i, "f", "{}", [f"c{i - 1}", f"c{i - 2}"], 7, "x") for i in range(5000)]
+    results = [(1, f"c{i}", i + 1, "ok", 1) for i in range(5000)] * 2
+    got = tool_chat.link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), {"f": {}})
+    assert got.where("stage = 0 and status = 'linked' and valid and result_repeats = 2 and repeats = 1").count() == got.count() == 5000
+    assert tool_chat.link_calls(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), {}).count() == 0
+    lost = tool_chat.link_calls(spark.createDataFrame([], CALLS), spark.createDataFrame(results, RESULTS), {})
+    assert lost.where("status = 'orphan_result' and stage is null").count() == lost.count() == 5000
+
+
+def test_tool_calls_of_conversations(spark, tmp_path):
+    turns = [(1, 0, "system", "rules"), (1, 1, "user", "what"), (1, 2, "assistant", "that"), (1, 3, None, ""), (2, 0, "assistant", "alone"), (2, None, "user", "when"), (None, 1, "user", None), (None, 2, "assistant", "x"), (None, 2, "assistant", "y")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op6_tool_chat(spark, str(tmp_path)).collect()
+    by = {(r.conv_id, r.call_id): r for r in got if r.call_id}
+    assert len(got) == 8 and sum(r.call_id is None for r in got) == 4  # rows without an identifier stand alone
+    assert (by[1, "1-0"].status, by[1, "1-0"].name, by[1, "1-0"].valid) == ("no_result", "configure", True)
+    assert (by[1, "1-1"].status, by[1, "1-1"].valid) == ("linked", True) and '"content":"that"' in by[1, "1-1"].json
+    assert by[1, "1-3"].errors == ["$.text: breaks minLength 1"] and by[2, "2--1"].status == "orphan_result"
+
+
 def test_bpe(spark):
     ranks, pattern = queries.tokenizer_file("byte_bpe_50k.tiktoken"), queries.split_pattern()
     texts = EDGE + ["don't  stop\n\n now 123", "<|endoftext|>"] + texts_of(2, 20)

@@ -86,15 +86,21 @@ CHAT_TOOLS = {
 }
 
 
-def op6_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """System and user turns as calls, each assistant turn as the result of the turn before it; a call needs the last two turns' calls."""
-    turns = table(spark, sf_dir, "conversations")
-    call_id = lambda back: F.concat_ws("-", "conv_id", (F.col("turn") - back).cast("string"))
-    calls = turns.where("role <> 'assistant'").select(
+def chat_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(calls, results): system and user turns, and turns without a role, as calls, each assistant turn as the result of the turn before it; a call needs the last two turns' calls.
+
+    An identifier joins conversation and turn; where either is null it is null and links with nothing."""
+    call_id = lambda back: F.concat(F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - back).cast("string"))
+    answer = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    calls = turns.where(~answer).select(
         "conv_id", call_id(0).alias("call_id"), "turn", F.when(F.col("role") == "system", "configure").otherwise("ask").alias("name"),
         F.to_json(F.struct("turn", "text")).alias("arguments"), F.array(call_id(1), call_id(2)).alias("needs"),
     )
-    results = turns.where("role = 'assistant'").select("conv_id", call_id(1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return calls, turns.where(answer).select("conv_id", call_id(1).alias("call_id"), "turn", F.col("text").alias("content"))
+
+
+def op6_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat_calls(table(spark, sf_dir, "conversations"))
     return tool_chat.link_calls(calls, results, CHAT_TOOLS)
 
 

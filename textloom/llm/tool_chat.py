@@ -1,16 +1,20 @@
 """Chat formatting: link tool calls and results, order them, validate arguments, write canonical JSON.  DataFrame functions only.
 
-Calls and results are hash-joined on conversation and identifier.  Dependencies among calls give levels: level 0 depends on
-nothing, every other call stands one level above the highest call it depends on; (level, turn, call_id) is a topological order of a
-conversation.  Arguments are parsed as variants: their schema checks are expressions, and a variant writes its keys in order,
+Calls and results are hash-joined on conversation and identifier.  Order: by (stage, turn, call_id) every call of a conversation
+comes after all that it needs.  A call's stage is the largest number of *forward* needs, ones on a call that is later by (turn,
+call_id), along any chain of needs below it; as most needs point back, most stages are 0 without any work, and only calls that stand above a forward
+need are visited, in rounds that touch only calls whose stage has just risen.
+Arguments are parsed as variants: their schema checks are expressions, and a variant writes its keys in order,
 without spaces, so equal arguments have equal JSON.
 
-No conversation is ever gathered in one place; joins have the call's identifier in their keys, so long conversations spread.
+No conversation is ever gathered in one place; joins have the call's identifier in their keys, so long conversations spread.  The rounds
+append to one table that is read once, so the final plan does not depend on their number.
 
 Defined cases: a call without a result: status ``no_result``; a result without a call: ``orphan_result``.  Several calls or
-results of one identifier: the smallest by (turn, name, arguments) or (turn, content) stands, ``repeats`` counts the calls.  Dependencies on unknown calls or on
-itself are ignored; calls on or above a cycle have level -1.  Null or malformed arguments, or unknown tools: not valid, with the reason.
-Null identifiers never link.  Extra columns are ignored; empty tables give empty results.
+results of one identifier: the smallest by (turn, name, arguments) or (turn, content) stands, ``repeats`` and ``result_repeats`` count
+them.  Dependencies on unknown calls or on itself are ignored; calls on or above a cycle have stage -1.  A null turn comes before all
+others.  Null or malformed arguments, or unknown tools: not valid, with the reason.  Calls and results whose conversation or identifier is null never
+link: each keeps a row of its own.  Extra columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -70,45 +74,63 @@ def argument_errors(name: Column, arguments: Column, schemas: dict[str, dict]) -
     return F.when(value.isNull(), F.array(F.lit("arguments are no JSON"))).otherwise(out)
 
 
-def levels_of(calls: DataFrame, needs: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of ``calls`` (distinct) under ``needs`` (conv_id, call_id, needed): one round a level."""
-    key = ["conv_id", "call_id"]
-    known = calls.select("conv_id", F.col("call_id").alias("needed"))
-    left = stored(needs.where("call_id <> needed").distinct().join(known, ["conv_id", "needed"]).join(calls.select(key), key).select(*key, "needed"), "chat-needs")
-    waiting, rounds = stored(calls.select(key), "chat-calls"), []
-    while True:
-        blocked = left.select(key).distinct()
-        free = stored(waiting.join(blocked, key, "left_anti"), "chat-level")
-        if free.isEmpty():
-            break
-        rounds.append(free.withColumn("level", F.lit(len(rounds))))
-        rest = stored(waiting.join(blocked, key, "left_semi"), "chat-calls")
-        fewer = stored(left.join(free.select("conv_id", F.col("call_id").alias("needed")), ["conv_id", "needed"], "left_anti").select(*key, "needed"), "chat-needs")
-        dropped(waiting)
-        dropped(left)
-        waiting, left = rest, fewer
-    out = waiting.withColumn("level", F.lit(-1))
-    for r in rounds:
-        out = out.union(r)
-    return out
+#: The stage of calls on or above a cycle while rounds go on: above any other.
+_CYCLE = 1 << 62
+
+
+def stages_of(calls: DataFrame, needs: DataFrame) -> DataFrame:
+    """(conv_id, call_id, stage) of the calls whose stage is not 0; ``calls`` (conv_id, call_id, turn) are distinct, ``needs``: conv_id, call_id, needed."""
+    key, to = ["conv_id", "call_id"], ["conv_id", "needed"]
+    spark = calls.sparkSession
+    place = lambda turn, call: F.struct(F.coalesce(turn.cast("long"), F.lit(-(1 << 63))), call)
+    mine = calls.select(*key, place(F.col("turn"), F.col("call_id")).alias("at"))
+    theirs = mine.toDF(*to, "needed_at")
+    edges = needs.where("call_id <> needed").distinct().join(theirs, to).join(mine, key)
+    edges = stored(edges.select(*key, "needed", (F.col("needed_at") > F.col("at")).cast("long").alias("forward")), "chat-needs")
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in calls.select(key).schema) + ", stage long"
+    frontier = edges.where("forward = 1").groupBy(*key).agg(F.lit(1).cast("long").alias("stage"))
+    if frontier.isEmpty():
+        dropped(edges)
+        return spark.createDataFrame([], shape)
+    # a chain without a cycle passes each forward need once
+    most = stored(edges.groupBy("conv_id").agg(F.sum("forward").alias("most")).where("most > 0"), "chat-most")
+    best = frontier = stored(frontier, "chat-stages")
+    while not frontier.isEmpty():
+        found = edges.join(frontier.select("conv_id", F.col("call_id").alias("needed"), "stage"), to)
+        found = found.groupBy(*key).agg(F.max(F.when(F.col("stage") == _CYCLE, _CYCLE).otherwise(F.col("stage") + F.col("forward"))).alias("new"))
+        risen = found.join(best, key, "left").where("stage is null or new > stage").join(most, "conv_id")
+        frontier = stored(risen.select(*key, F.when(F.col("new") > F.col("most"), F.lit(_CYCLE)).otherwise(F.col("new")).alias("stage")), "chat-frontier")
+        more = stored(best.union(frontier).groupBy(*key).agg(F.max("stage").alias("stage")), "chat-stages")
+        dropped(best)
+        best = more
+    for used in (edges, most):
+        dropped(used)
+    return best.withColumn("stage", F.when(F.col("stage") == _CYCLE, F.lit(-1).cast("long")).otherwise(F.col("stage")))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """(conv_id, call_id, turn, name, level, status, valid, errors, repeats, json).
+    """(conv_id, call_id, turn, name, stage, status, valid, errors, repeats, result_repeats, json); calls by (stage, turn, call_id) are in topological order.
 
     ``calls``: conv_id, call_id, turn, name, arguments (JSON text), needs (array of identifiers); ``results``: conv_id,
     call_id, turn, content.
     """
     key = ["conv_id", "call_id"]
-    one = calls.groupBy(*key).agg(F.min(F.struct("turn", "name", "arguments")).alias("c"), F.count("*").alias("repeats"))
-    one = stored(one.select(*key, "c.*", "repeats"), "chat-linked")
-    answers = results.groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r"))
-    unnamed = F.col("conv_id").isNull() | F.col("call_id").isNull()
-    levels = levels_of(one.where(~unnamed).select(key), calls.select(*key, F.explode("needs").alias("needed")))
-    both = one.join(answers, key, "full").join(levels, key, "left")
+    named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    one = calls.where(named).groupBy(*key).agg(F.min(F.struct("turn", "name", "arguments")).alias("c"), F.count("*").alias("repeats"))
+    answers = results.where(named).groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("result_repeats"))
+    stages = stages_of(one.select(*key, "c.turn"), calls.where(named).select(*key, F.explode("needs").alias("needed")).where("needed is not null"))
+    linked = one.join(answers, key, "full").join(stages, key, "left")
+    once, never = F.lit(1).cast("long"), F.lit(None).cast("long")
+    lone_calls = calls.where(~named).select(*key, F.struct("turn", "name", "arguments").alias("c"), once.alias("repeats"), F.lit(None).cast(answers.schema["r"].dataType).alias("r"), never.alias("result_repeats"), never.alias("stage"))
+    lone_results = results.where(~named).select(*key, F.lit(None).cast(one.schema["c"].dataType).alias("c"), never.alias("repeats"), F.struct("turn", "content").alias("r"), once.alias("result_repeats"), never.alias("stage"))
+    both = linked.select(*lone_calls.columns).union(lone_calls).union(lone_results)
     status = F.when(F.col("repeats").isNull(), "orphan_result").when(F.col("r").isNull(), "no_result").otherwise("linked")
-    errors = F.when(F.col("repeats").isNull(), F.array().cast("array<string>")).otherwise(argument_errors(F.col("name"), F.col("arguments"), schemas))
-    shown = both.select(*key, F.coalesce("turn", "r.turn").alias("turn"), "name", F.when(F.col("repeats").isNotNull(), F.coalesce("level", F.lit(0))).alias("level"), status.alias("status"), errors.alias("errors"), F.coalesce("repeats", F.lit(0)).alias("repeats"), F.try_parse_json("arguments").alias("arguments"), F.col("r.content").alias("content"), F.col("r.turn").alias("result_turn"))
+    errors = F.when(F.col("repeats").isNull(), F.array().cast("array<string>")).otherwise(argument_errors(F.col("c.name"), F.col("c.arguments"), schemas))
+    shown = both.select(
+        *key, F.coalesce("c.turn", "r.turn").alias("turn"), F.col("c.name").alias("name"), F.when(F.col("repeats").isNotNull(), F.coalesce("stage", F.lit(0).cast("long"))).alias("stage"),
+        status.alias("status"), errors.alias("errors"), F.coalesce("repeats", F.lit(0).cast("long")).alias("repeats"), F.coalesce("result_repeats", F.lit(0).cast("long")).alias("result_repeats"),
+        F.try_parse_json("c.arguments").alias("arguments"), F.col("r.content").alias("content"), F.col("r.turn").alias("result_turn"),
+    )
     # keys in order, as canonical JSON has them
-    shape = F.struct(F.col("arguments"), F.col("call_id").cast("string").alias("call_id"), F.col("content"), F.col("conv_id").cast("string").alias("conv_id"), F.col("level"), F.col("name"), F.col("result_turn"), F.col("status"), F.col("turn"))
-    return shown.select(*key, "turn", "name", "level", "status", (F.size("errors") == 0).alias("valid"), "errors", "repeats", F.to_json(shape).alias("json"))
+    shape = F.struct(F.col("arguments"), F.col("call_id").cast("string").alias("call_id"), F.col("content"), F.col("conv_id").cast("string").alias("conv_id"), F.col("name"), F.col("result_turn"), F.col("stage"), F.col("status"), F.col("turn"))
+    return shown.select(*key, "turn", "name", "stage", "status", (F.size("errors") == 0).alias("valid"), "errors", "repeats", "result_repeats", F.to_json(shape).alias("json"))
