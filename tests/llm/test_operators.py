@@ -489,20 +489,83 @@ def test_toxicity_indexes_terms_beyond_the_strongest(spark):
     assert len(index.vocabulary) > 600 and got[80].votes > 0.9 and len(got[80].evidence) == 3
 
 
-def test_block_max_neighbours_are_exact():
+def plain_terms(text):
+    words = re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.translate(LOWER).encode())
+    return Counter([(0, w) for w in words] + [(k, w[:k]) for w in words for k in toxicity_knn.PREFIXES if len(w) > k])
+
+
+def test_toxicity_equals_plain_cosines(spark):
+    """Weights from all documents, exact TF-IDF cosines over every term, neighbours, votes: against plain code, with repeated ids and rows."""
+    texts = texts_of(23, 90, 120, 50) + EDGE
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3])] * 40 + [(4, "zzz zzz"), (None, "lost"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = labelled(spark, [(i, 1, int(i % 3 == 0)) for i in range(60)] * 2 + [(None, 1, 1)])
+    index = toxicity_knn.fit(docs, labels, "toxic", F.lit(True))
+    bags = {t: plain_terms(t or "") for _, t in rows}
+    df, cf, lengths = Counter(), Counter(), Counter()
+    for _, t in rows:
+        df.update(bags[t].keys())
+        cf.update(bags[t])
+        lengths[int(np.floor(4 * np.log2(sum(bags[t].values()) + 1.0)))] += 1
+    size = {c: 2 ** ((c + 0.5) / 4) - 1 for c in lengths}
+    total = sum(n * size[c] for c, n in lengths.items())
+    weight = lambda w: np.log((1 + len(rows)) / df[w]) * (max(np.log(sum(n * (1 - np.exp(-cf[w] * size[c] / total)) for c, n in lengths.items()) / df[w]), 0) + 0.05)
+    examples = {i: min(t or "" for d, t in rows if d == i) for i in range(60)}
+    known = {w for t in examples.values() for w in plain_terms(t)}
+    weights = {w: weight(w) for w in known}
+
+    def vector(t):
+        v = {w: (1 + np.log(n)) * weights[w] for w, n in plain_terms(t or "").items() if w in known}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    assert sorted(index.ids) == list(range(60)) and len(index.vocabulary) == len(known)
+    vectors = [vector(examples[i]) for i in index.ids]
+    got = toxicity_knn.score(docs, index).collect()
+    assert len(got) == len(rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r.doc_id].append(r)
+    for i, t in enumerate(texts):
+        q = vector(t)
+        cosines = np.array([round(sum(x * v.get(w, 0.0) for w, x in q.items()), 8) for v in vectors])
+        best = np.sort(cosines[cosines > 0])[::-1]
+        if len(best) < 60 or (cosines == best[-1]).sum() == 1:
+            same = [np.sort([c for c, j in zip(cosines, index.ids) if c > 0 and c >= best[-1] and (j % 3 == 0) == bool(x.predicted)])[::-1][:3] for x in by[i]] if len(best) else [[]]
+            r = next((x for x, c in zip(by[i], same) if len(c) == len(x.evidence) and np.allclose([e.cosine for e in x.evidence], c, atol=1e-7)), None)
+            assert r is not None and all(e.label == int(e.doc_id % 3 == 0) == r.predicted for e in r.evidence), i
+            share = sum(cosines[j] ** 2 for j in range(60) if cosines[j] >= best[-1] and index.ids[j] % 3 == 0) / ((best**2).sum() + 0.1) if len(best) else 0
+            assert abs(r.votes - share) < 1e-6
+    assert len({(r.score, r.votes) for r in by[3]}) == 1 and {r.votes for r in by[None]} >= {0.0}
+
+
+@pytest.mark.parametrize("head,first", [(9, 2), (200, 1), (1, 30)])
+def test_block_max_neighbours_are_exact(head, first, monkeypatch):
+    for name, value in (("HEAD", head), ("BLOCK", 4), ("QUERIES", 5), ("FIRST", first)):
+        monkeypatch.setattr(toxicity_knn, name, value)
     rng = np.random.default_rng(3)
-    rows = rng.random((500, 40)) * (rng.random((500, 40)) < 0.15)
+    times = rng.integers(1, 5, (503, 40)) * (rng.random((503, 40)) < 0.15 * rng.random(40) * 3)
+    times[50:60] = times[40]  # ties
+    times[70] = 0
+    doc, term = np.nonzero(times)
+    weight = rng.random(40) ** 3 + 0.05
+    index = toxicity_knn.Index(np.arange(40, dtype=np.uint64), weight)
+    index.post(doc, term, times[doc, term], (np.arange(503) % 2).astype(float), list(range(503)))
+    rows = np.where(times > 0, 1 + np.log(np.maximum(times, 1)), 0) * weight
     rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-    rows[50:60] = rows[40]  # ties
-    index = toxicity_knn.Index(np.arange(40, dtype=np.uint64), np.ones(40))
-    index.build(rows, (np.arange(500) % 2).astype(float), list(range(500)))
-    ordered = rows[index.ids]
-    query = rows[::7] * 1.0
-    ids, sims = index.nearest(query, k=9)
-    dots = np.round(query @ ordered.T, 10)
-    for d, i, s in zip(dots, ids, sims, strict=True):
-        best = [x for x in np.lexsort((np.arange(500), -d))[:9] if d[x] > 0]
-        assert [x for x in i if x >= 0] == best and np.allclose(s[: len(best)], d[best])
+    place = np.array(index.ids)
+    q = np.arange(0, 503, 7)
+    d, t = np.nonzero(times[q])
+    query = index.known(d, t.astype(np.uint64), times[q][d, t], len(q))
+    for without in (None, np.argsort(place)[q]):
+        ids, sims = index.nearest(query, k=9, without=without)
+        dots = np.round(rows[q] @ rows[place].T, 10)
+        if without is not None:
+            dots[np.arange(len(q)), without] = 0
+        for x, i, s in zip(dots, ids, sims, strict=True):
+            best = [j for j in np.lexsort((np.arange(503), -x))[:9] if x[j] > 0]
+            assert np.allclose(s[: len(best)], x[best], atol=1e-9) and (i[len(best) :] == -1).all()
+            assert np.allclose(x[i[: len(best)]], x[best], atol=1e-9) and len(set(i[: len(best)])) == len(best)
 
 
 def test_words_stop_at_documents():

@@ -1,15 +1,21 @@
-"""Toxicity by nearest labelled examples under exact TF-IDF cosine, on an inverted index.
+"""Toxicity by nearest labelled examples under exact TF-IDF cosine, on a block-max inverted index.
 
-Terms are words and their first bytes (4 to 7, so that inflected forms share a term).  The vocabulary is every term that tells the
-classes apart (likelihood ratio over the training texts) by more than chance explains, however many there are.  The postings of a term are the examples that have it.  A query adds up the postings of its terms, so the neighbours are exact;
-the terms with the longest postings stand as one dense matrix, so that a batch's share of them is one product.
-Votes weigh by similarity; a logistic curve fitted on the training texts (each without itself) turns the share of votes into a
-calibrated score.  Evidence: the nearest examples.
+Terms are words and their first 4 and 6 bytes (so that inflected forms share a term).  Every term of the examples is indexed; none is
+chosen by label.  A text's vector has (1 + ln tf) * weight(term); the weight is the term's IDF, ln((1 + N) / df), times its residual IDF,
+ln(expected df / df) from a Poisson model by document length, no less than 0 and raised by ``FLOOR`` - so that words that
+recur inside documents count more than words that happen to meet.  df, collection frequency and lengths are counted over all documents.
 
-Training uses a bounded sample (``EXAMPLES`` of each class, in the order of a hash of their ids); scoring covers every row.
+Examples stand in blocks of ``BLOCK``.  Terms of short postings are added up exactly; for the ``HEAD`` terms of the longest postings each block
+has their maxima, which bound what a block can still gain.  The blocks of the greatest bounds are completed first; others only while their
+bound reaches the k-th best cosine, so neighbours are exact.
+Votes weigh by squared similarity; a logistic curve fitted on the training texts (each without itself) turns the share of votes into a
+calibrated score.  Evidence: the nearest of the neighbours that voted for the prediction.
+
+Training uses a bounded sample (``EXAMPLES`` of each class, in the order of a hash of their ids), one text for each id; scoring covers every row.
 Defined cases: null or empty text, or no vocabulary term: no neighbour, the calibrated score of no votes.  Null labels
-are left out; of several labels for one id the largest counts.  No labels or one class: every score is the share of label 1
-(0.0 without labels).  Equal similarities: the smaller example number first.  Repeated rows score equally; extra columns are ignored.
+are left out; of several labels for one id the largest counts, of several texts the smallest.  No labels or one class: every score is the share of label 1
+(0.0 without labels).  Equal similarities (to 10 digits): the smaller example number first.  Repeated rows score equally; extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,15 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ALNUM_WORD, documents_of, prepare, stored, dropped, text_chunks, word_hashes, words_of
+from textloom.llm.common import ALNUM_WORD, documents_of, dropped, prepare, stored, text_chunks, word_hashes, words_of
 
 EXAMPLES = 6_000
-#: The likelihood ratio that chance reaches once in a thousand terms; a term's own, so a vocabulary of any size passes.
-LEAST_RATIO = 10.83
-PREFIXES = (4, 5, 6, 7)
-NEIGHBOURS, EVIDENCE = 16, 3
-#: Terms that stand in the dense matrix, and queries taken at once: speed only.
-HEAD, QUERIES = 768, 128
+FLOOR = 0.05
+PREFIXES = (4, 6)
+NEIGHBOURS, EVIDENCE = 64, 3
+#: Terms with block maxima, examples in a block, queries taken at once, blocks completed first: speed only.
+HEAD, BLOCK, QUERIES, FIRST = 768, 64, 128, 8
+#: Terms whose corpus counts travel together, and rows that add up each such range.
+RANGE, SALTS = 1 << 16, 8
 THRESHOLD = 0.3
 _U = np.uint64
 
@@ -59,15 +66,14 @@ def counted(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 @dataclass
 class Index:
-    """Postings of every term: examples and codes of weights, from ``start[t]`` to ``start[t + 1]`` for term ``t``."""
+    """Postings of every term: examples and term frequencies, from ``start[t]`` to ``start[t + 1]`` for term ``t``."""
 
     vocabulary: np.ndarray  # sorted term hashes
-    idf: np.ndarray
+    weight: np.ndarray  # of each term
     start: np.ndarray = None
     example: np.ndarray = None
-    code: np.ndarray = None
-    value: np.ndarray = None  # of each code
-    length: np.ndarray = None  # of each example
+    times: np.ndarray = None
+    length: np.ndarray = None  # of each example's vector
     label: np.ndarray = None
     ids: list = field(default_factory=list)
     curve: tuple[float, float] = (0.0, 0.0)
@@ -78,69 +84,100 @@ class Index:
         return self.known(*counted(*terms_of(buf, off)), len(off) - 1)
 
     def known(self, doc: np.ndarray, key: np.ndarray, times: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        term = np.minimum(np.searchsorted(self.vocabulary, key), max(len(self.vocabulary) - 1, 0))
-        same = self.vocabulary[term] == key if len(self.vocabulary) else np.zeros(len(key), bool)
+        term, same = places_of(self.vocabulary, key)
         doc, term, times = doc[same], term[same], times[same]
-        weight = (1 + np.log(times)) * self.idf[term]
+        weight = (1 + np.log(times)) * self.weight[term]
         size = np.maximum(np.sqrt(np.bincount(doc, weight * weight, n)), 1e-300)
         return np.searchsorted(doc, np.arange(n + 1)), term, weight / size[doc]
 
-    def build(self, rows: np.ndarray, label: np.ndarray, ids: list) -> None:
-        """From dense rows of length one."""
-        doc, term = np.nonzero(rows)
-        value, code = np.unique(rows[doc, term] / self.idf[term], return_inverse=True)
-        self.post(doc, term, code, value, np.ones(len(rows)), label, ids)
-
-    def post(self, doc: np.ndarray, term: np.ndarray, code: np.ndarray, value: np.ndarray, length: np.ndarray, label: np.ndarray, ids: list) -> None:
-        order = np.argsort(term, kind="stable")
-        small = lambda x, n: x.astype(np.uint16 if n <= 1 << 16 else np.uint32)
-        self.example, self.code, self.value = small(doc[order], len(ids)), small(code[order], len(value)), value
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(self.vocabulary)))])
-        self.length, self.label, self.ids = length, label, ids
-
-    def _dense(self) -> tuple[np.ndarray, np.ndarray]:
-        """(column of each term or -1, columns x examples) of the terms with the longest postings; made once a process."""
-        if "_head" not in self.__dict__:
+    def post(self, doc: np.ndarray, term: np.ndarray, times: np.ndarray, label: np.ndarray, ids: list) -> None:
+        """Take the rows (doc, term, times), sorted by doc, as examples; those whose strongest long-posted term is the same stand together."""
+        n = len(ids)
+        value = (1 + np.log(times)) * self.weight[term]
+        length = np.maximum(np.sqrt(np.bincount(doc, value**2, n)), 1e-300)
+        common = np.bincount(term, minlength=len(self.vocabulary))[term] >= n / 64
+        first, strongest = np.searchsorted(doc[common], np.arange(n)), np.zeros(n, np.int64)
+        held = np.diff(np.append(first, common.sum())) > 0
+        if held.any():
+            best = np.zeros(n)
+            best[held] = np.maximum.reduceat(value[common], first[held])
+            top = np.flatnonzero(value[common] == best[doc[common]])[::-1]
+            strongest[doc[common][top]] = term[common][top]
+        del value, common
+        order = np.lexsort((np.arange(n), strongest))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        small = lambda x, most: x.astype(np.uint16 if most < 1 << 16 else np.uint32)
+        at = np.lexsort((place[doc], term))
+        self.example, self.times = small(place[doc[at]], n), small(times[at], int(times.max(initial=0)))
+        self.start = np.searchsorted(term[at], np.arange(len(self.vocabulary) + 1))
+        self.length, self.label, self.ids = length[order], label[order], [ids[i] for i in order.tolist()]
+
+    def _tables(self) -> tuple[np.ndarray, ...]:
+        """(example and value of each posting, column of each term or -1, blocks x columns x examples of the long-posted terms, their block maxima); made once a process."""
+        if "_made" not in self.__dict__:
+            example = self.example.astype(np.int64)
+            value = (1 + np.log(self.times)) * np.repeat(self.weight, np.diff(self.start)) / self.length[example]
+            blocks = -(-max(len(self.ids), 1) // BLOCK)
             top = np.argsort(-np.diff(self.start), kind="stable")[:HEAD]
-            column, matrix = np.full(len(self.vocabulary), -1), np.zeros((len(top), len(self.ids)))
+            column, matrix = np.full(len(self.vocabulary), -1), np.zeros((len(top), blocks * BLOCK))
             column[top] = np.arange(len(top))
             for c, t in enumerate(top.tolist()):
-                at = slice(self.start[t], self.start[t + 1])
-                matrix[c, self.example[at]] = self.value[self.code[at]] * self.idf[t]
-            self._head = column, matrix
-        return self._head
+                matrix[c, example[self.start[t] : self.start[t + 1]]] = value[self.start[t] : self.start[t + 1]]
+            cut = matrix.reshape(len(top), blocks, BLOCK)
+            self._made = example, value, column, np.ascontiguousarray(cut.transpose(1, 0, 2)), cut.max(axis=2)
+        return self._made
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_head"}
+        return {k: v for k, v in self.__dict__.items() if k != "_made"}
 
-    def _cosines(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-        column, matrix = self._dense()
-        at, m = column[term], len(self.ids)
-        head = np.zeros((n, len(matrix)))
-        head[row[at >= 0], at[at >= 0]] = weight[at >= 0]
-        out = head @ matrix
-        row, term, weight = row[at < 0], term[at < 0], (weight * self.idf[term])[at < 0]
+    def _added(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, out: np.ndarray) -> None:
+        """Add what short-posted terms give to the cosines ``out`` (queries x examples)."""
+        example, value = self._tables()[:2]
         first, size = self.start[term], self.start[term + 1] - self.start[term]
-        cut = np.searchsorted(row, np.arange(n + 1))
+        cut = np.searchsorted(row, np.arange(len(out) + 1))
         for r, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
             if i < j:
                 lens = size[i:j]
                 ends = np.cumsum(lens)
                 places = np.repeat(first[i:j] - ends + lens, lens) + np.arange(ends[-1])
-                out[r] += np.bincount(self.example[places], np.repeat(weight[i:j], lens) * self.value[self.code[places]], m)
-        return out / self.length
-
-    def nearest(self, query: np.ndarray | tuple, k: int = NEIGHBOURS, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """For each query row (sparse, or dense) its ``k`` examples of greatest cosine above zero (-1: none left) and their cosines."""
-        if not isinstance(query, tuple):
-            doc, term = np.nonzero(query)
-            query = np.searchsorted(doc, np.arange(len(query) + 1)), term, query[doc, term]
+                out[r] = np.bincount(example[places], np.repeat(weight[i:j], lens) * value[places], out.shape[1])
+
+    def _batch(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> np.ndarray:
+        """Cosines of ``n`` queries with all examples that can be among their best ``k``; of others a value below those."""
+        *_, column, matrix, most = self._tables()
+        blocks, at = len(matrix), column[term]
+        out = np.zeros((n, blocks * BLOCK))
+        self._added(row[at < 0], term[at < 0], weight[at < 0], out)
+        head = np.zeros((n, matrix.shape[1]))
+        head[row[at >= 0], at[at >= 0]] = weight[at >= 0]
+        cut = out.reshape(n, blocks, BLOCK)
+        bound = head @ most + cut.max(axis=2) + 1e-9
+
+        def complete(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+                q = np.flatnonzero(wanted[:, b])
+                cut[q, b] += head[q] @ matrix[b]
+
+        done = np.zeros((n, blocks), bool)
+        np.put_along_axis(done, np.argpartition(-bound, min(FIRST, blocks) - 1, axis=1)[:, : min(FIRST, blocks)], True, axis=1)
+        complete(done)
+        # sums of short-posted terms are bounds from below, so the k-th best of all can only rise
+        least = np.partition(out, max(out.shape[1] - k, 0), axis=1)[:, max(out.shape[1] - k, 0)]
+        rest = ~done & (bound >= least[:, None])
+        complete(rest)
+        cut[~(done | rest)] = 0.0
+        return out[:, : len(self.ids)]
+
+    def nearest(self, query: tuple[np.ndarray, np.ndarray, np.ndarray], k: int | None = None, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each sparse query row its ``k`` (NEIGHBOURS) examples of greatest cosine above zero (-1: none left) and their cosines; ``without``: an example to leave out for each."""
         starts, term, weight = query
+        k = k or NEIGHBOURS
         n, m = len(starts) - 1, len(self.ids)
         ids, sims = np.full((n, k), -1), np.zeros((n, k))
         for i in range(0, n, QUERIES):
             cut = starts[i : i + QUERIES + 1]
-            found = self._cosines(np.repeat(np.arange(len(cut) - 1), np.diff(cut)), term[cut[0] : cut[-1]], weight[cut[0] : cut[-1]], len(cut) - 1)
+            found = self._batch(np.repeat(np.arange(len(cut) - 1), np.diff(cut)), term[cut[0] : cut[-1]], weight[cut[0] : cut[-1]], len(cut) - 1, k + 1)
             found = np.round(found, 10)
             if without is not None:
                 found[np.arange(len(found)), without[i : i + len(found)]] = 0.0
@@ -160,6 +197,85 @@ class Index:
         return 1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * votes)))
 
 
+def places_of(vocabulary: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the vocabulary, whether it is there) of each term."""
+    if not len(vocabulary):
+        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    term = np.minimum(np.searchsorted(vocabulary, key), len(vocabulary) - 1)
+    return term, vocabulary[term] == key
+
+
+def length_class(n: np.ndarray) -> np.ndarray:
+    """Quarters of powers of two."""
+    return np.floor(4 * np.log2(n + 1.0)).astype(np.int64)
+
+
+LENGTHS = 256
+
+
+def corpus_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(documents, occurrences) of each term of the vocabulary and the number of documents of each length class, over all rows of ``docs`` (text).
+
+    A task adds up the counts of its texts; ranges of the vocabulary are summed apart, each by ``SALTS`` tasks at most."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(vocabulary)  # terms of the bounded sample
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        df, cf, lengths = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(LENGTHS, np.int64)
+        for batch in batches:
+            for i, j, buf, off in text_chunks(batch):
+                doc, key, times = counted(*terms_of(buf, off))
+                lengths += np.bincount(length_class(np.bincount(doc, times, j - i)), minlength=LENGTHS)
+                term, same = places_of(words, key)
+                term, times = term[same], times[same]
+                df += np.bincount(term, minlength=len(words))
+                np.add.at(cf, term, times) if len(term) < len(words) // 8 else np.add(cf, np.bincount(term, times, len(words)).astype(np.int64), out=cf)
+        if not lengths.any():
+            return
+        salt = int(df.sum() % SALTS)
+        parts = [(-1, lengths, lengths)] + [(r // RANGE, df[r : r + RANGE], cf[r : r + RANGE]) for r in range(0, len(words), RANGE)]
+        for r, a, b in parts:
+            yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "salt": pa.array([salt], pa.int32()), "df": [a.tobytes()], "cf": [b.tobytes()]})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for r, a, b in zip(batch.column("range").to_pylist(), batch.column("df").to_pylist(), batch.column("cf").to_pylist(), strict=True):
+                a, b = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+                if r in sums:
+                    sums[r][0] += a
+                    sums[r][1] += b
+                else:
+                    sums[r] = [a.copy(), b.copy()]
+        for r, (a, b) in sums.items():
+            yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "df": [a.tobytes()], "cf": [b.tobytes()]})
+
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = docs.select("text").mapInArrow(count, "range int, salt int, df binary, cf binary")
+    rows = packed.repartition(width, "range", "salt").mapInArrow(add, "range int, df binary, cf binary").toArrow()  # SALTS rows a range
+    df, cf, lengths = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64), np.zeros(LENGTHS, np.int64)
+    for r, a, b in zip(*(rows.column(c).to_pylist() for c in ("range", "df", "cf")), strict=True):
+        a, b = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+        if r < 0:
+            lengths += a
+        else:
+            df[r * RANGE : r * RANGE + len(a)] += a
+            cf[r * RANGE : r * RANGE + len(b)] += b
+    return df, cf, lengths
+
+
+def term_weights(df: np.ndarray, cf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """IDF times residual IDF (see the module); ``lengths``: documents of each length class."""
+    n, df = lengths.sum(), np.maximum(df, 1)
+    middle = 2 ** ((np.arange(len(lengths)) + 0.5) / 4) - 1
+    expected, total = np.zeros(len(df)), float((lengths * middle).sum())
+    for c in np.flatnonzero(lengths).tolist():
+        expected += lengths[c] * -np.expm1(-cf * middle[c] / max(total, 1.0))
+    residual = np.log(np.maximum(expected, 1e-9) / df)
+    return np.log((1 + n) / df) * (np.maximum(residual, 0) + FLOOR)
+
+
 def _curve(v: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     """Weighted logistic regression of ``y`` on ``v``, slightly damped, by Newton's steps."""
     x, beta = np.column_stack([np.ones(len(v)), v]), np.zeros(2)
@@ -190,56 +306,27 @@ def fit(df: DataFrame, labels: DataFrame, label: str, allowed: Column, id_col: s
                 d, k, n = counted(*terms_of(buf, off))
                 cut = np.searchsorted(d, np.arange(j - i + 1))
                 pack = lambda x, t: pa.array([x[a:b].astype(t).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)[i:j], "label": batch.column(2)[i:j], "terms": pack(k, _U), "times": pack(n, np.uint32)})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")[i:j], "label": batch.column("label")[i:j], "terms": pack(k, _U), "times": pack(n, np.uint32)})
 
     chosen = F.broadcast(pick(0).unionByName(pick(1)))  # at most 2 * examples short rows
-    packed = stored(docs.join(chosen, "doc_id").select("doc_id", "text", "label").mapInArrow(run, f"doc_id {kind}, label int, terms binary, times binary"), "toxic-examples")
-
-    def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for y, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                k = np.frombuffer(raw, np.int64)
-                yield pa.RecordBatch.from_pydict({"term": pa.array(k), "y": pa.array(np.full(len(k), y, np.int32))})
-
-    n1, n0 = (float(packed.where(F.col("label") == v).count()) for v in (1, 0))
+    one_text = docs.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    packed = stored(one_text.mapInArrow(run, f"doc_id {kind}, label int, terms binary, times binary"), "toxic-examples")
+    rows = packed.toArrow().sort_by("doc_id")  # at most 2 * examples rows
+    ids, y = rows.column("doc_id").to_pylist(), rows.column("label").to_numpy().astype(float)
+    n1, n0 = float((y == 1).sum()), float((y == 0).sum())
     if not n1 or not n0:
         dropped(packed)
         return nothing
-    counts = packed.select("label", "terms").mapInArrow(presence, "term long, y int").groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
-    a, n = F.col("a").cast("double"), F.col("n").cast("double")
-    p = n / F.lit(n1 + n0)
-    part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(F.lit(0.0))
-    ratio = part(a, p * n1) + part(n - a, p * n0) + part(F.lit(n1) - a, (1 - p) * n1) + part(F.lit(n0) - (n - a), (1 - p) * n0)
-    table = counts.where(F.round(2 * ratio, 6) >= LEAST_RATIO).select("term", "n").toArrow()  # bounded by the sample
-    if not len(table):
-        dropped(packed)
-        return Index(np.empty(0, _U), np.empty(0), constant=sizes[1] / (sizes[0] + sizes[1]))
-    vocabulary = table.column("term").to_numpy().view(_U)
-    order = np.argsort(vocabulary)
-    index = Index(vocabulary[order], np.log((n1 + n0) / table.column("n").to_numpy()[order].astype(float)))
-    words = spark.sparkContext.broadcast(index.vocabulary)
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out_t, out_n = [], []
-            for terms, times in zip(batch.column("terms").to_pylist(), batch.column("times").to_pylist(), strict=True):
-                k, c = np.frombuffer(terms, _U), np.frombuffer(times, np.uint32)
-                t = np.minimum(np.searchsorted(words.value, k), len(words.value) - 1)
-                same = words.value[t] == k
-                out_t.append(t[same].astype(np.int32).tobytes())
-                out_n.append(c[same].tobytes())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "label": batch.column("label"), "t": pa.array(out_t, pa.binary()), "n": pa.array(out_n, pa.binary())})
-
-    rows = packed.mapInArrow(placed, f"doc_id {kind}, label int, t binary, n binary").toArrow().sort_by("doc_id")  # bounded by the sample
-    ids, y = rows.column("doc_id").to_pylist(), rows.column("label").to_numpy().astype(float)
-    sizes_of = np.array([len(x) // 4 for c in rows.column("t").chunks for x in c.to_pylist()])
-    term, times = (np.concatenate([np.frombuffer(x, t) for c in rows.column(name).chunks for x in c.to_pylist()] or [np.empty(0, t)]) for name, t in (("t", np.int32), ("n", np.uint32)))
+    flat = lambda name, t: np.concatenate([np.frombuffer(x, t) for c in rows.column(name).chunks for x in c.to_pylist()] or [np.empty(0, t)])
+    sizes_of = np.array([len(x) // 8 for c in rows.column("terms").chunks for x in c.to_pylist()])
+    term, times = flat("terms", _U), flat("times", np.uint32)
     del rows
-    doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes_of)
-    value = 1 + np.log(np.maximum(np.arange(int(times.max(initial=0)) + 1), 1))
-    length = np.maximum(np.sqrt(np.bincount(doc, (value[times] * index.idf[term]) ** 2, len(ids))), 1e-300)
-    index.post(doc, term, times, value, length, y, ids)
-    place = {x: i for i, x in enumerate(ids)}
+    vocabulary, term = np.unique(term, return_inverse=True)
+    term = term.astype(np.int32)
+    index = Index(vocabulary, term_weights(*corpus_counts(docs, vocabulary)))
+    index.post(np.repeat(np.arange(len(ids), dtype=np.int32), sizes_of), term, times, y, ids)
+    del term, times
+    place = {x: i for i, x in enumerate(index.ids)}
     shared = spark.sparkContext.broadcast((index, place))
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +347,7 @@ def fit(df: DataFrame, labels: DataFrame, label: str, allowed: Column, id_col: s
 
 
 def score(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, score, predicted, votes, evidence) of every whole text; evidence: ids and cosines of the nearest examples."""
+    """(doc_id, score, predicted, votes, evidence) of every whole text; evidence: ids and cosines of the nearest examples that voted for the prediction."""
     spark = prepare(df.sparkSession)
     shared = spark.sparkContext.broadcast(index)  # bounded by the examples
     docs = documents_of(df, id_col, text_col)
@@ -270,12 +357,14 @@ def score(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "
         index = shared.value
         for batch in batches:
             for i, j, buf, off in text_chunks(batch):
-                votes, evidence = np.zeros(j - i), [[] for _ in range(j - i)]
+                votes, s, evidence = np.zeros(j - i), np.full(j - i, index.constant), [[] for _ in range(j - i)]
                 if index.constant is None:
                     ids, sims = index.nearest(index.vectors(buf, off))
                     votes = index.votes(ids, sims)
-                    evidence = [[{"doc_id": index.ids[e], "cosine": s, "label": int(index.label[e])} for e, s in zip(a, b, strict=True) if e >= 0] for a, b in zip(ids[:, :EVIDENCE].tolist(), sims[:, :EVIDENCE].tolist(), strict=True)]
-                s = index.score(votes) if index.constant is None else np.full(j - i, index.constant)
+                    s = index.score(votes)
+                    for r, near in enumerate(np.where(ids >= 0, index.label[ids], -1) == (s >= threshold)[:, None]):
+                        at = np.flatnonzero(near)[:EVIDENCE]
+                        evidence[r] = [{"doc_id": index.ids[e], "cosine": c, "label": int(index.label[e])} for e, c in zip(ids[r, at].tolist(), sims[r, at].tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0)[i:j], "score": pa.array(s), "predicted": pa.array((s >= threshold).astype(np.int32)), "votes": pa.array(votes),
                     "evidence": pa.array(evidence, pa.list_(pa.struct([("doc_id", batch.column(0).type), ("cosine", pa.float64()), ("label", pa.int32())]))),
