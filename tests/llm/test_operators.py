@@ -412,6 +412,47 @@ def test_similarity_join_counts_every_link(spark):
     assert sorted(map(tuple, ngram_join.linked_pairs(docs).collect())) == sorted(pairs)
 
 
+@pytest.mark.parametrize("frequent,salt", [(2, 50), (1 << 40, 4096)])
+def test_similarity_join_of_a_large_group(spark, frequent, salt, monkeypatch):
+    """2,000 different near copies of a text, some of which link and some not, in several blocks and salted parts."""
+    for name, value in (("FREQUENT", frequent), ("SALT_ROWS", salt), ("BLOCK_SETS", 300)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(90)]
+    texts = [" ".join(f"x{rng.randrange(10**6)}" if rng.random() < 0.01 * (i % 4) else w for w in base) for i in range(2000)]
+    words = [t.split() for t in texts]
+    names, rows = {}, []
+    for w in words:
+        rows.append(sorted({names.setdefault(tuple(w[i : i + 5]), len(names)) for i in range(len(w) - 4)}))
+    size = np.array([len(r) for r in rows])
+    of = defaultdict(list)
+    for i, r in enumerate(rows):
+        for x in r:
+            of[x].append(i)
+    both = np.zeros((len(rows), len(rows)), np.int32)
+    for at in of.values():
+        if len(at) > 1:
+            both[np.ix_(at, at)] += 1
+    link = 100 * both >= 80 * (size[:, None] + size - both)
+    np.fill_diagonal(link, False)
+    label = np.arange(len(rows))
+    while True:
+        new = np.minimum(label, np.where(link, label, len(rows)).min(axis=1))
+        if (new == label).all():
+            break
+        label = new
+    got = {r.doc_id: r for r in ngram_join.linked_documents(frame(spark, texts)).collect()}
+    assert [got[i].n_links for i in range(len(rows))] == link.sum(axis=1).tolist() and 0 < link.mean() < 0.9
+    assert [got[i].component_id for i in range(len(rows))] == label.tolist()
+
+
+def test_similarity_join_of_text_ids(spark):
+    rows = [("b", "one two three four five six"), ("a", "One two three four five six"), ("c", "x y"), ("c", "one two three four five six"), ("d", "x y"), (None, "x y"), (None, None)] + [(None, "p q r")] * 3
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.n_links) for r in ngram_join.linked_documents(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    want = [("b", 2, "a", 2), ("a", 2, "a", 2), ("c", 1, "a", 2), ("c", 2, "a", 2), ("d", 1, "a", 2), ("None", 1, "a", 2), ("None", 0, "None", 0)] + [("None", 1, "None", 2)] * 3
+    assert got == sorted(want)  # the id that has two texts holds them together
+
+
 def test_similarity_join_of_few_words(spark):
     """Chunks that hold fewer words than a shingle, down to none."""
     for n in range(7):

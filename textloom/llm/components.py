@@ -12,26 +12,30 @@ from pyspark.sql import functions as F
 from textloom.llm.common import dropped, stored
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links (u, v) as stars around the smallest node of each component: fewer rows, same components."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    far = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[far], nodes[label[far]]
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links of each batch as stars around the smallest node: fewer rows, same components."""
     for batch in batches:
-        u, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-        a, b = at[: len(u)], at[len(u) :]
-        label = np.arange(len(nodes))
-        while True:
-            low = np.minimum(label[a], label[b])
-            new = label.copy()
-            np.minimum.at(new, a, low)
-            np.minimum.at(new, b, low)
-            np.minimum.at(new, label[a], low)
-            np.minimum.at(new, label[b], low)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        far = np.flatnonzero(label != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_pydict({"u": nodes[far], "v": nodes[label[far]]})
+        u, v = stars(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        yield pa.RecordBatch.from_pydict({"u": u, "v": v})
 
 
 def components(links: DataFrame) -> DataFrame:

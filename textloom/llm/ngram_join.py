@@ -9,15 +9,20 @@
    itself and counts 1; frequent ones fall into sub-classes, every pair inside a sub-class is a signature, and p of them count
    p - 1.  The number of sub-classes follows the size of the set, so sets sign under the schemes of their own size
    bucket and of the next: sets that can link differ by one bucket at most.
-4. Verify.  A pair's parity sketches first: bits that differ bound the symmetric difference from below, so a pair they rule out cannot
-   link; the texts of all others are compared, inside components too.  Pairs are dealt into cells of two blocks of classes, so a text goes
-   to a cell once, however many pairs it has there.  Sets that share no rare signature share frequent shingles at most, which bounds
-   what they can have in common.  Signatures of frequent shingles are dealt out with a salt to find those that sets share.
+4. Clusters.  Sets of one signature whose sizes and parity sketches allow a link are joined to clusters: bits that differ bound the symmetric
+   difference from below, so a pair they rule out cannot link.  Only pairs whose clusters still differ are compared, and a task puts out a forest,
+   so rows follow the sets and not their pairs.  The smallest signature of each set comes first and leaves little to the
+   others.  Signatures of frequent shingles are dealt out with a salt; where their parts end in several clusters, the
+   sets outside the largest meet every part.
+5. Verify.  All links lie inside clusters.  A cluster's sets, as sorted hashes, are dealt into blocks, and each pair of blocks is a cell that
+   compares all its pairs of fitting size exactly and puts out a count for each set and a forest of its links.  Sets that share no rare signature
+   share frequent shingles at most, which bounds what they can have in common.
 
 A link of a document is another document whose set is alike enough; exact copies link.  Documents are counted by id and set, rows without an id each.
 
 Defined cases: null or empty text, or no word: size 0, linked with nothing.  Fewer words than a shingle: the whole sequence is the one
-shingle.  Rows that repeat an id belong to one document.  Extra columns are ignored; an empty table gives an empty result.
+shingle.  Rows that repeat an id belong to one document: its texts share a component, and each row has its own text's size and
+links.  Ids may be of any type that has an order.  Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,9 +35,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from textloom.llm.common import SPACED_WORD, documents_of, dropped, mix, prepare, stored, text_chunks, word_hashes, words_of
-from textloom.llm.components import components
+from textloom.llm.components import components, stars
 
 WORDS = 5
 PERCENT = 80
@@ -45,6 +51,8 @@ SUBCLASS = 25
 SALT_ROWS = 4096
 #: Groups of so many classes at most are compared all at once: speed only.
 SMALL = 32
+#: Sets and shingles of a block of a cluster, and shingles that a task gathers before it compares clusters: memory only.
+BLOCK_SETS, BLOCK_SHINGLES, GATHERED = 512, 1 << 20, 1 << 21
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _SHORT = np.arange(WORDS, dtype=_U) * _GOLD
@@ -89,7 +97,7 @@ def sketch_of(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
 
 
-def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _survey(batches: Iterator[pa.RecordBatch], ids: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, n, node) of every document, and rows (null, times, shingle) of what a shard's different sets share."""
     held, size, nodes = [], 0, set()
 
@@ -99,7 +107,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times = np.diff(np.append(at, len(s)))
         many = times >= SHARED
         key = s[at][many].view(np.int64)
-        return pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(key), pa.int64()), "n": times[many].astype(np.int64), "node": key, "shared": np.ones(len(key), bool), "sketch": pa.nulls(len(key), pa.binary())})
+        return pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(key), ids), "n": times[many].astype(np.int64), "node": key, "shared": np.ones(len(key), bool), "sketch": pa.nulls(len(key), pa.binary())})
 
     for batch in batches:
         for i, j, buf, off in text_chunks(batch):
@@ -139,8 +147,8 @@ def schemes_of(n: int, percent: int = PERCENT) -> list[tuple[int, int]]:
 class Signer:
     """Signatures of a set, given the table of frequent shingles (sorted hashes, their counts)."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, percent: int = PERCENT):
-        self.keys, self.counts, self.percent = keys, counts, percent
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, percent: int = PERCENT, salt_rows: int = SALT_ROWS):
+        self.keys, self.counts, self.percent, self.salt_rows = keys, counts, percent, salt_rows
         order = np.lexsort((keys, counts))
         self.rank = np.empty(len(keys), np.int64)
         self.rank[order] = np.arange(len(keys))
@@ -175,7 +183,7 @@ class Signer:
                     x, y = np.triu_indices(len(part), 1)
                     a, b = part[x], part[y]
                     signs.append(mix(self.keys[a] * _GOLD + mix(self.keys[b] + _U(bucket + 1))))
-                    salts.append(1 + np.minimum(self.counts[a], self.counts[b]) // SALT_ROWS)
+                    salts.append(1 + np.minimum(self.counts[a], self.counts[b]) // self.salt_rows)
         signs = np.concatenate(signs)
         most = np.full(len(signs), int(known.sum()))
         most[: len(rare)] = n
@@ -214,101 +222,211 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     wanted = np.flatnonzero(np.repeat(lens > 1, lens) | (rows["salts"] > 1))
     for i in range(0, len(wanted), 1 << 16):
         w = wanted[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_pydict({c: rows[c][w] for c in ("sign", "node", "n", "most")})
+        yield pa.RecordBatch.from_pydict({c: rows[c][w] for c in ("sign", "node", "n", "most", "salt", "salts")})
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one signature that sizes, ``most`` and sketches allow to link."""
+def _clustered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of pairs (u, v) that sizes, ``most`` and sketches allow to link, within each signature and salt, between clusters (root) that differ."""
     held = list(batches)
     table = pa.Table.from_batches(held) if held else None
     if not table or not len(table):
         return
-    rows = {c: table.column(c).to_numpy() for c in ("sign", "node", "n", "most")}
-    order = np.lexsort((rows["node"], rows["n"], rows["sign"]))
-    sign, node, n, most = (rows[c][order] for c in ("sign", "node", "n", "most"))
+    rows = {c: table.column(c).to_numpy() for c in ("sign", "salt", "node", "n", "most", "root")}
+    order = np.lexsort((rows["node"], rows["n"], rows["salt"], rows["sign"]))
+    sign, salt, node, n, most, root = (v[order] for v in rows.values())
     n, most = n.astype(np.int64), most.astype(np.int64)
     drawn = np.frombuffer(b"".join(table.column("sketch").to_pylist()), _U).reshape(len(sign), -1)[order]
-    ends = np.append(_starts_of(sign), len(sign))
-    found, size = [np.empty((0, 2), np.int64)], 0
+    group = np.zeros(len(sign), np.int64)
+    starts = _starts_of(sign, salt)
+    group[starts[1:]] = 1
+    group = np.cumsum(group)
+    ends = np.append(starts, len(sign))
+    found, size = [np.empty((2, 0), np.int64)], 0
 
     def out() -> pa.RecordBatch:
-        p = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_pydict({"u": p[:, 0], "v": p[:, 1]})
+        u, v = stars(*np.concatenate(found, axis=1))
+        return pa.RecordBatch.from_pydict({"u": u, "v": v})
 
     def able(x: np.ndarray | int, y: np.ndarray) -> np.ndarray:
-        """Of the rows ``y``, each at least as large as its ``x``, which can link with it: overlap o >= PERCENT (a + b) / (100 + PERCENT), and o <= most of either."""
+        """Which of the rows ``y``, each at least as large as its ``x``, can link with it: overlap o >= PERCENT (a + b) / (100 + PERCENT), and o <= most of either."""
         both = n[x] + n[y]
         fit = (n[y] * PERCENT <= n[x] * 100) & (np.minimum(most[x], most[y]) * (100 + PERCENT) >= PERCENT * both)
         at = np.flatnonzero(fit)
         a = drawn[x][None] if np.isscalar(x) else drawn[x[at]]
         return at[np.bitwise_count(drawn[y[at]] ^ a).sum(axis=1, dtype=np.int64) * (100 + PERCENT) <= both[at] * (100 - PERCENT)]
 
-    def add(x: np.ndarray | int, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(u: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
         nonlocal found, size
-        found.append(np.column_stack([np.maximum(node[x], node[y]), np.minimum(node[x], node[y])]))
-        size += len(y)
-        if size > 1 << 20:
-            found = [np.unique(np.concatenate(found), axis=0)]
-            size = len(found[0]) // 2
-            if len(found[0]) > 1 << 20:
+        found.append(np.stack([u, v]))
+        size += len(u)
+        if size > 1 << 19:
+            found = [np.stack(stars(*np.concatenate(found, axis=1)))]
+            size = found[0].shape[1]
+            if size > 1 << 18:
                 yield out()
-                found, size = [np.empty((0, 2), np.int64)], 0
+                found, size = [np.empty((2, 0), np.int64)], 0
 
     lens = np.diff(ends)
     small = np.repeat(lens <= SMALL, lens)
     for d in range(1, SMALL):  # all small groups at once, by distance in the order
-        near = np.flatnonzero((sign[d:] == sign[:-d]) & small[d:])
+        near = np.flatnonzero((group[d:] == group[:-d]) & small[d:] & (root[d:] != root[:-d]))
         for i in range(0, len(near), 1 << 16):
             x = near[i : i + (1 << 16)]
-            keep = able(x, x + d)
-            yield from add(x[keep], x[keep] + d)
+            x = x[able(x, x + d)]
+            yield from add(root[x], root[x + d])
+    seen = set()
     for g in np.flatnonzero(lens > SMALL).tolist():
-        for x in range(int(ends[g]), int(ends[g + 1]) - 1):
-            y = np.arange(x + 1, x + 1 + int(np.searchsorted(n[x + 1 : ends[g + 1]], n[x] * 100 // PERCENT, "right")))
-            y = y[able(x, y)]
+        i, j = int(ends[g]), int(ends[g + 1])
+        name = hashlib.blake2b(node[i:j].tobytes() + most[i:j].tobytes(), digest_size=16).digest()
+        if name in seen:  # the same sets under another signature
+            continue
+        seen.add(name)
+        label = root[i:j].copy()
+        roots, times = np.unique(label, return_counts=True)
+        main = roots[times.argmax()]  # the largest cluster so far: its sets need the others only
+        others, joined = np.flatnonzero(label != main), []
+        for x in range(j - i - 1):
+            if not len(others):
+                break
+            last = x + 1 + int(np.searchsorted(n[i + x + 1 : j], n[i + x] * 100 // PERCENT, "right"))
+            if label[x] == main:
+                y = others[np.searchsorted(others, x, "right") : np.searchsorted(others, last)]
+            else:
+                y = np.arange(x + 1, last)
+                y = y[label[y] != label[x]]
+            y = y[able(i + x, i + y)] if len(y) else y
             if len(y):
-                yield from add(x, y)
+                met = np.unique(label[y])
+                joined.append(np.stack([np.full(len(met), label[x]), met]))
+                to = main if label[x] == main or (met == main).any() else label[x]
+                label[np.isin(label, np.append(met, label[x]))] = to
+                others = np.flatnonzero(label != main)
+        for u, v in joined:
+            yield from add(u, v)
     yield out()
 
 
-def _verified(pairs: pa.Table, texts: pa.Table) -> pa.Table:
-    """The pairs (u, v) of a cell that link, by the texts (node, text) of its classes."""
-    sets = {}
-    for batch in texts.select(["node", "text"]).to_batches():
-        for i, j, buf, off in text_chunks(batch):
-            sets.update(zip(batch.column(0)[i:j].to_pylist(), shingle_sets(buf, off), strict=True))
-    good = []
-    for a, b in zip(pairs.column("u").to_pylist(), pairs.column("v").to_pylist(), strict=True):
-        x, y = sets[a], sets[b]
-        if len(x) > len(y):
-            x, y = y, x
-        both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
-        good.append(100 * both >= PERCENT * (len(x) + len(y) - both) and both > 0)
-    return pairs.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text is the node's (an id may stand for several texts)."""
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shingles) of texts (node, text): the sorted hashes; a row whose text is not the node's (an id may stand for several texts) gives none.  A null node stands for any."""
     for batch in batches:
-        node = batch.column(0).to_numpy()
+        asked = batch.column(0).to_pylist()
         for i, j, buf, off in text_chunks(batch):
-            same = np.array([node_of(s) for s in shingle_sets(buf, off)], np.int64) == node[i:j]
-            yield batch.slice(i, j - i).filter(pa.array(same))
+            out = [(m, x) for x, want in zip(shingle_sets(buf, off), asked[i:j], strict=True) if (m := node_of(x)) == want or want is None]
+            yield pa.RecordBatch.from_pydict({"node": pa.array([m for m, _ in out], pa.int64()), "shingles": pa.array([x.tobytes() for _, x in out], pa.binary())})
+
+
+def _links_of_cell(side: np.ndarray, sets: list[np.ndarray], cross: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places (x, y) of the pairs of a cell that link: any two rows, or, if ``cross``, one of side 0 and one of side 1."""
+    n = np.array([len(x) for x in sets])
+    order = np.lexsort((n, side))
+    sets, n = [sets[i] for i in order.tolist()], n[order]
+    cut = int((side == 0).sum())
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.concatenate([[0], np.cumsum(n)])
+    mark, out = np.zeros(int(flat.max()) + 1, bool), [np.empty((2, 0), np.int64)]
+    for x in range(cut if cross else len(sets) - 1):
+        first, last = (cut, len(sets)) if cross else (x + 1, len(sets))
+        first += int(np.searchsorted(n[first:last], -(-n[x] * PERCENT // 100), "left"))
+        last = first + int(np.searchsorted(n[first:last], n[x] * 100 // PERCENT, "right"))
+        if first >= last:
+            continue
+        own = flat[at[x] : at[x + 1]]
+        mark[own] = True
+        both = np.add.reduceat(mark[flat[at[first] : at[last]]], at[first:last] - at[first], dtype=np.int64)
+        mark[own] = False
+        y = np.flatnonzero((100 * both >= PERCENT * (n[x] + n[first:last] - both)) & (both > 0)) + first
+        if len(y):
+            out.append(np.stack([np.full(len(y), x), y]))
+    x, y = np.concatenate(out, axis=1)
+    return order[x], order[y]
+
+
+def _verified(batches: Iterator[pa.RecordBatch], pairs: bool) -> Iterator[pa.RecordBatch]:
+    """Of rows (root, i, j, side, node, copies, shingles) sorted by cell (root, i, j): (u, v, null) for a forest of a cell's links, or for each if ``pairs``, and
+    (u, null, k): k documents of the cell link with the set u."""
+    held: list[tuple] = []
+    size = 0
+
+    def cells() -> Iterator[pa.RecordBatch]:
+        u, v, who, k = [], [], [], []
+        first = 0
+        for end in range(1, len(held) + 1):
+            if end < len(held) and held[end][:3] == held[first][:3]:
+                continue
+            rows = list({r[4]: r for r in held[first:end]}.values())  # a set may come more than once
+            first = end
+            if len(rows) < 2:
+                continue
+            x, y = _links_of_cell(np.array([r[3] for r in rows]), [np.frombuffer(r[6], _U) for r in rows], rows[0][1] != rows[0][2])
+            if not len(x):
+                continue
+            node, copies = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
+            count = np.bincount(x, copies[y], len(rows)) + np.bincount(y, copies[x], len(rows))
+            at = np.flatnonzero(count)
+            who.append(node[at])
+            k.append(count[at].astype(np.int64))
+            a, b = (node[x], node[y]) if pairs else stars(node[x], node[y])
+            u.append(a)
+            v.append(b)
+        if u:
+            u, v, who, k = (np.concatenate(c) for c in (u, v, who, k))
+            yield pa.RecordBatch.from_pydict({"u": np.concatenate([u, who]), "v": pa.array(np.concatenate([v, who]), mask=np.arange(len(u) + len(who)) >= len(u)), "k": pa.array(np.concatenate([u * 0, k]), mask=np.arange(len(u) + len(who)) < len(u))})
 
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if size > GATHERED and row[:3] != held[-1][:3]:
+                yield from cells()
+                held, size = [], 0
+            held.append(row)
+            size += len(row[6]) // 8
+    yield from cells()
+
+
+def _clusters(groups: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, root) of every set that signatures put into a cluster with another."""
+    merge = lambda rows: stored(rows.repartition(width, "sign", "salt").select("sign", "salt", "node", "n", "most", "root", "sketch").mapInArrow(_clustered, "u long, v long"), "join-forest")
+
+    def drawn(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        known = nodes.join(roots, "node", "left").select("node", "sketch", F.coalesce("root", "node").alias("root"))
+        return rows.join(known, "node")  # sketches go along, so that few rows leave a task
+
+    lone = groups.select(F.col("node"), F.col("node").alias("root")).limit(0)
+    first = groups.groupBy("node", "n").agg(F.min(F.struct("sign", "salt", "most")).alias("s")).select("node", "n", "s.*")
+    forest = merge(drawn(first, lone))
+    roots = stored(components(forest), "join-roots")
+    dropped(forest)
+    forest = merge(drawn(groups, roots))
+    roots, used = _joined(roots, forest), roots
+    dropped(used)
+    dealt = groups.where("salts > 1")
+    if not dealt.isEmpty():
+        found = stored(dealt.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "join-dealt")
+        main = found.groupBy("sign", "root").agg(F.count("*").alias("m")).groupBy("sign").agg(F.max(F.struct("m", "root"))["root"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
+        split = found.join(main, "sign").withColumn("salt", F.explode(F.when(F.col("root") == F.col("main"), F.array("salt")).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))))
+        forest = merge(split.drop("main", "kinds").join(nodes.select("node", "sketch"), "node"))
+        roots, used = _joined(roots, forest), roots
+        dropped(used)
+        dropped(found)
+    return roots
 
-def _verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    block = lambda x: F.pmod(F.xxhash64(x), F.lit(width))
-    dealt = pairs.select((block("u") * width + block("v")).alias("cell"), "u", "v")
-    needed = dealt.select("cell", F.col("u").alias("node")).union(dealt.select("cell", F.col("v").alias("node"))).distinct()
-    held = needed.join(texts, "node").select("cell", "node", "text").toDF("place", "node", "text")
-    return dealt.groupBy("cell").cogroup(held.groupBy("place")).applyInArrow(_verified, "u long, v long")
+
+def _joined(roots: DataFrame, forest: DataFrame) -> DataFrame:
+    """The clusters ``roots`` after links (u, v) between roots."""
+    more = stored(components(forest), "join-roots").toDF("root", "top")
+    moved = roots.join(more, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    out = stored(moved.union(more), "join-roots")
+    dropped(more)
+    dropped(forest)
+    return out
 
 
-def _join(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n, node) of every row, (node, doc_id) with the smallest id of each class, and all links (u, v) between classes."""
+def _join(df: DataFrame, id_col: str, text_col: str, pairs: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(survey, class names, links): the survey has (doc_id, n, node) of every row, names have (node, doc_id) with the smallest id of each class, links what ``_verified`` gives."""
     spark = prepare(df.sparkSession)
-    docs = documents_of(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    survey = stored(docs.mapInArrow(_survey, "doc_id long, n long, node long, shared boolean, sketch binary"), "join-survey")
+    docs = documents_of(df, id_col, text_col)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    ids, salt_rows = to_arrow_type(docs.schema["doc_id"].dataType), SALT_ROWS
+    survey = stored(docs.mapInArrow(lambda b: _survey(b, ids), f"doc_id {kind}, n long, node long, shared boolean, sketch binary"), "join-survey")
     members = survey.where("not shared").select("doc_id", "n", "node")
     frequent = survey.where("shared").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     top = frequent.orderBy(F.desc("n"), "node").limit(TABLE).toArrow()  # a table of bounded size; what it lacks counts as rare
@@ -317,7 +435,7 @@ def _join(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFra
     shared = spark.sparkContext.broadcast((keys[order], top.column("n").to_numpy()[order]))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer, seen = Signer(*shared.value), set()
+        signer, seen = Signer(*shared.value, salt_rows=salt_rows), set()
         for batch in batches:
             for i, j, buf, off in text_chunks(batch):
                 signs, salts, mosts, nodes, sizes, lens = [], [], [], [], [], []
@@ -337,49 +455,63 @@ def _join(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFra
                     lens.append(len(x))
                 if not signs:
                     continue
-                node, salt = np.repeat(np.array(nodes, np.int64), lens), np.concatenate(salts)
-                part = (mix(node.view(_U) ^ _GOLD) % salt.astype(_U)).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"sign": np.concatenate(signs).view(np.int64), "node": node, "n": np.repeat(np.array(sizes, np.int32), lens), "most": np.concatenate(mosts).astype(np.int32), "salt": part, "salts": salt.astype(np.int32)})
+                signs, node, salt = np.concatenate(signs), np.repeat(np.array(nodes, np.int64), lens), np.concatenate(salts)
+                part = (mix(node.view(_U) ^ signs) % salt.astype(_U)).astype(np.int32)  # other sets meet under another signature
+                yield pa.RecordBatch.from_pydict({"sign": signs.view(np.int64), "node": node, "n": np.repeat(np.array(sizes, np.int32), lens), "most": np.concatenate(mosts).astype(np.int32), "salt": part, "salts": salt.astype(np.int32)})
 
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = docs.mapInArrow(sign, "sign long, node long, n int, most int, salt int, salts int")
-    groups = stored(signed.repartition(width, "sign", "salt").mapInArrow(_grouped, "sign long, node long, n int, most int"), "join-groups")
-
-    names = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    groups = stored(signed.repartition(width, "sign", "salt").mapInArrow(_grouped, "sign long, node long, n int, most int, salt int, salts int"), "join-groups")
+    names = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), (F.count_distinct("doc_id") + F.count_if(F.col("doc_id").isNull())).alias("copies"))
     sketched = survey.where("not shared and n > 0").select("node", "n", "sketch")
     nodes = stored(groups.select("node").distinct().join(sketched, "node").groupBy("node", "n").agg(F.first("sketch").alias("sketch")), "join-nodes")
-    rows = groups.join(nodes.select("node", "sketch"), "node").select("sign", "node", "n", "most", "sketch")  # sketches go along, so that few pairs leave a task
-    pairs = stored(rows.repartition(width, "sign").mapInArrow(_alike, "u long, v long").distinct(), "join-pairs")
-    able = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    # a class whose rows all lack an id is read by its node instead
-    wanted = names.join(able, "node")
-    named_texts = docs.join(wanted.where("doc_id is not null"), "doc_id").select("node", "text")
-    unnamed = docs.where("doc_id is null").crossJoin(F.broadcast(wanted.where("doc_id is null").select("node"))).select("node", "text")
-    texts = stored(named_texts.union(unnamed).distinct().mapInArrow(_own, "node long, text string").dropDuplicates(["node"]), "join-texts")
-    links = stored(_verify(pairs, texts, width), "join-links")
-    for used in (groups, nodes, pairs, texts):
+    roots = _clusters(groups, nodes, width)
+    # blocks of each cluster, so that a cell's sets fit into memory
+    inside = roots.union(roots.select("root", "root").distinct()).distinct().join(nodes.select("node", "n"), "node")
+    sizes = inside.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    wanted = stored(inside.join(sizes, "root").join(names, "node").select("node", "root", "blocks", "copies", "doc_id"), "join-wanted")
+    for used in (groups, nodes, roots):
         dropped(used)
-    return members, names, links
+    named = docs.join(wanted.where("doc_id is not null").select("doc_id", "node"), "doc_id").dropDuplicates(["doc_id", "node", "text"]).select("node", "text")
+    # a class whose rows all lack an id is read by its node instead
+    bare = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("node"), "text").mapInArrow(_sets, "node long, shingles binary")
+    bare = bare.join(wanted.where("doc_id is null").select("node"), "node", "left_semi").dropDuplicates(["node"])
+    held = named.mapInArrow(_sets, "node long, shingles binary").union(bare).join(wanted.select("node", "root", "blocks", "copies"), "node")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    cells = held.withColumn("b", mine).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("root", F.least("b", "c").alias("i"), F.greatest("b", "c").alias("j"), (F.col("b") > F.col("c")).cast("int").alias("side"), "node", "copies", "shingles")
+    links = stored(cells.repartition(width, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(lambda b: _verified(b, pairs), "u long, v long, k long"), "join-links")
+    dropped(wanted)
+    return survey, names, links
 
 
 def linked_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, other_id): every link between different sets once, each set named by the smallest id that has it."""
-    _, names, links = _join(df, id_col, text_col)
+    survey, names, links = _join(df, id_col, text_col, pairs=True)
     side = lambda x, to: names.select(F.col("node").alias(x), F.col("doc_id").alias(to))
-    both = links.join(side("u", "a"), "u").join(side("v", "b"), "v")
-    return both.select(F.least("a", "b").alias("doc_id"), F.greatest("a", "b").alias("other_id"))
+    both = links.where("v is not null").join(side("u", "a"), "u").join(side("v", "b"), "v")
+    out = stored(both.select(F.least("a", "b").alias("doc_id"), F.greatest("a", "b").alias("other_id")), "join-pairs")
+    for used in (survey, links):
+        dropped(used)
+    return out
 
 
 def linked_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links): the size of each document's set, the smallest id that links reach, and how many documents it links with."""
-    members, names, links = _join(df, id_col, text_col)
-    linked = components(links)
+    survey, names, links = _join(df, id_col, text_col)
+    members = survey.where("not shared").select("doc_id", "n", "node")
+    # an id that has several texts holds them together
+    same = members.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v < w")
+    bridges = members.where("n > 0").join(same.select("doc_id", "v"), "doc_id").select(F.col("node").alias("u"), "v")
+    linked = components(links.where("v is not null").select("u", "v").union(bridges))
     reach = names.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = reach.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = reach.join(least, "root").select("node", "component_id")
-    copies = members.where("n > 0").groupBy("node").agg((F.count_distinct("doc_id") + F.count_if(F.col("doc_id").isNull())).alias("m"))
-    other = links.union(links.select("v", "u")).toDF("node", "v").join(copies.withColumnRenamed("node", "v"), "v").groupBy("node").agg(F.sum("m").alias("others"))
-    counted = copies.join(other, "node", "left").select("node", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    alone = members.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    full = members.where("n > 0").join(named, "node").join(counted, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    return full.union(alone)
+    other = links.where("k is not null").groupBy(F.col("u").alias("node")).agg(F.sum("k").alias("others"))
+    counted = reach.join(least, "root").join(other, "node", "left").select("node", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    none = F.lit(0).cast("long")
+    alone = members.where("n = 0").select("doc_id", none.alias("n_shingles"), F.col("doc_id").alias("component_id"), none.alias("n_links"))
+    full = members.where("n > 0").join(counted, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    out = stored(full.union(alone), "join-documents")
+    for used in (survey, links):
+        dropped(used)
+    return out
