@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 #: Rows and bytes that one Arrow batch may carry to a Python worker; long texts make the second bound the one that counts.
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
+CHUNK_ROWS = 4096
 
 _U = np.uint64
 _MIX1, _MIX2, _GOLD = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
@@ -78,11 +79,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_chunks(batch: pa.RecordBatch, limit: int = 2 << 20, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, bytes, offsets) of slices of about ``limit`` bytes, whole texts each."""
+    """(first row, last row + 1, bytes, offsets) of slices of about ``limit`` bytes and at most ``CHUNK_ROWS`` rows, whole texts each."""
     buf, off = text_bytes(batch.column(batch.schema.get_field_index(column)))
     n, i = len(off) - 1, 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1), i + CHUNK_ROWS)
         yield i, j, buf[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
 

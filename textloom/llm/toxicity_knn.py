@@ -35,7 +35,7 @@ FLOOR = 0.05
 PREFIXES = (4, 6)
 NEIGHBOURS, EVIDENCE = 64, 3
 #: Terms with block maxima, examples in a block, queries taken at once, blocks completed first: speed only.
-HEAD, BLOCK, QUERIES, FIRST = 768, 64, 128, 8
+HEAD, BLOCK, QUERIES, FIRST = 768, 64, 128, 24
 #: Terms whose corpus counts travel together, and rows that add up each such range.
 RANGE, SALTS = 1 << 16, 8
 THRESHOLD = 0.3
@@ -49,19 +49,25 @@ def terms_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for k in PREFIXES:
         longer = ends - starts > k
         s = starts[longer]
-        hashes.append(word_hashes(buf, s, s + k) ^ _U(k))
+        hashes.append(word_hashes(buf, s, s + k) ^ (_U(k) << _U(32)))
         docs.append(doc[longer])
     return np.concatenate(docs), np.concatenate(hashes)
 
 
+#: Bits of a term's hash; the others hold the text's place in a chunk, so that one sort of plain numbers counts a chunk's terms.
+KEY_BITS = 52
+_KEY = _U((1 << KEY_BITS) - 1)
+
+
 def counted(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, key, times), by document and key."""
-    order = np.lexsort((key, doc))
-    d, k = doc[order], key[order]
-    new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
+    """(document, key of ``KEY_BITS``, times), by document and key; there are no more than 4,096 documents."""
+    both = (doc.astype(_U) << _U(KEY_BITS)) | (key >> _U(64 - KEY_BITS))
+    both.sort()
+    new = np.ones(len(both), bool)
+    np.not_equal(both[1:], both[:-1], out=new[1:])
     at = np.flatnonzero(new)
-    return d[at], k[at], np.diff(np.append(at, len(d)))
+    both, times = both[at], np.diff(np.append(at, len(both)))
+    return (both >> _U(KEY_BITS)).astype(np.int64), both & _KEY, times
 
 
 @dataclass
@@ -105,12 +111,14 @@ class Index:
             strongest[doc[common][top]] = term[common][top]
         del value, common
         order = np.lexsort((np.arange(n), strongest))
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
+        place = np.empty(n, _U)
+        place[order] = np.arange(n, dtype=_U)
         small = lambda x, most: x.astype(np.uint16 if most < 1 << 16 else np.uint32)
-        at = np.lexsort((place[doc], term))
-        self.example, self.times = small(place[doc[at]], n), small(times[at], int(times.max(initial=0)))
-        self.start = np.searchsorted(term[at], np.arange(len(self.vocabulary) + 1))
+        both = term.astype(_U) << _U(32) | place[doc]
+        at = np.argsort(both)
+        self.example, self.times = small(both[at] & _U((1 << 32) - 1), n), small(times[at], int(times.max(initial=0)))
+        del both, at
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(self.vocabulary)))])
         self.length, self.label, self.ids = length[order], label[order], [ids[i] for i in order.tolist()]
 
     def _tables(self) -> tuple[np.ndarray, ...]:
@@ -143,8 +151,8 @@ class Index:
                 places = np.repeat(first[i:j] - ends + lens, lens) + np.arange(ends[-1])
                 out[r] = np.bincount(example[places], np.repeat(weight[i:j], lens) * value[places], out.shape[1])
 
-    def _batch(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> np.ndarray:
-        """Cosines of ``n`` queries with all examples that can be among their best ``k``; of others a value below those."""
+    def _batch(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines of ``n`` queries with all examples that can be among their best ``k``, 0 for others, and a bound from below on each query's k-th best."""
         *_, column, matrix, most = self._tables()
         blocks, at = len(matrix), column[term]
         out = np.zeros((n, blocks * BLOCK))
@@ -159,33 +167,34 @@ class Index:
                 q = np.flatnonzero(wanted[:, b])
                 cut[q, b] += head[q] @ matrix[b]
 
+        first = np.argpartition(-bound, min(FIRST, blocks) - 1, axis=1)[:, : min(FIRST, blocks)]
         done = np.zeros((n, blocks), bool)
-        np.put_along_axis(done, np.argpartition(-bound, min(FIRST, blocks) - 1, axis=1)[:, : min(FIRST, blocks)], True, axis=1)
+        np.put_along_axis(done, first, True, axis=1)
         complete(done)
-        # sums of short-posted terms are bounds from below, so the k-th best of all can only rise
-        least = np.partition(out, max(out.shape[1] - k, 0), axis=1)[:, max(out.shape[1] - k, 0)]
+        held = np.take_along_axis(cut, first[:, :, None], axis=1).reshape(n, -1)
+        least = np.partition(held, max(held.shape[1] - k, 0), axis=1)[:, max(held.shape[1] - k, 0)] if held.shape[1] >= k else np.zeros(n)
         rest = ~done & (bound >= least[:, None])
         complete(rest)
         cut[~(done | rest)] = 0.0
-        return out[:, : len(self.ids)]
+        return out[:, : len(self.ids)], least - 1e-9
 
     def nearest(self, query: tuple[np.ndarray, np.ndarray, np.ndarray], k: int | None = None, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each sparse query row its ``k`` (NEIGHBOURS) examples of greatest cosine above zero (-1: none left) and their cosines; ``without``: an example to leave out for each."""
         starts, term, weight = query
         k = k or NEIGHBOURS
-        n, m = len(starts) - 1, len(self.ids)
+        n = len(starts) - 1
         ids, sims = np.full((n, k), -1), np.zeros((n, k))
         for i in range(0, n, QUERIES):
             cut = starts[i : i + QUERIES + 1]
-            found = self._batch(np.repeat(np.arange(len(cut) - 1), np.diff(cut)), term[cut[0] : cut[-1]], weight[cut[0] : cut[-1]], len(cut) - 1, k + 1)
-            found = np.round(found, 10)
+            found, least = self._batch(np.repeat(np.arange(len(cut) - 1), np.diff(cut)), term[cut[0] : cut[-1]], weight[cut[0] : cut[-1]], len(cut) - 1, k + 1)
             if without is not None:
                 found[np.arange(len(found)), without[i : i + len(found)]] = 0.0
-            least = np.partition(found, max(m - k, 0), axis=1)[:, max(m - k, 0)]
             for r, row in enumerate(found):
-                at = np.flatnonzero(row >= least[r]) if least[r] > 0 else np.flatnonzero(row > 0)
-                at = at[np.argsort(-row[at], kind="stable")[:k]]
-                ids[i + r, : len(at)], sims[i + r, : len(at)] = at, row[at]
+                at = np.flatnonzero(row >= least[r]) if least[r] > 0 else np.flatnonzero(row)
+                values = np.round(row[at], 10)
+                best = np.argsort(-values, kind="stable")[:k]
+                best = best[values[best] > 0]
+                ids[i + r, : len(best)], sims[i + r, : len(best)] = at[best], values[best]
         return ids, sims
 
     def votes(self, ids: np.ndarray, sims: np.ndarray) -> np.ndarray:
@@ -321,8 +330,8 @@ def fit(df: DataFrame, labels: DataFrame, label: str, allowed: Column, id_col: s
     sizes_of = np.array([len(x) // 8 for c in rows.column("terms").chunks for x in c.to_pylist()])
     term, times = flat("terms", _U), flat("times", np.uint32)
     del rows
-    vocabulary, term = np.unique(term, return_inverse=True)
-    term = term.astype(np.int32)
+    vocabulary = np.unique(term)
+    term = np.searchsorted(vocabulary, term).astype(np.int32)
     index = Index(vocabulary, term_weights(*corpus_counts(docs, vocabulary)))
     index.post(np.repeat(np.arange(len(ids), dtype=np.int32), sizes_of), term, times, y, ids)
     del term, times
