@@ -45,14 +45,14 @@ PERCENT = 80
 #: Shards in which shared shingles are counted, how many sets must share one there, and the size of the table: speed only.
 SHARD_SHINGLES, SHARED, TABLE = 4 << 20, 2, 1 << 19
 FREQUENT = 8
-#: Bits of a set's parity sketch.
+#: Fewest bits of a set's parity sketch; it has at least as many bits as the set has shingles, a power of two.
 SKETCH = 512
 SUBCLASS = 25
 SALT_ROWS = 4096
 #: Groups of so many classes at most are compared all at once: speed only.
 SMALL = 32
 #: Sets and shingles of a block of a cluster, and shingles that a task gathers before it compares clusters: memory only.
-BLOCK_SETS, BLOCK_SHINGLES, GATHERED = 512, 1 << 20, 1 << 21
+BLOCK_SETS, BLOCK_SHINGLES, GATHERED = 1024, 1 << 21, 1 << 21
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _SHORT = np.arange(WORDS, dtype=_U) * _GOLD
@@ -93,8 +93,37 @@ def node_of(s: np.ndarray) -> int:
 
 
 def sketch_of(s: np.ndarray) -> bytes:
-    """For each of ``SKETCH`` residues whether an odd number of shingles has it."""
-    return np.packbits(np.bincount((s & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+    """For each residue whether an odd number of shingles has it."""
+    bits = max(SKETCH, 1 << (len(s) - 1).bit_length() if len(s) else 0)
+    return np.packbits(np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+class Sketches:
+    """Sketches of many sets, compared at the size of the smaller of two: the halves of a sketch, one over the other, are the sketch of half as many bits."""
+
+    def __init__(self, raw: list[bytes]):
+        self.kind = np.array([(8 * len(x) // SKETCH).bit_length() - 1 for x in raw])
+        self.rows, self.place = {}, {}
+        for c in np.unique(self.kind).tolist():
+            own, above = np.flatnonzero(self.kind == c), np.flatnonzero(self.kind == c + 1)
+            m = np.frombuffer(b"".join(raw[i] for i in own), _U).reshape(len(own), -1)
+            if len(above):
+                wide = np.frombuffer(b"".join(raw[i] for i in above), _U).reshape(len(above), 2, -1)
+                m = np.concatenate([m, wide[:, 0] ^ wide[:, 1]])
+            self.place[c] = np.full(len(raw), -1)
+            self.place[c][np.concatenate([own, above])] = np.arange(len(m))
+            self.rows[c] = m
+
+    def differences(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """No more than the shingles that only one of the sets ``x`` and ``y`` has; their sizes differ by less than a factor of two."""
+        out, kind = np.zeros(len(y), np.int64), np.minimum(self.kind[x], self.kind[y])
+        for c in np.unique(kind).tolist():
+            m, at = self.rows[c], np.flatnonzero(kind == c)
+            a, b = self.place[c][x[at]], self.place[c][y[at]]
+            step = max(1, (1 << 19) // m.shape[1])
+            for i in range(0, len(at), step):
+                out[at[i : i + step]] = np.bitwise_count(m[a[i : i + step]] ^ m[b[i : i + step]]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def _survey(batches: Iterator[pa.RecordBatch], ids: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -225,6 +254,21 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({c: rows[c][w] for c in ("sign", "node", "n", "most", "salt", "salts")})
 
 
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of signatures (and salts) whose sets are not all in one cluster yet."""
+    rows = _gathered(batches)
+    if not rows:
+        return
+    order = np.lexsort((rows["salt"], rows["sign"]))
+    rows = {c: v[order] for c, v in rows.items()}
+    at = _starts_of(rows["sign"], rows["salt"])
+    lens = np.diff(np.append(at, len(order)))
+    wanted = np.flatnonzero(np.repeat(np.minimum.reduceat(rows["root"], at) < np.maximum.reduceat(rows["root"], at), lens))
+    for i in range(0, len(wanted), 1 << 16):
+        w = wanted[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_pydict({c: v[w] for c, v in rows.items()})
+
+
 def _clustered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A forest of pairs (u, v) that sizes, ``most`` and sketches allow to link, within each signature and salt, between clusters (root) that differ."""
     held = list(batches)
@@ -235,7 +279,9 @@ def _clustered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((rows["node"], rows["n"], rows["salt"], rows["sign"]))
     sign, salt, node, n, most, root = (v[order] for v in rows.values())
     n, most = n.astype(np.int64), most.astype(np.int64)
-    drawn = np.frombuffer(b"".join(table.column("sketch").to_pylist()), _U).reshape(len(sign), -1)[order]
+    raw = table.column("sketch").to_pylist()
+    drawn = Sketches([raw[i] for i in order.tolist()])
+    del raw, held, table, rows
     group = np.zeros(len(sign), np.int64)
     starts = _starts_of(sign, salt)
     group[starts[1:]] = 1
@@ -252,8 +298,8 @@ def _clustered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = n[x] + n[y]
         fit = (n[y] * PERCENT <= n[x] * 100) & (np.minimum(most[x], most[y]) * (100 + PERCENT) >= PERCENT * both)
         at = np.flatnonzero(fit)
-        a = drawn[x][None] if np.isscalar(x) else drawn[x[at]]
-        return at[np.bitwise_count(drawn[y[at]] ^ a).sum(axis=1, dtype=np.int64) * (100 + PERCENT) <= both[at] * (100 - PERCENT)]
+        x = np.full(len(at), x) if np.isscalar(x) else x[at]
+        return at[drawn.differences(x, y[at]) * (100 + PERCENT) <= both[at] * (100 - PERCENT)]
 
     def add(u: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
         nonlocal found, size
@@ -385,25 +431,25 @@ def _verified(batches: Iterator[pa.RecordBatch], pairs: bool) -> Iterator[pa.Rec
 def _clusters(groups: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, root) of every set that signatures put into a cluster with another."""
     merge = lambda rows: stored(rows.repartition(width, "sign", "salt").select("sign", "salt", "node", "n", "most", "root", "sketch").mapInArrow(_clustered, "u long, v long"), "join-forest")
+    sketches = nodes.select("node", "sketch")  # they go along with few rows, so that few pairs leave a task
+    placed = lambda rows, roots: rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    def drawn(rows: DataFrame, roots: DataFrame) -> DataFrame:
-        known = nodes.join(roots, "node", "left").select("node", "sketch", F.coalesce("root", "node").alias("root"))
-        return rows.join(known, "node")  # sketches go along, so that few rows leave a task
-
-    lone = groups.select(F.col("node"), F.col("node").alias("root")).limit(0)
-    first = groups.groupBy("node", "n").agg(F.min(F.struct("sign", "salt", "most")).alias("s")).select("node", "n", "s.*")
-    forest = merge(drawn(first, lone))
+    first = groups.groupBy("node", "n").agg(F.min(F.struct("sign", "salt", "most")).alias("s")).select("node", "n", "s.*", F.col("node").alias("root"))
+    forest = merge(first.join(sketches, "node"))
     roots = stored(components(forest), "join-roots")
     dropped(forest)
-    forest = merge(drawn(groups, roots))
+    rest = placed(groups.select("sign", "salt", "node", "n", "most"), roots).repartition(width, "sign", "salt")
+    rest = stored(rest.select("sign", "salt", "node", "n", "most", "root").mapInArrow(_mixed, "sign long, salt int, node long, n int, most int, root long"), "join-mixed")
+    forest = merge(rest.join(sketches, "node"))
     roots, used = _joined(roots, forest), roots
     dropped(used)
+    dropped(rest)
     dealt = groups.where("salts > 1")
     if not dealt.isEmpty():
-        found = stored(dealt.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "join-dealt")
+        found = stored(placed(dealt, roots), "join-dealt")
         main = found.groupBy("sign", "root").agg(F.count("*").alias("m")).groupBy("sign").agg(F.max(F.struct("m", "root"))["root"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
         split = found.join(main, "sign").withColumn("salt", F.explode(F.when(F.col("root") == F.col("main"), F.array("salt")).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))))
-        forest = merge(split.drop("main", "kinds").join(nodes.select("node", "sketch"), "node"))
+        forest = merge(split.drop("main", "kinds").join(sketches, "node"))
         roots, used = _joined(roots, forest), roots
         dropped(used)
         dropped(found)
