@@ -187,35 +187,59 @@ def test_fm_index_finds_what_a_scan_finds():
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
-def test_language_models(spark):
-    target, background = ["ab ab ab", None, "abc"], ["zz top", "ab", ""]
-    table = xent_lm.fit(frame(spark, target), frame(spark, background))
-
-    def losses(texts):
-        counts = [Counter() for _ in range(5)]
-        for t in texts:
-            s = [63, 63, 63] + [int(xent_lm._SYMBOL[b]) for b in (t or "").encode()]
-            for i in range(3, len(s)):
-                for k in range(1, 5):
-                    counts[k][tuple(s[i - k + 1 : i + 1])] += 1
-
-        def p(gram):
-            if not gram:
-                return 1 / 64
-            context = [(g, n) for g, n in counts[len(gram)].items() if g[:-1] == gram[:-1]]
-            n, kinds = sum(x for _, x in context), len(context)
-            return (counts[len(gram)][gram] + kinds * p(gram[1:])) / (n + kinds) if n else p(gram[1:])
-
-        return p
-
-    pt, pb = losses(target), losses(background)
-    texts = ["abab", "zz", None, "Q!é"]
-    for r in xent_lm.score(frame(spark, texts), table).collect():
-        s = [63, 63, 63] + [int(xent_lm._SYMBOL[b]) for b in (texts[r.doc_id] or "").encode()]
-        want = [np.log2(pb(tuple(s[i - 3 : i + 1])) / pt(tuple(s[i - 3 : i + 1]))) for i in range(3, len(s))]
-        assert r.n_tokens == len(want) and abs(r.loss_difference - (np.mean(want) if want else 0)) < 1e-5
-    empty = xent_lm.fit(frame(spark, []), frame(spark, []))
-    assert np.abs(empty).max() == 0
+def plain_losses(corpus, words):
+    """P(word | word before) of Witten-Bell bigrams, by the definition; None begins a text."""
+    follow = defaultdict(Counter)
+    for text in corpus:
+        row = [None, *(w if w in words else "?" for w in ascii_words(text))]
+        for x in zip(row, row[1:]):
+            follow[x[0]][x[1]] += 1
+    single = sum(follow.values(), Counter())
+    total, kinds = sum(single.values()), len(single)
+    low = lambda w: (single[w] + kinds / (len(words) + 1)) / (total + kinds) if total else 1 / (len(words) + 1)
+    return lambda v, w: (follow[v][w] + len(follow[v]) * low(w)) / (sum(follow[v].values()) + len(follow[v])) if follow[v] else low(w)
+
+
+def ascii_words(text):
+    return [w.decode() for w in re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER).encode())]
+
+
+@pytest.mark.parametrize("share", [2.0**-18, 0.0008])
+def test_language_models(spark, share):
+    target, background = texts_of(41, 60, 80, 30) + [None, "ab"], texts_of(41, 90, 80, 40) + EDGE
+    texts = background + ["never seen zz top", "Q!é"]
+    total = lambda corpus: Counter(w for t in corpus for w in ascii_words(t))
+    counts = total(target), total(background)
+    words = {w for w in counts[0] if all(c[w] >= max(1, share * sum(c.values())) for c in counts)}
+    assert 0 < len(words) < len(counts[0] | counts[1])
+    pt, pb = plain_losses(target, words), plain_losses(background, words)
+    model = xent_lm.fit(frame(spark, target), frame(spark, background), share=share)
+    got = {r.doc_id: r for r in xent_lm.score(frame(spark, texts), model, keep_losses=True).collect()}
+    assert len(model.vocabulary) == len(words) and len(got) == len(texts)
+    for i, t in enumerate(texts):
+        row = [None, *(w if w in words else "?" for w in ascii_words(t))]
+        want = [np.log2(pb(*x) / pt(*x)) for x in zip(row, row[1:])]
+        assert got[i].n_tokens == len(want) and np.allclose(got[i].losses, want, atol=1e-5)
+        assert abs(got[i].loss_difference - (np.mean(want) if want else 0)) < 1e-5
+
+
+def test_language_models_of_nothing(spark):
+    empty = frame(spark, [])
+    model = xent_lm.fit(empty, empty)
+    assert {r.loss_difference for r in xent_lm.score(frame(spark, ["a b", None]), model).collect()} == {0.0}
+    assert xent_lm.score(empty, model).count() == 0
+    rows = spark.createDataFrame([("x", "a b a b"), ("x", "a b a b"), (None, "b a")], "doc_id string, text string")
+    got = xent_lm.score(rows, xent_lm.fit(rows, empty)).collect()
+    assert len(got) == 3 and len({r.loss_difference for r in got if r.doc_id}) == 1
+
+
+def test_squeezed_numbers():
+    rng = np.random.default_rng(6)
+    for most in (0, 200, 300, 70_000, 1 << 25, 1 << 40):
+        x = rng.integers(0, most + 1, 50).astype(np.uint64)
+        assert (xent_lm.unsqueezed(xent_lm.squeezed(x)) == x).all()
+        assert (xent_lm.unsqueezed_keys(xent_lm.squeezed_keys(np.sort(x))) == np.sort(x)).all()
+    assert len(xent_lm.unsqueezed(xent_lm.squeezed(np.empty(0, np.uint64)))) == 0
 
 
 def test_tool_calls(spark):
@@ -453,6 +477,20 @@ def test_similarity_join_of_text_ids(spark):
     assert got == sorted(want)  # the id that has two texts holds them together
 
 
+def test_sketches_never_differ_more_than_their_sets():
+    rng = np.random.default_rng(12)
+    sets = [np.unique(rng.integers(0, 2**63, int(n), dtype=np.uint64)) for n in rng.integers(1, 3000, 60)]
+    sets += [np.unique(np.concatenate([s[int(rng.integers(0, len(s) // 9 + 1)) :], rng.integers(0, 2**63, len(s) // 20, dtype=np.uint64)])) for s in sets]
+    drawn = ngram_join.Sketches([ngram_join.sketch_of(s) for s in sets])
+    x, y = np.triu_indices(len(sets), 1)
+    near = np.array([max(len(sets[a]), len(sets[b])) < 1.9 * min(len(sets[a]), len(sets[b])) for a, b in zip(x, y)])
+    x, y = x[near], y[near]
+    real = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(x, y)])
+    found = drawn.differences(x, y)
+    both = np.array([len(sets[a]) + len(sets[b]) for a, b in zip(x, y)])
+    assert (found <= real).all() and (found[real > both / 3] > both[real > both / 3] / 9).mean() > 0.99  # unlike sets of any size are refused
+
+
 def test_similarity_join_of_few_words(spark):
     """Chunks that hold fewer words than a shingle, down to none."""
     for n in range(7):

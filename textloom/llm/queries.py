@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe_codec, fm_decontam, media_mpeg, ngram_join, quality_gbdt, token_counts, tool_chat, toxicity_knn, url_cascade, xent_lm
+from textloom.llm.common import dropped
 
 #: Where the vocabulary files of public tokenizers are; never copied into the repository.
 TOKEN_LIMIT = 4096
@@ -76,7 +77,10 @@ def op4_fm_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_xent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the texts of ``conversations``; background: all ``documents``."""
     documents = table(spark, sf_dir, "documents")
-    return xent_lm.score(documents, xent_lm.fit(table(spark, sf_dir, "conversations"), documents))
+    model = xent_lm.fit(table(spark, sf_dir, "conversations"), documents)
+    scores = xent_lm.score(documents, model)
+    dropped(model.table)
+    return scores
 
 
 #: The tools that turns of ``conversations`` are calls of: what a system turn sets and what a user turn asks.
