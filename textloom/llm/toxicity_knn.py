@@ -99,7 +99,7 @@ class Index:
     def post(self, doc: np.ndarray, term: np.ndarray, times: np.ndarray, label: np.ndarray, ids: list) -> None:
         """Take the rows (doc, term, times), sorted by doc, as examples; those whose strongest long-posted term is the same stand together."""
         n = len(ids)
-        value = (1 + np.log(times)) * self.weight[term]
+        value = (1 + np.log(times)) * self.weight[term]  # an array of every posting; the next ones only after it is gone
         length = np.maximum(np.sqrt(np.bincount(doc, value**2, n)), 1e-300)
         common = np.bincount(term, minlength=len(self.vocabulary))[term] >= n / 64
         first, strongest = np.searchsorted(doc[common], np.arange(n)), np.zeros(n, np.int64)
@@ -263,6 +263,7 @@ def corpus_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = docs.select("text").mapInArrow(count, "range int, salt int, df binary, cf binary")
     rows = packed.repartition(width, "range", "salt").mapInArrow(add, "range int, df binary, cf binary").toArrow()  # SALTS rows a range
+    shared.destroy()
     df, cf, lengths = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64), np.zeros(LENGTHS, np.int64)
     for r, a, b in zip(*(rows.column(c).to_pylist() for c in ("range", "df", "cf")), strict=True):
         a, b = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
@@ -320,18 +321,16 @@ def fit(df: DataFrame, labels: DataFrame, label: str, allowed: Column, id_col: s
     chosen = F.broadcast(pick(0).unionByName(pick(1)))  # at most 2 * examples short rows
     one_text = docs.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     packed = stored(one_text.mapInArrow(run, f"doc_id {kind}, label int, terms binary, times binary"), "toxic-examples")
-    rows = packed.toArrow().sort_by("doc_id")  # at most 2 * examples rows
-    ids, y = rows.column("doc_id").to_pylist(), rows.column("label").to_numpy().astype(float)
+    # at most 2 * examples rows, one partition at a time
+    rows = sorted(((r.doc_id, float(r.label), np.frombuffer(r.terms, _U), np.frombuffer(r.times, np.uint32)) for r in packed.toLocalIterator()), key=lambda r: r[0])
+    ids, y, sizes_of = [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([len(r[2]) for r in rows])
     n1, n0 = float((y == 1).sum()), float((y == 0).sum())
     if not n1 or not n0:
         dropped(packed)
         return nothing
-    flat = lambda name, t: np.concatenate([np.frombuffer(x, t) for c in rows.column(name).chunks for x in c.to_pylist()] or [np.empty(0, t)])
-    sizes_of = np.array([len(x) // 8 for c in rows.column("terms").chunks for x in c.to_pylist()])
-    term, times = flat("terms", _U), flat("times", np.uint32)
+    vocabulary = np.unique(np.concatenate([r[2] for r in rows]))
+    term, times = np.concatenate([np.searchsorted(vocabulary, r[2]).astype(np.int32) for r in rows]), np.concatenate([r[3] for r in rows])
     del rows
-    vocabulary = np.unique(term)
-    term = np.searchsorted(vocabulary, term).astype(np.int32)
     index = Index(vocabulary, term_weights(*corpus_counts(docs, vocabulary)))
     index.post(np.repeat(np.arange(len(ids), dtype=np.int32), sizes_of), term, times, y, ids)
     del term, times
@@ -350,6 +349,7 @@ def fit(df: DataFrame, labels: DataFrame, label: str, allowed: Column, id_col: s
     width = spark.sparkContext.defaultParallelism
     own = packed.repartition(width, "doc_id").mapInArrow(voted, f"doc_id {kind}, label int, v double").toArrow().sort_by([("doc_id", "ascending"), ("v", "ascending")])
     dropped(packed)
+    shared.destroy()
     y = own.column("label").to_numpy().astype(float)
     index.curve = _curve(own.column("v").to_numpy(), y, np.where(y == 1, sizes[1] / n1, sizes[0] / n0))
     return index
