@@ -80,7 +80,7 @@ def test_media_round_trip(spark):
 def test_media_damage():
     data = media_mpeg.write_stream(media_mpeg.pad(b"\xff\xfb" * 2000))
     whole = media_mpeg.read_stream(data)
-    assert whole.tags["TLEN"] == "4032" and whole.xing == {"frames": 7, "bytes": len(data) - 10 - 15}
+    assert whole.tags["TLEN"] == "252" and whole.xing == {"frames": 7, "bytes": len(data) - 10 - 14}  # milliseconds
     cut = whole.offsets[3]
     hurt = media_mpeg.read_stream(data[:cut] + b"\0" * 40 + data[cut:])
     assert hurt.resyncs == 1 and hurt.skipped == 40 and len(hurt.offsets) == 7
@@ -102,6 +102,67 @@ def url_verdict(url):
 URLS = [None, "", "no scheme", "http://", "http://com/en/", "HTTP://A.B.Example.COM/en/712?x#y", "https://xcom/en/1", "http://example.com/en", "http://m.example.net/de/8", "x://example.net/de/9#a", "http://a.org/es/?q", "http://a.org:80/es/", "ftp://u@a.net/de/", "http://example.com/en/7\n8", "a://b://com/en/", "http://com./en/"]
 
 
+def bitwise_crc(bits):
+    crc = 0xFFFF
+    for b in bits:
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15) ^ int(b) else 0)) & 0xFFFF
+    return crc
+
+
+def test_media_checksums_of_layers_one_and_two():
+    rng = random.Random(2)
+    for layer, kbps, mono, fields in ((1, 192, True, [4] * 32), (1, 256, False, [4] * 64), (2, 192, False, [4] * 22 + [3] * 24 + [2] * 8), (2, 48, True, [4] * 2 + [3] * 6), (2, 128, True, [4] * 11 + [3] * 12 + [2] * 4)):
+        h = media_mpeg.Header(3, layer, True, kbps, 48000, 0, mono)
+        head, body = h.packed(), bytearray(rng.randbytes(h.length - 6))
+        bits, at, used = "".join(f"{b:08b}" for b in body), 0, 0
+        for n in fields:
+            used += int(bits[at : at + n], 2) > 0
+            at += n
+        covered = f"{int.from_bytes(head[2:], 'big'):016b}" + bits[: at + (2 * used if layer == 2 else 0)]
+        frame = head + bitwise_crc(covered).to_bytes(2, "big") + bytes(body)
+        good = media_mpeg.read_stream(frame * 3)
+        assert (good.crc_checked, good.crc_bad, len(good.headers)) == (3, 0, 3), (layer, kbps)
+        body[0] ^= 0x10
+        assert media_mpeg.read_stream(frame + frame[:6] + bytes(body) + frame).crc_bad == 1
+
+
+def test_media_vbri_table():
+    h = media_mpeg.Header(3, 3, False, 128, 44100, 0, False)
+    steps = [1, 2, 3]
+    table = b"VBRI" + (1).to_bytes(2, "big") + bytes(4) + (5000).to_bytes(4, "big") + (9).to_bytes(4, "big") + (3).to_bytes(2, "big") + (7).to_bytes(2, "big") + (2).to_bytes(2, "big") + (3).to_bytes(2, "big") + b"".join(x.to_bytes(2, "big") for x in steps)
+    opening = (h.packed() + bytes(32) + table).ljust(h.length, b"\0")
+    got = media_mpeg.read_stream(opening + (h.packed().ljust(h.length, b"\0")) * 9)
+    assert got.xing == {"frames": 9, "bytes": 5000} and got.steps == [7, 14, 21] and len(got.headers) == 9 and got.samples == 9 * 1152
+
+
+def test_media_and_encoding_of_queries(spark, tmp_path):
+    docs = frame(spark, EDGE)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op2_media_mpeg(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(EDGE):
+        raw = (t or "").encode()
+        raw += b"\xff" * (-len(raw) % 576 if raw else 576)
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((t or "").encode()), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]))
+        assert len(r.seek_offsets) == r.n_frames == len(raw) // 576 and r.crc_bad == 0
+    empty = frame(spark, [])
+    assert media_mpeg.probe_media(media_mpeg.store_texts(empty)).count() == 0
+    ranks, pattern = queries.tokenizer_file("byte_bpe_50k.tiktoken"), queries.split_pattern()
+    assert bpe_codec.decode_ids(bpe_codec.encode_texts(empty, ranks, pattern), ranks, pattern).count() == 0
+
+
+def test_pieces_of_long_texts_without_spaces():
+    ranks, pattern = queries.tokenizer_file("byte_bpe_50k.tiktoken"), queries.split_pattern()
+    plain = bpe_codec.load_encoding(ranks, pattern)
+    for t in ("ab\n" * 3000, "\u4f60\u597d\u4e16\u754c\u3002" * 2000, "don't1x;'s \x1c!\x1cab\xb25" * 900):
+        parts = list(bpe_codec.pieces(t, 500))
+        assert max(map(len, parts)) < 600 and sum((plain.encode_ordinary(p) for p in parts), []) == plain.encode_ordinary(t)
+    rng = random.Random(14)
+    for _ in range(500):
+        t = "".join(rng.choice([" ", "\n", "a", "Z", "'s", "'", "1", "\xb2", "!!", "_", "\xe9", "\u3000", "\x1c", "\x85", "\u4e2d", "\u3002", "\uac00", "\u0301"]) for _ in range(40))
+        assert sum((plain.encode_ordinary(p) for p in bpe_codec.pieces(t, 1)), []) == plain.encode_ordinary(t), repr(t)
+
+
 def test_url_cascade(spark):
     pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(URLS + URLS[4:6])], "page_id long, url string, host string, keys string")
     rules = spark.createDataFrame(list(queries.URL_RULES), "action string, host string, path string")
@@ -175,6 +236,29 @@ def test_cleaned_documents(spark):
     assert out[3].text == "clean text" and out[4].text is None
 
 
+def test_cleaned_documents_with_clashing_columns(spark):
+    words = " ".join(f"w{i}" for i in range(300))
+    passage = " ".join(f"p{i}" for i in range(13))
+    rows = [(1, words + " " + passage, 5, "x", 7, [1], 0.5), (2, passage, 5, "x", 7, [1], 0.5), (3, None, None, None, None, None, None), (4, "", 0, "", 0, [], 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string, n_words long, items array<int>, shorter double")
+    got = {r.doc_id: r for r in fm_decontam.cleaned_documents(docs, spark.createDataFrame([(1, passage)], "item_id long, text string")).collect()}
+    assert sorted(got) == [1, 3, 4] and got[1].text == words + " " and got[1].n_chars == len(words) + 1
+    assert (got[1].spans, got[1].n_words, got[1]["items"], got[1].shorter) == ("x", 7, [1], 0.5) and tuple(got[3]) == rows[2] and tuple(got[4]) == rows[3]
+    assert fm_decontam.cleaned_documents(docs.limit(0), spark.createDataFrame([(1, passage)], "item_id long, text string")).columns == docs.columns
+    assert fm_decontam.find_leaks(docs.limit(0), spark.createDataFrame([(1, passage)], "item_id long, text string")).count() == 0
+
+
+def test_fitting_takes_one_text_of_an_id(spark):
+    texts = [(i, "good words here. " * 20 if i % 2 else "BAD!!! " * 30) for i in range(40)]
+    labels = labelled(spark, [(i, i % 2, 1 - i % 2) for i in range(40)])
+    once, often = (spark.createDataFrame(rows, "doc_id long, text string") for rows in (texts, texts + texts[:3] * 200 + [(1, "zzz"), (None, "lost")]))
+    a, b = (quality_gbdt.fit(d, labels, "quality", F.lit(True)) for d in (once, often))
+    assert a.base == b.base and (a.cut == b.cut).all()
+    assert quality_gbdt.training_rows(often, labels, "quality", F.lit(True), 100).count() == 40
+    assert len(toxicity_knn.fit(often, labels, "toxic", F.lit(True)).ids) == 40
+    assert quality_gbdt.score(once.limit(0), a).count() == 0
+
+
 def test_fm_index_finds_what_a_scan_finds():
     rng = np.random.default_rng(1)
     text = np.concatenate([[0], rng.integers(1, 5, 300), [0], rng.integers(1, 5, 200), np.full(40, 2), [0]])

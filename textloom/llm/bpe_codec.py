@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding by a local rank file, with the tiktoken library.
 
-Long texts are cut first at places where the pattern always ends a match whatever stands around: before a
-single space between two non-space characters.  The pieces encode to the same ids as the whole.  Decoding joins the
+Long texts are cut first at places where the pattern always ends a match whatever stands around: between a
+character that is not white space and one that is, and between a letter and a digit or mark (``SAFE``).  No alternative of the pattern goes on over such a
+place or looks behind it, so the pieces encode to the same ids as the whole.  Decoding joins the
 raw bytes of the ids and never goes through a lossy string.
 
 Defined cases: null or empty text: no ids, empty bytes.  Special strings inside texts are ordinary text.
@@ -23,8 +24,11 @@ from textloom.llm.common import documents_of, prepare
 
 #: Characters of a piece, about; a piece is longer only where the text has no safe boundary.
 PIECE_CHARS = 1 << 15
-# Python's white space includes all that the pattern's \s has, so these neighbours are non-space for both.
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: White space as the pattern counts it, and letters and marks that every version of Unicode agrees on.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LETTER, _MARK = "a-zA-Z\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3", "0-9!-/:-@\\[-`{-~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f"
+# Python's \\S leaves out all that the pattern's \\s has
+SAFE = re.compile(f"(?<=\\S)(?=[{_SPACE}])|(?<=[{_LETTER}])(?=[{_MARK}])")
 
 
 def load_encoding(rank_path: str, pattern: str):
@@ -38,7 +42,7 @@ def load_encoding(rank_path: str, pattern: str):
 def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     at = 0
     while len(text) - at > size:
-        cut = _SAFE.search(text, at + size)
+        cut = SAFE.search(text, at + size)
         if not cut:
             break
         yield text[at : cut.start()]

@@ -28,7 +28,7 @@ from textloom.llm.common import ALNUM_WORD, documents_of, prepare, text_chunks,
 WINDOW = 13
 SAMPLE = 32
 SHARD_WORDS, SHARD_BYTES = 1 << 20, 24 << 20
-BLOCK_WORDS = 2 << 20
+BLOCK_WORDS = 1 << 19
 _U = np.uint64
 
 
@@ -167,7 +167,7 @@ class Phrases:
 def phrases_of(rows: list[tuple[str, str]], window: int = WINDOW) -> Phrases | None:
     """The distinct windows of (item id as text, text) rows."""
     column = pa.RecordBatch.from_pydict({"text": pa.array([t for _, t in rows], pa.string())})
-    found: dict[int, list[tuple[np.ndarray, int]]] = {}
+    found: dict[int, list[tuple[np.ndarray, int]]] = {}  # by length: windows of an item
     hashes = []
     for i, _, buf, off in text_chunks(column, limit=0):
         starts, ends, _ = words_of(buf, off, ALNUM_WORD)
@@ -176,14 +176,15 @@ def phrases_of(rows: list[tuple[str, str]], window: int = WINDOW) -> Phrases | N
     for i, h in hashes:
         if len(h):
             k = min(window, len(h))
-            s = np.searchsorted(words, h) + 1
-            found.setdefault(k, []).extend((s[j : j + k], i) for j in range(len(h) - k + 1))
+            s = (np.searchsorted(words, h) + 1).astype(np.int32)
+            found.setdefault(k, []).append((np.lib.stride_tricks.sliding_window_view(s, k), i))
     if not found:
         return None
     windows, first_of, owner_at, owners, n = [], [], [0], [], 0
     for k in sorted(found):
-        matrix, which = np.unique(np.array([w for w, _ in found[k]]), axis=0, return_inverse=True)
-        item = np.array([i for _, i in found[k]])
+        rows_of = [len(w) for w, _ in found[k]]
+        matrix, which = np.unique(np.concatenate([w for w, _ in found[k]]), axis=0, return_inverse=True)
+        item = np.repeat([i for _, i in found[k]], rows_of)
         own = np.unique(np.column_stack([which.ravel(), item]), axis=0)
         windows.append(matrix)
         first_of.append(n)
@@ -246,7 +247,7 @@ class Shard:
         index = FMIndex(text, len(self.phrases.words) + 1)
         out = []
         for matrix, first in zip(self.phrases.windows, self.phrases.first_of, strict=True):
-            lo, hi = index.search(matrix)
+            lo, hi = index.search(matrix.astype(np.int64))
             times = hi - lo
             rows = np.arange(int(times.sum())) + np.repeat(lo - np.cumsum(times) + times, times)
             out.append((origin[index.locate(rows)], np.full(len(rows), matrix.shape[1]), np.repeat(np.arange(len(matrix)), times) + first))
@@ -376,28 +377,26 @@ def without_spans(text: str, spans: list) -> str:
 
 
 def cleaned_documents(df: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``df`` (doc_id, text, ...) that are not contaminated; in those the spans found are cut out and ``n_chars``, if there, is set anew."""
-    found = find_leaks(df, benchmark, keep=tuple(df.columns))
-    clean = found.where(~is_contaminated(hit_words(F.col("spans")), F.col("n_words"))).select(*df.columns, "spans")
-    names = df.columns
+    """The rows of ``df`` (doc_id, text, ...) that are not contaminated; in those the spans found are cut out and ``n_chars``, if there, is set anew.
+
+    Other columns, whatever their names, go along untouched.  Null and empty texts stay; an empty table gives an empty result."""
+    others = [c for c in df.columns if c not in ("doc_id", "text")]
+    packed = df.select("doc_id", "text", F.struct(F.lit(0), *[F.col(f"`{c}`") for c in others]).alias("others"))
+    found = find_leaks(packed, benchmark, keep=("text", "others"))
+    clean = found.where(~is_contaminated(hit_words(F.col("spans")), F.col("n_words"))).select("doc_id", "text", "others", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            spans = columns.pop("spans").to_pylist()
+            spans, text = batch.column(3).to_pylist(), batch.column(1)
             if any(spans):
-                text = columns["text"].to_pylist()
-                size = columns["n_chars"].to_pylist() if "n_chars" in columns else [None] * len(text)
-                for i, s in enumerate(spans):
-                    if s:
-                        text[i] = without_spans(text[i], s)
-                        size[i] = len(text[i])
-                columns["text"] = pa.array(text, columns["text"].type)
-                if "n_chars" in columns:
-                    columns["n_chars"] = pa.array(size, columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
-
-    return clean.mapInArrow(cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
+                text = pa.array([without_spans(t, s) if s else t for t, s in zip(text.to_pylist(), spans, strict=True)], text.type)
+            yield pa.RecordBatch.from_arrays([batch.column(0), text, batch.column(2), pa.array([bool(s) for s in spans])], ["doc_id", "text", "others", "shorter"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in packed.schema}
+    out = clean.mapInArrow(cut, ", ".join([f"`{c}` {k}" for c, k in kinds.items()]) + ", shorter boolean")
+    whole = lambda c: F.col("others")[c]
+    anew = lambda c: F.when(F.col("shorter"), F.char_length("text").cast(df.schema[c].dataType)).otherwise(whole(c)) if c == "n_chars" else whole(c)
+    return out.select(*[F.col(c) if c in ("doc_id", "text") else anew(c).alias(c) for c in df.columns])
 
 
 def items_digest(items: Column) -> Column:

@@ -120,6 +120,7 @@ class Stream:
     headers: list[Header] = field(default_factory=list)
     xing: dict[str, int] | None = None
     toc: bytes = b""
+    steps: list[int] = field(default_factory=list)
     skipped: int = 0
     resyncs: int = 0
     crc_checked: int = 0
@@ -193,10 +194,17 @@ def read_stream(data: bytes | None) -> Stream:
 
 
 def _read_table(data: bytes, out: Stream) -> None:
-    """A Xing or Info table in the first frame; that frame then holds no audio."""
+    """A Xing, Info or VBRI table in the first frame; that frame then holds no audio.  A Xing table's seek bytes go to ``toc``, a VBRI table's to ``steps``."""
     if not out.headers or out.headers[0].layer != 3:
         return
-    h = out.headers[0]
+    h, p = out.headers[0], out.offsets[0] + 36
+    if data[p : p + 4] == b"VBRI" and p + 26 <= out.offsets[0] + h.length:
+        size, frames, n, scale, width = struct.unpack(">IIHHH", data[p + 10 : p + 24])
+        out.xing = {"frames": frames, "bytes": size}
+        raw = data[p + 26 : min(p + 26 + n * width, out.offsets[0] + h.length)]
+        out.steps = [int.from_bytes(raw[i : i + width], "big") * scale for i in range(0, len(raw) - width + 1, width)] if 0 < width <= 4 else []
+        out.offsets, out.headers = out.offsets[1:], out.headers[1:]
+        return
     p = next((q for q in (out.offsets[0] + 4 + h.side_info + 2 * h.protected, out.offsets[0] + 4 + h.side_info) if data[q : q + 4] in (b"Xing", b"Info")), -1)
     if p < 0:
         return
@@ -211,11 +219,58 @@ def _read_table(data: bytes, out: Stream) -> None:
     out.offsets, out.headers = out.offsets[1:], out.headers[1:]
 
 
+#: Fixed values of the format: bits of a layer II allocation field, as (bits, sub-bands) from the lowest on.
+ALLOCATION = {
+    "a": ((4, 11), (3, 12), (2, 4)),
+    "b": ((4, 11), (3, 12), (2, 7)),
+    "c": ((4, 2), (3, 6)),
+    "d": ((4, 2), (3, 10)),
+    "lsf": ((4, 4), (3, 7), (2, 19)),
+}
+
+
+def _allocation(h: Header) -> list[int]:
+    """Bits of the allocation field of each sub-band."""
+    if h.layer == 1:
+        return [4] * 32
+    if h.version != 3:
+        name = "lsf"
+    else:
+        each = h.kbps if h.mono else h.kbps // 2  # a channel's share
+        low = each <= 48
+        name = ("d" if h.rate == 32000 else "c") if low else "a" if h.rate == 48000 or each <= 80 else "b"
+    return [bits for bits, times in ALLOCATION[name] for _ in range(times)]
+
+
+def _checksum(data: bytes, at: int, h: Header) -> int:
+    """The CRC of a frame of layer I or II: the last two bytes of the header, the allocation and, in layer II, which scale factors follow."""
+    fields = _allocation(h)
+    v = int.from_bytes(data[at : at + 4], "big")
+    bound = len(fields) if v >> 6 & 3 != 1 else min(len(fields), 4 * (v >> 4 & 3) + 4)  # above it, joint stereo shares fields
+    channels = 1 if h.mono else 2
+    size = 8 * h.length
+    bits = int.from_bytes(data[at + 6 : at + h.length], "big")
+    read = lambda p, n: bits >> (size - 48 - p - n) & ((1 << n) - 1)
+    p = used = 0
+    for sub, n in enumerate(fields):
+        for _ in range(channels if sub < bound else 1):
+            used += (read(p, n) > 0) * (1 if sub < bound else channels)
+            p += n
+    p += 2 * used if h.layer == 2 else 0
+    crc, message = 0xFFFF, (v & 0xFFFF) << p | read(0, p)
+    for i in range(15 + p, -1, -1):
+        crc = (crc << 1 ^ 0x8005 if (crc >> 15 ^ message >> i) & 1 else crc << 1) & 0xFFFF
+    return crc
+
+
 def _verify(data: bytes, out: Stream) -> None:
     spans: dict[int, list[int]] = {}
     for at, h in zip(out.offsets, out.headers, strict=True):
         if h.protected and h.layer == 3:
             spans.setdefault(h.side_info, []).append(at)
+        elif h.protected:
+            out.crc_checked += 1
+            out.crc_bad += _checksum(data, at, h) != int.from_bytes(data[at + 4 : at + 6], "big")
     buf = np.frombuffer(data, np.uint8)
     for side, found in spans.items():
         at = np.array(found)[:, None]
@@ -254,7 +309,7 @@ def write_stream(payload: bytes) -> bytes:
         at = starts[wide == kind][:, None]
         frames[at + np.arange(_HEAD)] = _OPENING[kind]
         frames[at + _HEAD + np.arange(UNIT)] = units[wide == kind]
-    text = str(len(payload)).encode()
+    text = str(len(units) * UNIT * 1000 // _PLAIN[0].rate).encode()  # milliseconds
     frame = b"TLEN" + struct.pack(">IH", len(text) + 1, 0) + b"\0" + text
     tag = b"ID3\x03\0\0" + bytes([0, 0, len(frame) >> 7, len(frame) & 127]) + frame
     table = _PLAIN[0].length

@@ -159,11 +159,12 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEP
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, limit: int) -> DataFrame:
-    """(doc_id, text, label) of at most ``limit`` labelled rows that ``allowed`` (over doc_id) admits, taken in the order of a hash."""
+    """(doc_id, text, label) of at most ``limit`` labelled rows that ``allowed`` (over doc_id) admits, taken in the order of a hash; of several
+    labels of an id the largest counts, of several texts the smallest."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & F.coalesce(allowed, F.lit(False)))
     one = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.join(F.broadcast(chosen), "doc_id")  # at most `limit` short rows
+    return docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # at most `limit` rows
 
 
 def fit(df: DataFrame, labels: DataFrame, label: str, allowed: Column, id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_ROWS) -> Trees:
@@ -174,15 +175,15 @@ def fit(df: DataFrame, labels: DataFrame, label: str, allowed: Column, id_col: s
         for batch in batches:
             for i, j, buf, off in text_chunks(batch):
                 rows = statistics(buf, off)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)[i:j], "label": batch.column(2)[i:j], "x": pa.array([r.tobytes() for r in rows], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)[i:j], "label": batch.column("label")[i:j], "x": pa.array([r.tobytes() for r in rows], pa.binary())})
 
     docs = documents_of(df, id_col, text_col)
     found = training_rows(docs, labels, label, allowed, limit)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = found.select("doc_id", "text", "label").mapInArrow(run, f"doc_id {kind}, label int, x binary").toArrow()
-    order = np.argsort(np.array(rows.column("x").to_pylist(), object)) if len(rows) else np.empty(0, np.int64)  # independent of partitions
-    x = np.array([np.frombuffer(v) for v in rows.column("x").to_pylist()]).reshape(-1, len(STATISTICS))[order]
-    y = np.array(rows.column("label").to_pylist(), np.float64)[order]
+    rows = rows.sort_by([("x", "ascending"), ("label", "ascending")])  # independent of partitions
+    x = np.array([np.frombuffer(v) for v in rows.column("x").to_pylist()]).reshape(-1, len(STATISTICS))
+    y = np.array(rows.column("label").to_pylist(), np.float64)
     return fit_trees(x, y)
 
 

@@ -36,7 +36,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_mpeg.probe_media(media_mpeg.store_texts(table(spark, sf_dir, "documents")), with_offsets=False).drop("seek_offsets")
+    return media_mpeg.probe_media(media_mpeg.store_texts(table(spark, sf_dir, "documents")))
 
 
 #: Fixed by the contract: (action, host, path).

@@ -43,6 +43,12 @@ def units(text: str) -> list[str]:
     return s.replace("\n", " \n").split(" ")[1:]
 
 
+#: Summaries that a task, or the driver, merges.
+FAN = 32
+#: Texts that show whether a model's normaliser leaves texts as they are.
+PROBES = ("a", "  two  spaces ", "line\nend", "\ttab", "ﬁ Å É ｆｕｌｌ", "é e\u0301", "\u00a0\u3000x", "\u200bzero\ufeff", "UPPER lower")
+
+
 class PieceLengths:
     """Token counts of pre-tokens by a sentencepiece model."""
 
@@ -51,7 +57,9 @@ class PieceLengths:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.local = "▁" in pieces and not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
+        # a model that changes, trims or joins spaces, or whose pieces cross them, takes whole texts
+        plain = all(self.model.normalize(t) == "▁" + t.replace(" ", "▁") for t in PROBES)
+        self.local = plain and "▁" in pieces and not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
 
     def split(self, text: str) -> list[str]:
         return units(text) if self.local else [text] * bool(text)
@@ -75,7 +83,6 @@ def _pruned(counts: Counter, keep: int) -> Counter:
 def frequent_pretokens(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = FREQUENT) -> dict[str, int]:
     """The table {pre-token: tokens} of about ``size`` pre-tokens that are most frequent over all texts."""
     docs = documents_of(df, id_col, text_col).select("text")
-    lanes = 32
 
     def pack(counts: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"summary": pa.array([pickle.dumps(counts.most_common(size))], pa.binary())})
@@ -99,9 +106,12 @@ def frequent_pretokens(df: DataFrame, model_path: str, id_col: str = "doc_id", t
         if counts:
             yield pack(counts)
 
-    merged = docs.mapInArrow(count, "summary binary").repartition(lanes).mapInArrow(merge, "summary binary")
+    merged, n = docs.mapInArrow(count, "summary binary"), docs.rdd.getNumPartitions()
+    while n > FAN:  # a tree: whatever the input, a task merges about FAN summaries
+        n = -(-n // FAN)
+        merged = merged.repartition(n).mapInArrow(merge, "summary binary")
     total: Counter = Counter()
-    for row in merged.collect():  # at most `lanes` rows of at most `size` entries
+    for row in merged.toLocalIterator():  # at most FAN rows of at most `size` entries
         for unit, n in pickle.loads(row.summary):
             total[unit] += n
     top = [u for u, _ in total.most_common(size)]
