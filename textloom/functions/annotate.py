@@ -6,6 +6,8 @@ elsewhere; :func:`annotate` takes other rules as parameters.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,6 +106,31 @@ def words_and_lower(sentence: Column) -> Column:
     return F.struct(words.alias("tokens"), F.transform(words, F.lower).alias("lower"))
 
 
+def _rule(items: Column, sql: str, names: tuple[str, ...], keep: tuple[str, ...] = ()) -> Column:
+    """``sql`` over each struct of the array ``items`` (``names``, low): its values, or structs of ``keep`` and the value as ``out``.
+
+    The rule stays inside one small expression, so however often the plan repeats it, generated code stays small."""
+    body = re.sub(r"lower\(token\)", "x.low", sql)
+    body = re.sub(r"'(?:[^']|'')*'|\b(" + "|".join(names) + r")\b", lambda m: f"x.{m[1]}" if m[1] else m[0], body)
+    shape = "named_struct(" + "".join(f"'{k}', x.{k}, " for k in keep) + f"'out', {body})" if keep else body
+    return F.call_function("transform", items, F.expr(f"x -> {shape}"))
+
+
+def tag_of(token: Column, tok_index: Column, pos_sql: str = POS_SQL) -> Column:
+    item = F.struct(token.alias("token"), F.lower(token).alias("low"), tok_index.alias("tok_index"))
+    return _rule(F.array(item), pos_sql, ("token", "tok_index"))[0]
+
+
+def lemma_of(token: Column, pos: Column, lemma_sql: str = LEMMA_SQL) -> Column:
+    return _rule(F.array(F.struct(token.alias("token"), F.lower(token).alias("low"), pos.alias("pos"))), lemma_sql, ("token", "pos"))[0]
+
+
+def tagged_words(sentence: Column, pos_sql: str = POS_SQL) -> Column:
+    """The tokens of a sentence with their tags, as an array of (token, out)."""
+    items = F.transform(words_of(sentence), lambda w, i: F.struct(w.alias("token"), F.lower(w).alias("low"), i.alias("tok_index")))
+    return _rule(items, pos_sql, ("token", "tok_index"), keep=("token",))
+
+
 def wordnet_class(pos: Column) -> Column:
     """Part of speech for a dictionary: a, v, n or r."""
     return F.when(pos.startswith("J"), "a").when(pos.startswith("V"), "v").when(pos.startswith("R"), "r").otherwise("n")
@@ -125,7 +152,7 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def tokens(sents: DataFrame, pos_sql: str = POS_SQL, lemma_sql: str = LEMMA_SQL) -> DataFrame:
     """(doc_id, sent_index, tok_index, token, pos, lemma) of (doc_id, sent_index, sentence)."""
     split = sents.select("doc_id", "sent_index", F.posexplode(words_of(F.col("sentence"))).alias("tok_index", "token"))
-    return split.withColumn("pos", F.expr(pos_sql)).withColumn("lemma", F.expr(lemma_sql))
+    return split.withColumn("pos", tag_of(F.col("token"), F.col("tok_index"), pos_sql)).withColumn("lemma", lemma_of(F.col("token"), F.col("pos"), lemma_sql))
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.annotate import words_of
 from textloom.functions.words import CONTRACTION_FRAGMENTS, STOPWORDS
 from textloom.operators.frequency import corpus_frequencies, document_frequencies, term_of
 
@@ -100,6 +101,24 @@ def capitalized_terms(toks: DataFrame, min_author_freq: int = 3, exclude_sentenc
     return out.groupBy(F.col("token").alias("term")).agg(F.count("*").alias("n")).where(F.col("n") >= min_author_freq)
 
 
+def capitalized_in(sents: DataFrame, min_author_freq: int = 3) -> DataFrame:
+    """As ``capitalized_terms`` with its defaults, from sentences: within a sentence a token sees the one before it, so no order has to be restored."""
+    words = sents.select(words_of(F.col("sentence")).alias("w"))
+    pairs = words.select(F.explode(F.transform("w", lambda x, i: F.struct(x.alias("token"), F.get("w", i - 1).alias("before")))).alias("p")).select("p.*")
+    first = F.substring("token", 1, 1)
+    kept = pairs.where((first != F.lower(first)) & ~((F.col("token") == F.upper("token")) & (F.length("token") > 1)) & F.col("before").isNotNull() & ~F.col("before").isin(".", "!", "?", ";"))
+    return kept.groupBy(F.col("token").alias("term")).agg(F.count("*").alias("n")).where(F.col("n") >= min_author_freq)
+
+
+def author_terms(toks: DataFrame, use_lemmas: bool = True) -> DataFrame:
+    """(term, n, spelled, proper) in one aggregation: occurrences, occurrences in that spelling (of lemmas: all), and whether that spelling is ever tagged a proper noun."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    term, proper = term_of(use_lemmas), F.col("pos").startswith("NNP")
+    roles = F.array(F.struct(term.alias("term"), one.alias("n"), (one if use_lemmas else none).alias("spelled"), F.lit(False).alias("proper")), F.struct(F.col("token").alias("term"), none.alias("n"), (none if use_lemmas else one).alias("spelled"), proper.alias("proper")))
+    rows = toks.select(F.explode(roles).alias("r")).select("r.*")
+    return rows.groupBy("term").agg(F.sum("n").alias("n"), F.sum("spelled").alias("spelled"), F.bool_or("proper").alias("proper")).where("n > 0")
+
+
 def neologism_signals(toks: DataFrame, reference: DataFrame, dictionary: DataFrame, use_lemmas: bool = True, min_author_freq: int = 3) -> DataFrame:
     """(term, in_reference_signal, in_dictionary_signal, in_capitalized_signal, signals): which of the three signals a term has."""
     marked = [

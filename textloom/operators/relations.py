@@ -6,9 +6,10 @@ determiner, I preposition, - else), so a pattern of tags is a regular expression
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.annotate import tagged_words
 from textloom.functions.words import COPULAS, PREPOSITIONS
 
 _CODES = {"N": ["NN", "NNS", "NNP", "NNPS"], "P": ["PRP"], "J": ["JJ"], "R": ["RB"], "M": ["MD"], "D": ["DT"], "I": ["IN"]}
@@ -21,8 +22,14 @@ def _code(pos: Column) -> Column:
     return out
 
 
-def coded(sents: DataFrame, toks: DataFrame) -> DataFrame:
-    """(doc_id, sent_index, sentence, words, codes): a sentence's tokens in order and its code string."""
+def coded(sents: DataFrame, toks: DataFrame | None = None) -> DataFrame:
+    """(doc_id, sent_index, sentence, words, codes): a sentence's tokens in order and its code string.  Sentences are tagged where they stand; ``toks``: tags
+    made elsewhere, gathered by sentence."""
+    if toks is None:
+        tagged = sents.select("doc_id", "sent_index", "sentence", tagged_words(F.col("sentence")).alias("t"))
+        line = F.struct(F.col("t.token").alias("words"), F.array_join(F.transform("t", lambda x: _code(x["out"])), "").alias("codes"))
+        # a generator of one row: what stands above reads the line and never makes it anew for each word
+        return tagged.select("doc_id", "sent_index", "sentence", F.inline(F.array(line)))
     rows = toks.groupBy("doc_id", "sent_index").agg(F.array_sort(F.collect_list(F.struct("tok_index", "token", _code(F.col("pos")).alias("c")))).alias("t"))
     lined = rows.select("doc_id", "sent_index", F.transform("t", lambda x: x["token"]).alias("words"), F.array_join(F.transform("t", lambda x: x["c"]), "").alias("codes"))
     return lined.join(sents, ["doc_id", "sent_index"])
@@ -72,14 +79,15 @@ def prepositional(lines: DataFrame, term: str) -> DataFrame:
     return shaped.select("doc_id", "sent_index", "sentence", F.get("words", F.col("i")).alias("head"), F.get("words", F.col("i") + 1).alias("preposition"), _words(F.col("i") + 2 + F.col("skip"), F.col("take")).alias("object"))
 
 
-def relations(lines: DataFrame, term: str, kinds: tuple[str, ...] = ("svo", "copular", "prep")) -> DataFrame:
-    """(relation_type, source, target, connector, role, n, evidence): relations of a term, evidence in text order; a triple with the term at both ends counts twice."""
+def relation_rows(lines: DataFrame, term: str, kinds: tuple[str, ...] = ("svo", "copular", "prep")) -> DataFrame:
+    """(relation_type, source, target, connector, role, doc_id, sent_index, sentence): each relation of a term where it stands; a triple with the term at
+    both ends stands twice.  Only sentences with the term are read, each kind of them once."""
     t, parts = term.lower(), []
+    lines = lines.where(F.lower("sentence").contains(t))
     place = ("doc_id", "sent_index", "sentence")
     if "svo" in kinds:
-        triples = svo(lines)
-        for role in ("subject", "object"):
-            parts.append(triples.where(F.lower(role).contains(t)).select(F.lit("svo").alias("relation_type"), F.col("subject").alias("source"), F.col("object").alias("target"), F.col("verb").alias("connector"), F.lit(role).alias("role"), *place))
+        roles = F.array_compact(F.array(*[F.when(F.lower(r).contains(t), F.lit(r)) for r in ("subject", "object")]))
+        parts.append(svo(lines).withColumn("role", F.explode(roles)).select(F.lit("svo").alias("relation_type"), F.col("subject").alias("source"), F.col("object").alias("target"), F.col("verb").alias("connector"), "role", *place))
     if "copular" in kinds:
         parts.append(copular(lines, term).select(F.lit("copular").alias("relation_type"), F.col("subject").alias("source"), F.col("complement").alias("target"), F.col("copula").alias("connector"), F.lit(None).cast("string").alias("role"), *place))
     if "prep" in kinds:
@@ -89,5 +97,16 @@ def relations(lines: DataFrame, term: str, kinds: tuple[str, ...] = ("svo", "cop
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    evidence = F.transform(F.array_sort(F.collect_list(F.struct(*place))), lambda x: x["sentence"])
-    return out.groupBy("relation_type", "source", "target", "connector").agg(F.min("role").alias("role"), F.count("*").alias("n"), evidence.alias("evidence"))
+    return out
+
+
+def relations(lines: DataFrame, term: str, kinds: tuple[str, ...] = ("svo", "copular", "prep"), max_evidence: int = 100) -> DataFrame:
+    """(relation_type, source, target, connector, role, n, evidence): relations of a term; ``n`` counts all, ``evidence`` has the first
+    ``max_evidence`` sentences in text order, so that no relation's array grows with the corpus.  All of them: ``relation_rows``."""
+    key = ("relation_type", "source", "target", "connector")
+    rows = relation_rows(lines, term, kinds)
+    w = Window.partitionBy(*key).orderBy("doc_id", "sent_index", "role")
+    first = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= max_evidence)
+    shown = first.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "sentence"))), lambda x: x["sentence"]).alias("evidence"))
+    counted = rows.groupBy(*key).agg(F.min("role").alias("role"), F.count("*").alias("n"))
+    return counted.join(shown, list(key)).select(*key, "role", "n", "evidence")

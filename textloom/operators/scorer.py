@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.words import STOPWORDS
 from textloom.operators import definitions, keyness, search
 
 WEIGHTS = {"ratio": 1.0, "tfidf": 1.0, "neologism": 0.5, "definitional": 0.3, "capitalized": 0.2}
@@ -12,15 +14,18 @@ WEIGHTS = {"ratio": 1.0, "tfidf": 1.0, "neologism": 0.5, "definitional": 0.3, "c
 
 def signals(sents: DataFrame, toks: DataFrame, reference: DataFrame, dictionary: DataFrame, use_lemmas: bool = True, min_author_freq: int = 3) -> DataFrame:
     """(term, n, ratio, tfidf, neologism, definitional, capitalized), raw, of every frequent term."""
-    compared = keyness.compare(toks, reference, use_lemmas, min_author_freq).select("term", "n", "ratio")
-    tfidf = keyness.tfidf_vs_reference(toks, reference, use_lemmas, min_author_freq).withColumnRenamed("score", "tfidf")
-    new = keyness.dictionary_neologisms(toks, dictionary, use_lemmas, min_author_freq).select("term", F.lit(1.0).alias("neologism"))
+    author = keyness.author_terms(toks, use_lemmas).where(F.col("n") >= min_author_freq)
+    size = F.broadcast(toks.agg(F.count("*").alias("a")).join(reference.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("r"))))  # one row
+    known = dictionary.select(F.lower("term").alias("key")).distinct().withColumn("known", F.lit(True))
     defined = definitions.definition_counts(definitions.definitional_contexts(sents)).select("term", F.col("n").cast("double").alias("definitional"))
-    capital = keyness.capitalized_terms(toks, min_author_freq).select("term", F.lit(1.0).alias("capitalized"))
-    out = compared.join(tfidf, "term", "left")
-    for part in (new, defined, capital):
-        out = out.join(part, "term", "left")
-    return out.na.fill(0.0, ["tfidf", "neologism", "definitional", "capitalized"])
+    capital = keyness.capitalized_in(sents, min_author_freq).select("term", F.lit(1.0).alias("capitalized"))
+    joined = author.join(reference.select("term", "count"), "term", "left").join(known, F.lower("term") == F.col("key"), "left").join(defined, "term", "left").join(capital, "term", "left").join(size)
+    there, absent = F.coalesce(F.nullif("count", F.lit(0)), F.lit(0.5)), F.coalesce("count", F.lit(0)) == 0
+    new = (F.col("spelled") >= min_author_freq) & ~F.lower("term").isin(STOPWORDS) & F.col("known").isNull() & ~F.col("proper")
+    return joined.select(
+        "term", "n", ((F.col("n") / F.col("a")) / (there / F.col("r"))).alias("ratio"), F.when(absent, F.col("n") / F.col("a") * F.ln(F.lit(2.0))).otherwise(0.0).alias("tfidf"),
+        F.when(new, 1.0).otherwise(0.0).alias("neologism"), F.coalesce("definitional", F.lit(0.0)).alias("definitional"), F.coalesce("capitalized", F.lit(0.0)).alias("capitalized"),
+    )
 
 
 def scored(found: DataFrame, definitional_max: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -45,7 +50,9 @@ def definition_maximum(sents: DataFrame) -> DataFrame:
 
 
 def score_all(sents: DataFrame, toks: DataFrame, reference: DataFrame, dictionary: DataFrame, use_lemmas: bool = True, min_author_freq: int = 3, min_score: float = 0.0, top_n: int | None = None, weights: dict[str, float] | None = None) -> DataFrame:
-    out = scored(signals(sents, toks, reference, dictionary, use_lemmas, min_author_freq), definition_maximum(sents), weights)
+    # a row a frequent term; read for the maxima and for the scores
+    found = signals(sents, toks, reference, dictionary, use_lemmas, min_author_freq).persist(StorageLevel.MEMORY_AND_DISK)
+    out = scored(found, definition_maximum(sents), weights)
     out = out.where(keyness.is_valid_term(F.col("term")) & (F.col("total") >= min_score))
     return out if top_n is None else out.orderBy(F.desc("total"), "term").limit(top_n)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.annotate import tokens
 from textloom.functions.words import STOPWORDS
 
 
@@ -23,6 +24,11 @@ def positions(term: str, case_sensitive: bool = False, column: str = "sentence")
     """All overlapping offsets of ``term``, as an array."""
     t = term if case_sensitive else term.lower()
     s = _folded(F.col(column), case_sensitive)
+    if t and not any(t[:k] == t[-k:] for k in range(1, len(t))):  # it cannot overlap itself: the lengths between occurrences tell
+        lengths = F.transform(F.split(s, r"\Q" + t.replace(r"\E", r"\E\\E\Q") + r"\E", -1), F.length)
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+        step = lambda x, n: F.struct((x["at"] + n + len(t)).alias("at"), F.array_append(x["found"], x["at"] + n).alias("found"))
+        return F.aggregate(F.slice(lengths, F.lit(1), F.size(lengths) - 1), start, step, lambda x: x["found"])
     last = F.length(s) - len(t)
     starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     return F.filter(starts, lambda p: F.substring(s, p + 1, F.lit(len(t))) == t)
@@ -149,14 +155,24 @@ def _content(toks: DataFrame, pos_prefixes: tuple[str, ...]) -> DataFrame:
     return toks.where(F.col("pos").rlike("^(" + "|".join(pos_prefixes) + ")") & ~F.col("lemma").isin(STOPWORDS) & F.col("lemma").rlike(r"[\p{L}\p{N}]"))
 
 
-def significant_terms(sents: DataFrame, toks: DataFrame, search_term: str, threshold: float = 0.1, pos_prefixes: tuple[str, ...] = ("NN", "VB", "JJ"), top_n: int | None = None) -> DataFrame:
-    """(doc_id, sent_index, term, score): content lemmas beside the search term, 10 ln(1 + f) / ln(1 + f max)."""
-    freq = content_frequencies(toks, pos_prefixes)
-    top = F.broadcast(freq.agg(F.max("f").alias("top")))  # one row
-    hits = sents.where(contains(search_term)).select("doc_id", "sent_index")
-    beside = _content(toks, pos_prefixes).where(F.col("lemma") != search_term.lower()).select("doc_id", "sent_index", F.col("lemma").alias("term")).distinct()
-    scored = beside.join(hits, ["doc_id", "sent_index"], "left_semi").join(freq, "term").join(top)
-    out = scored.select("doc_id", "sent_index", "term", (10 * F.log1p("f") / F.log1p("top")).alias("score")).where(F.col("score") >= threshold)
+def significant_terms(sents: DataFrame, toks: DataFrame, search_term: str, threshold: float = 0.1, pos_prefixes: tuple[str, ...] = ("NN", "VB", "JJ"), top_n: int | None = None, match_lemma: bool = False, scores: DataFrame | None = None) -> DataFrame:
+    """(doc_id, sent_index, term, score): content lemmas beside the search term, 10 ln(1 + f) / ln(1 + f max).
+
+    Only sentences with the term are tagged again; frequencies are over all of ``toks``.  ``match_lemma``: sentences with a token of that
+    lemma.  ``scores`` (term, total), as the hybrid scorer gives them: those count instead of frequencies."""
+    if match_lemma:
+        hits = toks.where(F.col("lemma") == search_term.lower()).select("doc_id", "sent_index").distinct()
+        found = toks.join(hits, ["doc_id", "sent_index"], "left_semi")
+    else:
+        found = tokens(sents.where(contains(search_term)))
+    beside = _content(found, pos_prefixes).where(F.col("lemma") != search_term.lower()).select("doc_id", "sent_index", F.col("lemma").alias("term")).distinct()
+    if scores is None:
+        freq = content_frequencies(toks, pos_prefixes)
+        top = F.broadcast(freq.agg(F.max("f").alias("top")))  # one row
+        scored = beside.join(freq, "term").join(top).withColumn("score", 10 * F.log1p("f") / F.log1p("top"))
+    else:
+        scored = beside.join(scores.select("term", F.col("total").alias("score")), "term")
+    out = scored.select("doc_id", "sent_index", "term", "score").where(F.col("score") >= threshold)
     if top_n is None:
         return out
     w = Window.partitionBy("doc_id", "sent_index").orderBy(F.desc("score"), "term")

@@ -565,7 +565,7 @@ def top_cooccurrences(spark, sf):
 
 def _lines(spark, sf):
     sents = _sents(spark, sf)
-    return relations.coded(sents, annotate.tokens(sents))
+    return relations.coded(sents)
 
 
 @query()
