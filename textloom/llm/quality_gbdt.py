@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import SPACED_WORD, byte_class, documents_of, prepare, text_chunks, word_hashes, words_of
 
+#: Bytes of texts taken at once: bounds the arrays of a worker.
+CHUNK_BYTES = 1 << 20
 TRAIN_ROWS = 20_000
 TREES, DEPTH, BINS, RATE, RIDGE, LEAF_ROWS = 80, 4, 64, 0.15, 1.0, 10
 THRESHOLD = 0.3
@@ -173,7 +175,7 @@ def fit(df: DataFrame, labels: DataFrame, label: str, allowed: Column, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, buf, off in text_chunks(batch):
+            for i, j, buf, off in text_chunks(batch, CHUNK_BYTES):
                 rows = statistics(buf, off)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)[i:j], "label": batch.column("label")[i:j], "x": pa.array([r.tobytes() for r in rows], pa.binary())})
 
@@ -194,7 +196,7 @@ def score(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, buf, off in text_chunks(batch):
+            for i, j, buf, off in text_chunks(batch, CHUNK_BYTES):
                 s = shared.value.scores(statistics(buf, off))
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)[i:j], "score": pa.array(s), "predicted": pa.array((s >= threshold).astype(np.int32))})
 
@@ -209,7 +211,7 @@ def accepted(df: DataFrame, trees: Trees, text_col: str = "text", threshold: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, buf, off in text_chunks(batch, column=text_col):
+            for i, j, buf, off in text_chunks(batch, CHUNK_BYTES, text_col):
                 yield batch.slice(i, j - i).filter(pa.array(shared.value.scores(statistics(buf, off)) >= threshold))
 
     return df.mapInArrow(run, df.schema)

@@ -38,6 +38,8 @@ NEIGHBOURS, EVIDENCE = 64, 3
 HEAD, BLOCK, QUERIES, FIRST = 768, 64, 128, 24
 #: Terms whose corpus counts travel together, and rows that add up each such range.
 RANGE, SALTS = 1 << 16, 8
+#: Bytes of texts taken at once: bounds the arrays of a worker.
+CHUNK_BYTES = 1 << 20
 THRESHOLD = 0.3
 _U = np.uint64
 
@@ -122,18 +124,21 @@ class Index:
         self.length, self.label, self.ids = length[order], label[order], [ids[i] for i in order.tolist()]
 
     def _tables(self) -> tuple[np.ndarray, ...]:
-        """(example and value of each posting, column of each term or -1, blocks x columns x examples of the long-posted terms, their block maxima); made once a process."""
+        """(value of each posting, column of each term or -1, blocks x columns x examples of the long-posted terms, their block maxima); made once a process."""
         if "_made" not in self.__dict__:
-            example = self.example.astype(np.int64)
-            value = (1 + np.log(self.times)) * np.repeat(self.weight, np.diff(self.start)) / self.length[example]
+            value = np.empty(len(self.example))
+            for i in range(0, len(self.vocabulary), 1 << 16):  # little more than the values themselves at a time
+                at = slice(self.start[i], self.start[min(i + (1 << 16), len(self.vocabulary))])
+                of = np.diff(self.start[i : i + (1 << 16) + 1])
+                value[at] = (1 + np.log(self.times[at])) * np.repeat(self.weight[i : i + (1 << 16)], of) / self.length[self.example[at]]
             blocks = -(-max(len(self.ids), 1) // BLOCK)
             top = np.argsort(-np.diff(self.start), kind="stable")[:HEAD]
-            column, matrix = np.full(len(self.vocabulary), -1), np.zeros((len(top), blocks * BLOCK))
+            column, matrix = np.full(len(self.vocabulary), -1, np.int32), np.zeros((blocks, len(top), BLOCK))
             column[top] = np.arange(len(top))
             for c, t in enumerate(top.tolist()):
-                matrix[c, example[self.start[t] : self.start[t + 1]]] = value[self.start[t] : self.start[t + 1]]
-            cut = matrix.reshape(len(top), blocks, BLOCK)
-            self._made = example, value, column, np.ascontiguousarray(cut.transpose(1, 0, 2)), cut.max(axis=2)
+                e = self.example[self.start[t] : self.start[t + 1]].astype(np.int64)
+                matrix[e // BLOCK, c, e % BLOCK] = value[self.start[t] : self.start[t + 1]]
+            self._made = value, column, matrix, np.ascontiguousarray(matrix.max(axis=2).T)
         return self._made
 
     def __getstate__(self):
@@ -141,7 +146,7 @@ class Index:
 
     def _added(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, out: np.ndarray) -> None:
         """Add what short-posted terms give to the cosines ``out`` (queries x examples)."""
-        example, value = self._tables()[:2]
+        value = self._tables()[0]
         first, size = self.start[term], self.start[term + 1] - self.start[term]
         cut = np.searchsorted(row, np.arange(len(out) + 1))
         for r, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
@@ -149,11 +154,11 @@ class Index:
                 lens = size[i:j]
                 ends = np.cumsum(lens)
                 places = np.repeat(first[i:j] - ends + lens, lens) + np.arange(ends[-1])
-                out[r] = np.bincount(example[places], np.repeat(weight[i:j], lens) * value[places], out.shape[1])
+                out[r] = np.bincount(self.example[places], np.repeat(weight[i:j], lens) * value[places], out.shape[1])
 
     def _batch(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Cosines of ``n`` queries with all examples that can be among their best ``k``, 0 for others, and a bound from below on each query's k-th best."""
-        *_, column, matrix, most = self._tables()
+        _, column, matrix, most = self._tables()
         blocks, at = len(matrix), column[term]
         out = np.zeros((n, blocks * BLOCK))
         self._added(row[at < 0], term[at < 0], weight[at < 0], out)
@@ -233,7 +238,7 @@ def corpus_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
         words = shared.value
         df, cf, lengths = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(LENGTHS, np.int64)
         for batch in batches:
-            for i, j, buf, off in text_chunks(batch):
+            for i, j, buf, off in text_chunks(batch, CHUNK_BYTES):
                 doc, key, times = counted(*terms_of(buf, off))
                 lengths += np.bincount(length_class(np.bincount(doc, times, j - i)), minlength=LENGTHS)
                 term, same = places_of(words, key)
@@ -312,7 +317,7 @@ def fit(df: DataFrame, labels: DataFrame, label: str, allowed: Column, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, buf, off in text_chunks(batch):
+            for i, j, buf, off in text_chunks(batch, CHUNK_BYTES):
                 d, k, n = counted(*terms_of(buf, off))
                 cut = np.searchsorted(d, np.arange(j - i + 1))
                 pack = lambda x, t: pa.array([x[a:b].astype(t).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
@@ -365,7 +370,7 @@ def score(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            for i, j, buf, off in text_chunks(batch):
+            for i, j, buf, off in text_chunks(batch, CHUNK_BYTES):
                 votes, s, evidence = np.zeros(j - i), np.full(j - i, index.constant), [[] for _ in range(j - i)]
                 if index.constant is None:
                     ids, sims = index.nearest(index.vectors(buf, off))
@@ -390,7 +395,7 @@ def accepted(df: DataFrame, index: Index, text_col: str = "text", threshold: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            for i, j, buf, off in text_chunks(batch, column=text_col):
+            for i, j, buf, off in text_chunks(batch, CHUNK_BYTES, text_col):
                 if index.constant is None:
                     s = index.score(index.votes(*index.nearest(index.vectors(buf, off))))
                 else:
