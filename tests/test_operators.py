@@ -160,10 +160,10 @@ def test_cleaning(spark):
 
 
 def test_structure(spark):
-    text = "1. One\nbody\n1.1. Sub\nmore text. And more.\n2. Two\nend"
+    text = "1. Opening\nbody\n1.1. Subject\nmore text. And more.\n2. Two parts\nend"
     docs = spark.createDataFrame([(1, text), (2, "# A\nx\n## B\ny\n# C\n"), (3, "plain")], "doc_id long, text string")
     heads = structure.headings(docs)
-    assert rows(heads, "doc_id", "number", "level", "title") == [(1, "1", "level_0", "One"), (1, "1.1", "level_1", "Sub"), (1, "2", "level_0", "Two"), (2, "1", "level_0", "A"), (2, "1.1", "level_1", "B"), (2, "2", "level_0", "C")]
+    assert rows(heads, "doc_id", "number", "level", "title") == [(1, "1", "level_0", "Opening"), (1, "1.1", "level_1", "Subject"), (1, "2", "level_0", "Two parts"), (2, "1", "level_0", "A"), (2, "1.1", "level_1", "B"), (2, "2", "level_0", "C")]
     assert {r.number: r.parent for r in structure.parents(heads).where("doc_id = 1").collect()} == {"1": None, "1.1": 0, "2": None}
     toc = structure.parse_toc(spark.createDataFrame([(0, "## 3. Name — 12"), (1, "- 3.1. Part — 13"), (2, "noise")], "line int, s string"))
     assert rows(toc, "level", "number", "title") == [("level_0", "3", "Name"), ("level_1", "3.1", "Part")]
@@ -214,3 +214,37 @@ def test_readers_and_writers(spark, small, tmp_path):
     store = files.ArtifactStore(spark, str(tmp_path / "store"))
     store.save_graph("g", small)
     assert store.load_graph("g").edges.count() == 3
+
+
+def test_headings_by_contents(spark):
+    lead = "Contents of the book\n" + "Opening\nBody here\n"
+    text = lead + "x " * 400 + "\nThe Body\nsome text\n1.1. First Part\nmore text about  things\nThe Ending\nlast words on Closing Matters here"
+    docs = spark.createDataFrame([(1, text), (2, "nothing of it"), (3, None)], "doc_id long, text string")
+    toc = spark.createDataFrame(
+        [(1, 0, "level_0", "1", "the body"), (1, 1, "level_1", "1.1", "1.1. First Part"), (1, 2, "level_0", "2", "Nowhere"), (1, 3, "level_1", "2.1", "Closing Matters"), (1, 4, "level_0", "3", "Absent (b*d)"), (2, 0, "level_0", "1", "The Body")],
+        "doc_id long, line int, level string, number string, title string",
+    )
+    got = {r.number: r for r in structure.headings_by_contents(docs, toc).collect()}
+    assert {n: r.position for n, r in got.items()} == {"1": text.index("The Body"), "1.1": text.index("1.1. First"), "2.1": text.index("Closing Matters"), "2": text.index("Closing Matters") - 1}
+    assert {r.doc_id for r in got.values()} == {1}
+    late = toc.where("number <> '1'").union(spark.createDataFrame([(1, 9, "level_0", "1", "The Ending")], toc.schema))
+    moved = {r.number: r.position for r in structure.headings_by_contents(docs, late).collect()}
+    assert moved["1"] == text.index("1.1. First") - 1  # a chapter stands before its first section
+
+
+def test_headings_without_contents(spark):
+    rows = [(1, "numbered", i * 10, "level_0", str(i + 1), f"Some long heading {i + 1}") for i in range(12)]
+    rows += [(1, "numbered", 5000, "level_0", "1", "A chapter that stays 7"), (1, "numbered", 6000, "level_0", "21", "A number beyond twenty"), (1, "numbered", 7000, "level_0", "2", "Short"), (1, "numbered", 8000, "level_1", "1.1", "A section that stays"), (1, "numbered", 9000, "level_0", "1", "A chapter once more")]
+    rows += [(2, "numbered", 5, "level_0", "1", "First 12"), (2, "numbered", 9, "level_0", "1", "Again")]
+    heads = spark.createDataFrame(rows, "doc_id long, kind string, position long, level string, number string, title string")
+    lengths = spark.createDataFrame([(1, 10000), (2, 100)], "doc_id long, n_chars long")
+    got = sorted((r.doc_id, r.position, r.title) for r in structure.without_contents(heads, lengths).collect())
+    assert got == [(1, 5000, "A chapter that stays"), (1, 8000, "A section that stays"), (2, 5, "First")]
+
+
+def test_sentence_paragraphs(spark):
+    docs = spark.createDataFrame([(1, "One here. Two here.\n\n  \n\nThree here.")], "doc_id long, text string")
+    got = [r.paragraph for r in structure.sentence_paragraphs(annotate.sentences(docs), docs).orderBy("sent_index").collect()]
+    assert got == [1, 1, 2]
+    titles = {r.title for r in structure.headings(spark.createDataFrame([(1, "1. Title one\nx\n1. 7. Title two\n2. ab\n3. 4th thing")], "doc_id long, text string")).collect()}
+    assert titles == {"Title one", "Title two"}

@@ -730,6 +730,26 @@ def section_filter(spark, sf):
     return found.where(structure.location_passes("1", "^x")).select("doc_id", "sent_index", "chapter")
 
 
+def _contents(spark, sf):
+    """For each document its first lines as entries of a table of contents."""
+    lines = _docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "title")).where("line between 3 and 6 and title <> ''")
+    chapter = F.col("line") % 2 == 1
+    return lines.select("doc_id", "line", F.when(chapter, "level_0").otherwise("level_1").alias("level"), F.when(chapter, F.col("line").cast("string")).otherwise(F.concat((F.col("line") - 1).cast("string"), F.lit(".1"))).alias("number"), "title")
+
+
+@query()
+def headings_by_contents(spark, sf):
+    return structure.headings_by_contents(_docs(spark, sf), _contents(spark, sf))
+
+
+@query("""-- sents
+SELECT doc_id, sent_index, coalesce(list_max([i FOR b, i IN blocks IF trim(b) <> '' AND contains(b, trim(sentence))]), 1) AS paragraph
+FROM sentences JOIN (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '\\n', chr(10) || chr(10), 'g'), '\\n\\s*\\n') AS blocks FROM documents) USING (doc_id)""")
+def sentence_paragraphs(spark, sf):
+    apart = _docs(spark, sf).select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    return structure.sentence_paragraphs(_sents(spark, sf), apart)
+
+
 @query("""-- hits
 SELECT h.doc_id, h.sent_index AS match_index, slot::INT AS slot, s.sentence FROM (SELECT doc_id, sent_index, unnest([-1, 0, 1]) AS slot FROM hits) h LEFT JOIN sentences s ON s.doc_id = h.doc_id AND s.sent_index = h.sent_index + slot""")
 def window_slots(spark, sf):

@@ -66,7 +66,8 @@ def write_terms(terms: DataFrame, path: str, format: str = "json", fields: list[
     return terms.count()
 
 
-PHRASES = {"cooccurrence": "co-occurs with", "svo": "acts on", "copular": "is", "prep": "relates through"}
+# What a link says.
+PHRASES = {"cooccurrence": "co-occurs with", "svo": "relates to", "copular": "is", "prep": "relates to"}
 
 
 def node_sizes(g: graphs.ConceptGraph, size_by: str = "frequency") -> DataFrame:
