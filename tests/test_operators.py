@@ -248,3 +248,19 @@ def test_sentence_paragraphs(spark):
     assert got == [1, 1, 2]
     titles = {r.title for r in structure.headings(spark.createDataFrame([(1, "1. Title one\nx\n1. 7. Title two\n2. ab\n3. 4th thing")], "doc_id long, text string")).collect()}
     assert titles == {"Title one", "Title two"}
+
+
+def test_suggestions(spark):
+    from textloom.operators import suggest
+
+    docs = spark.createDataFrame([(1, "The dasein is being. We see dasein here. Dasein is more."), (2, "Some dasein again. Nothing else.")], "doc_id long, text string")
+    sents, toks = annotate.annotate(docs)
+    reference = spark.createDataFrame([("the", 100), ("be", 50), ("we", 50), ("see", 20), (".", 500)], "term string, count long")
+    got = {r.term: r for r in suggest.by_method(sents, toks, reference, "ratio", 1).collect()}
+    assert list(got) == ["dasein"] and got["dasein"].examples == ["The dasein is being.", "We see dasein here.", "Dasein is more."] and got["dasein"].lemma == "dasein" and got["dasein"].notes == "Method: ratio"
+    scores = spark.createDataFrame([("dasein", 3.456), ("here", 1.0)], "term string, total double")
+    best = suggest.from_scores(scores, sents, toks, min_score=2.0, max_examples=1).collect()
+    assert [(r.term, r.notes, r.examples) for r in best] == [("dasein", "Score: 3.46", ["The dasein is being."])]
+    assert suggest.by_method(sents, toks, reference, "definitional", 5).where("term = 'dasein'").count() == 1
+    with pytest.raises(ValueError):
+        suggest.by_method(sents, toks, reference, "guess")

@@ -38,7 +38,9 @@ def fixed_spacing(text: Column) -> Column:
 
 def fixed_characters(text: Column) -> Column:
     for digit, letter in (("1", "l"), ("0", "o")):
-        text = F.regexp_replace(text, rf"(?<=[a-z]{{3}}{digit}{{0,20}}){digit}(?={digit}*\b)", letter)
+        # a run of any length: its last digit marks the word, then each digit before a letter so made follows
+        text = F.regexp_replace(text, rf"(?<=[a-z]{{3}}){digit}(?={digit}*\b)", "\u0002")
+        text = F.regexp_replace(text, rf"\G(?!^){digit}|\u0002", letter)
     return F.regexp_replace(F.regexp_replace(text, r"(?U)(\w)[!/\\|](\w)", "$1$2"), r"(?U)(\w)!([A-Z])", "$1$2")
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import annotate, clean, inflect
-from textloom.functions.words import CONTRACTION_FRAGMENTS, STOPWORDS
-from textloom.operators import context, cooccurrence, definitions, frequency, graph, keyness, metrics, relations, rewrite, scorer, search, structure, terms
+from textloom.functions.words import CONTRACTION_FRAGMENTS, COPULAS, PREPOSITIONS, STOPWORDS
+from textloom.operators import context, cooccurrence, definitions, frequency, graph, keyness, metrics, relations, rewrite, scorer, search, structure, suggest, terms
 
 TERM = "the"
 TERMS = ["and", "er", "in", "of", "on", "re", "the", "tion"]
@@ -70,6 +70,18 @@ _PARTS = {
     "content": f"""content AS (SELECT * FROM toks WHERE regexp_matches(pos, '^(NN|VB|JJ)') AND lemma NOT IN ({_quoted(STOPWORDS)}) AND regexp_matches(lemma, '[\\p{{L}}\\p{{N}}]')), freq AS (SELECT lemma AS term, count(*) AS f FROM content GROUP BY 1)""",
     "sig": f"""sig AS (SELECT doc_id, sent_index, term, score FROM (SELECT b.*, 10 * ln(1 + f) / ln(1 + (SELECT max(f) FROM freq)) AS score FROM (SELECT DISTINCT doc_id, sent_index, lemma AS term FROM content WHERE lemma <> '{TERM}' AND (doc_id, sent_index) IN (SELECT (doc_id, sent_index) FROM hits)) b JOIN freq USING (term)) WHERE score >= 0.1)""",
     "side": "side AS (SELECT * FROM (SELECT doc_id, sent_index, sentence, trim(unnest(regexp_split_to_array(lower(sentence), '\\s+')), '.,;:!?\"()[]{}') AS word FROM sentences) WHERE word <> '')",
+    "coded": """coded AS (SELECT doc_id, sent_index, list(token ORDER BY tok_index) AS w, string_agg(code, '' ORDER BY tok_index) AS c FROM (
+  SELECT *, CASE WHEN pos IN ('NN', 'NNS', 'NNP', 'NNPS') THEN 'N' WHEN pos = 'PRP' THEN 'P' WHEN pos = 'JJ' THEN 'J' WHEN pos = 'RB' THEN 'R' WHEN pos = 'MD' THEN 'M' WHEN pos = 'DT' THEN 'D' WHEN pos = 'IN' THEN 'I'
+    WHEN pos LIKE 'VB%' THEN 'V' ELSE '-' END AS code FROM toks) GROUP BY 1, 2),
+  coded_at AS (SELECT doc_id, sent_index, sentence, w, c, unnest(range(len(w))) AS i FROM coded JOIN sentences USING (doc_id, sent_index))""",
+    "svo": """svo AS (SELECT doc_id, sent_index, sentence, w[i + 1] AS subject, w[i + length(regexp_extract(m, '^[NP][RM]*V'))] AS verb, w[i + length(m)] AS object
+  FROM (SELECT *, regexp_extract(substr(c, i + 1), '^[NP][RM]*V[DJRI]*[NP]') AS m FROM coded_at) WHERE m <> '')""",
+    "cop": f"""cop AS (SELECT doc_id, sent_index, sentence, w[i + 1] AS subject, w[j + 1] AS copula, array_to_string(w[j + 2 + skip : j + 1 + skip + take], ' ') AS complement FROM (
+  SELECT *, length(regexp_extract(after, '^([^NJ]{{0,4}})[NJ]', 1)) AS skip, length(regexp_extract(after, '^[^NJ]{{0,4}}([NJ][NJI]{{0,3}})', 1)) AS take FROM (
+    SELECT *, substr(c, j + 2) AS after FROM (SELECT *, list_min([x FOR x IN [i + 1, i + 2, i + 3] IF list_contains([{_quoted(COPULAS)}], lower(w[x + 1]))]) AS j FROM coded_at WHERE contains(lower(w[i + 1]), 'tion')) WHERE j IS NOT NULL)) WHERE take > 0)""",
+    "prp": f"""prp AS (SELECT doc_id, sent_index, sentence, w[i + 1] AS head, w[i + 2] AS preposition, array_to_string(w[i + 3 + skip : i + 2 + skip + take], ' ') AS object FROM (
+  SELECT *, length(regexp_extract(after, '^([^N]{{0,3}})N', 1)) AS skip, length(regexp_extract(after, '^[^N]{{0,3}}(N[NJ]{{0,2}})', 1)) AS take FROM (
+    SELECT *, substr(c, i + 3) AS after FROM coded_at WHERE contains(lower(w[i + 1]), 'tion') AND substr(c, i + 1, 1) = 'N' AND list_contains([{_quoted(PREPOSITIONS)}], lower(w[i + 2])) QUALIFY i = min(i) OVER (PARTITION BY doc_id, sent_index))) WHERE take > 0)""",
     "inc": "inc AS (SELECT doc_id, sent_index, t FROM sentences, (SELECT unnest([" + _quoted(TERMS) + "]) AS t) WHERE contains(lower(sentence), t))",
     "pairs": """pairs AS (SELECT x.t AS t1, y.t AS t2, count(*) AS a FROM inc x JOIN inc y ON x.doc_id = y.doc_id AND x.sent_index = y.sent_index AND x.t < y.t GROUP BY 1, 2),
   each_t AS (SELECT t, count(*) AS k FROM inc GROUP BY 1),
@@ -80,7 +92,7 @@ _PARTS = {
 }
 _NEEDS = {
     "toks": ["sents"], "lem": ["toks"], "cmp": ["lem", "ref"], "tvr": ["lem", "ref"], "neo": ["lem", "ref"], "cap": ["toks"], "defs": ["sents"], "hits": ["sents"], "occ": ["hits"], "kw": ["occ"],
-    "content": ["toks"], "sig": ["content", "hits"], "side": ["sents"], "inc": ["sents"], "pairs": ["inc"], "half": ["side"], "mat": ["half"], "edges": ["mat"],
+    "content": ["toks"], "sig": ["content", "hits"], "side": ["sents"], "inc": ["sents"], "pairs": ["inc"], "half": ["side"], "coded": ["toks"], "svo": ["coded"], "cop": ["coded"], "prp": ["coded"], "mat": ["half"], "edges": ["mat"],
 }
 
 
@@ -316,6 +328,31 @@ def valid_terms(spark, sf):
     return frequency.corpus_frequencies(_toks(spark, sf), use_lemmas=True).where(keyness.is_valid_term(F.col("term"))).select("term")
 
 
+_ENTRIES = """SELECT b.term, b.term AS lemma, m.pos, NULL::VARCHAR AS definition, notes, coalesce(e.examples, []) AS examples FROM best b
+  LEFT JOIN (SELECT term, arg_min(pos, (-c, pos)) AS pos FROM (SELECT lower(token) AS term, pos, count(*) AS c FROM toks GROUP BY 1, 2) GROUP BY 1) m ON m.term = lower(b.term)
+  LEFT JOIN (SELECT term, list(trim(sentence) ORDER BY doc_id, sent_index)[1:3] AS examples FROM sentences JOIN best ON contains(lower(sentence), lower(term)) GROUP BY 1) e ON e.term = b.term"""
+
+
+@query(f"""-- tvr
+SELECT term, round(score, 9) AS score FROM tvr ORDER BY tvr.score DESC, 1 LIMIT 50""")
+def tfidf_top_n(spark, sf):
+    return keyness.top_terms(keyness.tfidf_vs_reference(_toks(spark, sf), _ref(spark, sf)), "score").select("term", _r("score"))
+
+
+@query(f"""-- toks, tvr
+, best AS (SELECT term, 'Method: tfidf' AS notes FROM tvr ORDER BY score DESC, 1 LIMIT 20) {_ENTRIES}""")
+def suggested_by_tfidf(spark, sf):
+    sents = _sents(spark, sf)
+    return suggest.by_method(sents, annotate.tokens(sents), _ref(spark, sf), "tfidf", 20)
+
+
+@query(f"""-- toks, defs
+, best AS (SELECT lower(term) AS term, 'Method: definitional' AS notes FROM defs GROUP BY 1 HAVING count(*) >= 2 ORDER BY 1 LIMIT 20) {_ENTRIES}""")
+def suggested_by_definitions(spark, sf):
+    sents = _sents(spark, sf)
+    return suggest.by_method(sents, annotate.tokens(sents), _ref(spark, sf), "definitional", 20)
+
+
 # --- definitions and the hybrid score
 
 
@@ -568,27 +605,36 @@ def _lines(spark, sf):
     return relations.coded(sents)
 
 
-@query()
+@query("""-- svo
+SELECT doc_id, sent_index, sentence, subject, verb, object FROM svo""")
 def svo_triples(spark, sf):
     return relations.svo(_lines(spark, sf))
 
 
-@query()
+@query("""-- svo
+SELECT doc_id, sent_index, sentence, subject, verb, object FROM svo WHERE contains(lower(subject), 'tion') OR contains(lower(verb), 'tion') OR contains(lower(object), 'tion')""")
 def svo_for_term(spark, sf):
     return relations.svo_for_term(relations.svo(_lines(spark, sf)), "tion")
 
 
-@query()
+@query("""-- cop
+SELECT doc_id, sent_index, sentence, subject, copula, complement FROM cop""")
 def copular_relations(spark, sf):
     return relations.copular(_lines(spark, sf), "tion")
 
 
-@query()
+@query("""-- prp
+SELECT doc_id, sent_index, sentence, head, preposition, object FROM prp""")
 def prep_relations(spark, sf):
     return relations.prepositional(_lines(spark, sf), "tion")
 
 
-@query()
+@query("""-- svo, cop, prp
+SELECT relation_type, source, target, connector, min(role) AS role, count(*) AS n, list(sentence ORDER BY doc_id, sent_index)[1:100] AS evidence FROM (
+  SELECT 'svo' AS relation_type, subject AS source, object AS target, verb AS connector, 'subject' AS role, doc_id, sent_index, sentence FROM svo WHERE contains(lower(subject), 'tion')
+  UNION ALL SELECT 'svo', subject, object, verb, 'object', doc_id, sent_index, sentence FROM svo WHERE contains(lower(object), 'tion')
+  UNION ALL SELECT 'copular', subject, complement, copula, NULL, doc_id, sent_index, sentence FROM cop
+  UNION ALL SELECT 'prep', head, object, preposition, NULL, doc_id, sent_index, sentence FROM prp) GROUP BY 1, 2, 3, 4""")
 def relations_agg(spark, sf):
     return relations.relations(_lines(spark, sf), "tion")
 
@@ -694,7 +740,11 @@ def clean_text(spark, sf):
     return _docs(spark, sf).select("doc_id", clean.clean_text(F.col("text")).alias("text"))
 
 
-@query()
+@query(r"""--
+SELECT doc_id, len(regexp_extract_all(text, '[0-9]+\s+\.\s+[0-9]+')) AS spacing_in_numbers, len(regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}_][!/\\|][\p{L}\p{M}\p{Nd}_]')) AS special_chars_in_words,
+  len(regexp_extract_all(plain, '(?i)\b[a-z]{3,}[bcdfghjklmnpqrstvwxyz]\s+[aeiouy][a-z]{2,}\b')) + len(regexp_extract_all(plain, '(?i)\b[a-z]{3,}[aeiouy]\s+[bcdfghjklmnpqrstvwxyz][a-z]{2,}\b')) AS possible_split_words,
+  len([x FOR x IN l IF regexp_full_match(x, '[0-9]{1,5}')]) AS page_numbers, len([x FOR x IN l IF NOT regexp_full_match(x, '[0-9]{1,5}') AND regexp_full_match(x, '[0-9]+(\s+[0-9]+){3,}')]) AS number_clusters
+FROM (SELECT *, regexp_replace(regexp_replace(text, '[^\x00-\x7F\p{L}\p{M}\p{Nd}]', '#', 'g'), '[^\x00-\x7F]', '_', 'g') AS plain, [regexp_replace(x, '^\s+|\s+$', '', 'g') FOR x IN string_split(text, chr(10))] AS l FROM documents)""")
 def ocr_issues(spark, sf):
     return _docs(spark, sf).select("doc_id", clean.ocr_issues(F.col("text")).alias("i")).select("doc_id", "i.*")
 
@@ -768,7 +818,32 @@ def phrase_matches(spark, sf):
     return rewrite.phrase_matches(_nested(spark, sf), ["of", "the"]).select("doc_id", "start", "tokens")
 
 
-@query()
+def _inflected_sql() -> str:
+    def shorter(n: int, ending: str) -> str:
+        return f"left(lemma, length(lemma) - {n}) || '{ending}'"
+
+    short, y = "regexp_full_match(lemma, '[^aeiou]?[aeiou][^aeiouwyxz]')", "regexp_matches(lemma, '[^aeiou]y$')"
+    twice = lambda ending: f"lemma || right(lemma, 1) || '{ending}'"
+    compare = lambda e, t: f"CASE WHEN lemma LIKE '%e' THEN lemma || '{t}' WHEN lemma LIKE '_%y' THEN {shorter(1, 'i' + e)} WHEN {short} THEN {twice(e)} ELSE lemma || '{e}' END"
+    irregular = []
+    for verb, forms in inflect.VERBS.items():
+        past, participle, present, third = forms.split()
+        irregular += [(verb, "VBD", past), (verb, "VBN", participle), (verb, "VBG", present), (verb, "VBZ", third)]
+    irregular.append(("be", "VBP", "are"))
+    for adjective, forms in inflect.ADJECTIVES.items():
+        irregular += [(adjective, t, f) for t, f in zip(("JJR", "JJS"), forms.split(), strict=True)]
+    irregular += [(noun, "NNS", plural) for noun, plural in inflect.PLURALS.items()]
+    table = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in irregular)
+    return f"""-- toks
+SELECT lemma, tag, coalesce(irregular, CASE
+  WHEN tag IN ('NNS', 'VBZ') THEN CASE WHEN regexp_matches(lemma, '(s|x|z|ch|sh)$') THEN lemma || 'es' WHEN {y} THEN {shorter(1, 'ies')} ELSE lemma || 's' END
+  WHEN tag IN ('VBD', 'VBN') THEN CASE WHEN lemma LIKE '%e' THEN lemma || 'd' WHEN {y} THEN {shorter(1, 'ied')} WHEN {short} THEN {twice('ed')} ELSE lemma || 'ed' END
+  WHEN tag = 'VBG' THEN CASE WHEN lemma LIKE '%e' AND lemma NOT LIKE '%ee' THEN {shorter(1, 'ing')} WHEN {short} THEN {twice('ing')} ELSE lemma || 'ing' END
+  WHEN tag = 'JJR' THEN {compare('er', 'r')} WHEN tag = 'JJS' THEN {compare('est', 'st')} ELSE lemma END) AS form
+FROM (SELECT DISTINCT lemma FROM toks) CROSS JOIN (SELECT unnest([{_quoted(inflect.TAGS)}]) AS tag) LEFT JOIN (VALUES {table}) AS t(lemma, tag, irregular) USING (lemma, tag)"""
+
+
+@query(_inflected_sql())
 def inflected_forms(spark, sf):
     lemmas = frequency.vocabulary(_toks(spark, sf), use_lemmas=True).select(F.col("term").alias("lemma"))
     return inflect.all_forms(lemmas)
