@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
@@ -26,18 +28,22 @@ def degree_centrality(g: ConceptGraph) -> DataFrame:
 
 def _both_ways(g: ConceptGraph) -> DataFrame:
     e = g.edges.where("src <> dst").select("src", "dst", F.coalesce("weight", F.lit(1.0)).alias("weight"))
-    return e if g.directed else e.union(e.select("dst", "src", "weight"))
+    ways = F.array(F.struct("src", "dst", "weight"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    return e if g.directed else e.select(F.inline(ways))  # the edges are made once
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that driver and executors share, and read again: computed once, and lineage ends here."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="textloom-"))
-    return df.checkpoint()
+        folder = "file://" + tempfile.mkdtemp(prefix="textloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def pagerank(g: ConceptGraph, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 100) -> DataFrame:
@@ -160,8 +166,8 @@ def centrality(g: ConceptGraph, method: str = "betweenness") -> DataFrame:
 
 def components(g: ConceptGraph) -> DataFrame:
     """(id, component): the smallest id that links reach, whatever their direction; labels halve their distance to it each round."""
-    e = g.edges.where("src <> dst").select("src", "dst")
-    both = _cut(e.union(e.select("dst", "src")).distinct())
+    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    both = _cut(g.edges.where("src <> dst").select(F.inline(ways)).distinct())
     labels = _cut(g.nodes.select("id", F.col("id").alias("component")))
     while True:
         low = both.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("low"))

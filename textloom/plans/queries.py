@@ -652,6 +652,16 @@ def _graph(spark, sf):
     return graph.from_matrix(cooccurrence.matrix(_sents(spark, sf), WORDS), 50.0)
 
 
+@query("""-- edges
+, RECURSIVE_EDGES AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+one AS (SELECT min(b) AS id FROM RECURSIVE_EDGES WHERE a = 'and' AND b = 'was'),
+two AS (SELECT x.b AS id FROM RECURSIVE_EDGES x JOIN RECURSIVE_EDGES y ON x.b = y.a WHERE x.a = 'and' AND y.b = 'was' ORDER BY 1 LIMIT 1)
+SELECT 0 AS place, 'and' AS id UNION ALL SELECT 1, id FROM two WHERE (SELECT id FROM one) IS NULL UNION ALL SELECT CASE WHEN (SELECT id FROM one) IS NULL THEN 2 ELSE 1 END, 'was'""")
+def shortest_path(spark, sf):
+    path = metrics.shortest_path(_graph(spark, sf), "and", "was")
+    return spark.createDataFrame(list(enumerate(path)), "place int, id string")
+
+
 @query("""-- edges
 SELECT src, dst, weight FROM edges""")
 def graph_edges(spark, sf):
