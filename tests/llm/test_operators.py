@@ -754,3 +754,26 @@ def test_pipeline_stages(spark, tmp_path):
             assert sorted(r.doc_id for r in new.collect()) == [ids[i] for i, (_, c) in want.items() if i == c]
         kept = new
     assert corpus_pipeline.run(spark, sf).count() == kept.count()
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and repeated rows, ids of several texts, clashing columns, no labels, empty tables."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, n_chars long, spans string, score double, node long"
+    texts = [f"{w} is a calm line of words number {i} that someone wrote down here" for i, w in enumerate("one two three four five six seven eight".split())]
+    rows = [(i, t, len(t), "x", 0.5, 1) for i, t in enumerate(texts)] + [(1, texts[1], 5, "y", None, None)] * 3 + [(2, "zz top", 6, None, 0.1, 2), (None, texts[0], 5, "n", 0.2, 3), (None, None, None, None, None, None), (9, None, None, "a", 0.1, 1), (10, "", 0, "a", 0.1, 1), (11, texts[0], 5, "c", 0.5, 1)]
+    for name, kept in (("full", rows), ("none", [])):
+        sf = tmp_path / name
+        docs = spark.createDataFrame(kept, schema)
+        docs.write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(8)] + [(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame([(1, "a passage of no more than a few words"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        out = corpus_pipeline.near_duplicates(spark, docs, str(sf))
+        assert out.columns == docs.columns
+        if kept:
+            got = sorted((str(r.doc_id), str(r.text), str(r.spans)) for r in out.collect())
+            assert ("1", texts[1], "x") in got or ("1", texts[1], "y") in got
+            assert sum(x[0] == "1" for x in got) == sum(x[0] == "2" for x in got) == 1 and sum(x[0] == "None" for x in got) == 2
+            assert not any(x[0] == "11" for x in got) and {"9", "10"} <= {x[0] for x in got}
+        assert corpus_pipeline.run(spark, str(sf)).count() == (out.count() if kept else 0)

@@ -35,7 +35,7 @@ FLOOR = 0.05
 PREFIXES = (4, 6)
 NEIGHBOURS, EVIDENCE = 64, 3
 #: Terms with block maxima, examples in a block, queries taken at once, blocks completed first: speed only.
-HEAD, BLOCK, QUERIES, FIRST = 768, 64, 128, 24
+HEAD, BLOCK, QUERIES, FIRST = 768, 64, 64, 24
 #: Terms whose corpus counts travel together, and rows that add up each such range.
 RANGE, SALTS = 1 << 16, 8
 #: Bytes of texts taken at once: bounds the arrays of a worker.
@@ -100,44 +100,51 @@ class Index:
 
     def post(self, doc: np.ndarray, term: np.ndarray, times: np.ndarray, label: np.ndarray, ids: list) -> None:
         """Take the rows (doc, term, times), sorted by doc, as examples; those whose strongest long-posted term is the same stand together."""
-        n = len(ids)
-        value = (1 + np.log(times)) * self.weight[term]  # an array of every posting; the next ones only after it is gone
-        length = np.maximum(np.sqrt(np.bincount(doc, value**2, n)), 1e-300)
-        common = np.bincount(term, minlength=len(self.vocabulary))[term] >= n / 64
-        first, strongest = np.searchsorted(doc[common], np.arange(n)), np.zeros(n, np.int64)
-        held = np.diff(np.append(first, common.sum())) > 0
-        if held.any():
+        n, size = len(ids), len(self.vocabulary)
+        most = np.bincount(term, minlength=size)
+        length, strongest = np.zeros(n), np.zeros(n, np.int64)
+        ends = np.searchsorted(doc, np.arange(n + 1))
+        for i in range(0, n, 512):  # a slice of examples at a time
+            at = slice(ends[i], ends[min(i + 512, n)])
+            d, t = doc[at].astype(np.int64), term[at]
+            value = (1 + np.log(times[at])) * self.weight[t]
+            length += np.bincount(d, value**2, n)
+            common = np.flatnonzero(most[t] >= n / 64)
             best = np.zeros(n)
-            best[held] = np.maximum.reduceat(value[common], first[held])
-            top = np.flatnonzero(value[common] == best[doc[common]])[::-1]
-            strongest[doc[common][top]] = term[common][top]
-        del value, common
+            np.maximum.at(best, d[common], value[common])
+            top = common[value[common] == best[d[common]]][::-1]
+            strongest[d[top]] = t[top]
+        length = np.maximum(np.sqrt(length), 1e-300)
         order = np.lexsort((np.arange(n), strongest))
+        if size >= 1 << 26 or n >= 1 << 18 or int(times.max(initial=0)) >= 1 << 20:
+            raise ValueError("more terms, examples or occurrences in a text than an index holds")
         place = np.empty(n, _U)
         place[order] = np.arange(n, dtype=_U)
-        small = lambda x, most: x.astype(np.uint16 if most < 1 << 16 else np.uint32)
-        both = term.astype(_U) << _U(32) | place[doc]
-        at = np.argsort(both)
-        self.example, self.times = small(both[at] & _U((1 << 32) - 1), n), small(times[at], int(times.max(initial=0)))
-        del both, at
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(self.vocabulary)))])
+        both = term.astype(_U)  # term, example, times in one number, sorted where it stands
+        both <<= _U(18)
+        both |= place[doc]
+        both <<= _U(20)
+        both |= times.astype(_U)
+        both.sort()
+        small = lambda x, top: x.astype(np.uint16 if top < 1 << 16 else np.uint32)
+        self.times = small(both & _U((1 << 20) - 1), int(times.max(initial=0)))
+        both >>= _U(20)
+        self.example = small(both & _U((1 << 18) - 1), n)
+        self.start = np.concatenate([[0], np.cumsum(most)])
         self.length, self.label, self.ids = length[order], label[order], [ids[i] for i in order.tolist()]
 
     def _tables(self) -> tuple[np.ndarray, ...]:
-        """(value of each posting, column of each term or -1, blocks x columns x examples of the long-posted terms, their block maxima); made once a process."""
+        """(value of each tf, column of each term or -1, blocks x columns x examples of the long-posted terms, their block maxima); made once a process."""
         if "_made" not in self.__dict__:
-            value = np.empty(len(self.example))
-            for i in range(0, len(self.vocabulary), 1 << 16):  # little more than the values themselves at a time
-                at = slice(self.start[i], self.start[min(i + (1 << 16), len(self.vocabulary))])
-                of = np.diff(self.start[i : i + (1 << 16) + 1])
-                value[at] = (1 + np.log(self.times[at])) * np.repeat(self.weight[i : i + (1 << 16)], of) / self.length[self.example[at]]
+            value = 1 + np.log(np.maximum(np.arange(int(self.times.max(initial=0)) + 1), 1))
             blocks = -(-max(len(self.ids), 1) // BLOCK)
             top = np.argsort(-np.diff(self.start), kind="stable")[:HEAD]
             column, matrix = np.full(len(self.vocabulary), -1, np.int32), np.zeros((blocks, len(top), BLOCK))
             column[top] = np.arange(len(top))
             for c, t in enumerate(top.tolist()):
-                e = self.example[self.start[t] : self.start[t + 1]].astype(np.int64)
-                matrix[e // BLOCK, c, e % BLOCK] = value[self.start[t] : self.start[t + 1]]
+                at = slice(self.start[t], self.start[t + 1])
+                e = self.example[at].astype(np.int64)
+                matrix[e // BLOCK, c, e % BLOCK] = value[self.times[at]] * self.weight[t] / self.length[e]
             self._made = value, column, matrix, np.ascontiguousarray(matrix.max(axis=2).T)
         return self._made
 
@@ -154,14 +161,15 @@ class Index:
                 lens = size[i:j]
                 ends = np.cumsum(lens)
                 places = np.repeat(first[i:j] - ends + lens, lens) + np.arange(ends[-1])
-                out[r] = np.bincount(self.example[places], np.repeat(weight[i:j], lens) * value[places], out.shape[1])
+                out[r] = np.bincount(self.example[places], np.repeat(weight[i:j], lens) * value[self.times[places]], out.shape[1])
+        out[:, : len(self.ids)] /= self.length
 
     def _batch(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Cosines of ``n`` queries with all examples that can be among their best ``k``, 0 for others, and a bound from below on each query's k-th best."""
         _, column, matrix, most = self._tables()
         blocks, at = len(matrix), column[term]
         out = np.zeros((n, blocks * BLOCK))
-        self._added(row[at < 0], term[at < 0], weight[at < 0], out)
+        self._added(row[at < 0], term[at < 0], (weight * self.weight[term])[at < 0], out)
         head = np.zeros((n, matrix.shape[1]))
         head[row[at >= 0], at[at >= 0]] = weight[at >= 0]
         cut = out.reshape(n, blocks, BLOCK)
@@ -333,7 +341,9 @@ def fit(df: DataFrame, labels: DataFrame, label: str, allowed: Column, id_col: s
     if not n1 or not n0:
         dropped(packed)
         return nothing
-    vocabulary = np.unique(np.concatenate([r[2] for r in rows]))
+    vocabulary = np.empty(0, _U)
+    for i in range(0, len(rows), 512):
+        vocabulary = np.unique(np.concatenate([vocabulary, *(r[2] for r in rows[i : i + 512])]))
     term, times = np.concatenate([np.searchsorted(vocabulary, r[2]).astype(np.int32) for r in rows]), np.concatenate([r[3] for r in rows])
     del rows
     index = Index(vocabulary, term_weights(*corpus_counts(docs, vocabulary)))
@@ -344,12 +354,14 @@ def fit(df: DataFrame, labels: DataFrame, label: str, allowed: Column, id_col: s
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, place = shared.value
-        for batch in batches:
-            raw, n = batch.column("terms").to_pylist(), batch.num_rows
-            key, times = np.frombuffer(b"".join(raw), _U), np.frombuffer(b"".join(batch.column("times").to_pylist()), np.uint32)
-            own = np.array([place[x] for x in batch.column("doc_id").to_pylist()], np.int64)
-            v = index.votes(*index.nearest(index.known(np.repeat(np.arange(n), [len(x) // 8 for x in raw]), key, times, n), without=own))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "label": batch.column("label"), "v": pa.array(v)})
+        for whole in batches:
+            for i in range(0, whole.num_rows, QUERIES):
+                batch = whole.slice(i, QUERIES)
+                raw, n = batch.column("terms").to_pylist(), batch.num_rows
+                key, times = np.frombuffer(b"".join(raw), _U), np.frombuffer(b"".join(batch.column("times").to_pylist()), np.uint32)
+                own = np.array([place[x] for x in batch.column("doc_id").to_pylist()], np.int64)
+                v = index.votes(*index.nearest(index.known(np.repeat(np.arange(n), [len(x) // 8 for x in raw]), key, times, n), without=own))
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "label": batch.column("label"), "v": pa.array(v)})
 
     width = spark.sparkContext.defaultParallelism
     own = packed.repartition(width, "doc_id").mapInArrow(voted, f"doc_id {kind}, label int, v double").toArrow().sort_by([("doc_id", "ascending"), ("v", "ascending")])
