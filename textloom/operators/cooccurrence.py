@@ -83,17 +83,47 @@ def exact_counts(sents: DataFrame, terms: list[str]) -> DataFrame:
     return pairs.where("t1 < t2").groupBy("t1", "t2").agg(F.count("*").cast("double").alias("score"))
 
 
-def matrix(sents: DataFrame, terms: list[str], method: str = "count") -> DataFrame:
-    """(t1, t2, score): every ordered pair of the listed terms; zero where they never meet, and on the diagonal."""
+def near_counts(sents: DataFrame, terms: list[str], n_sentences: int) -> DataFrame:
+    """(t1, t2, score) for t1 < t2: occurrences of the word t2 within ``n_sentences`` of sentences that contain t1, once for each such sentence near it."""
+    listed = sorted({t.lower() for t in terms})
+    hit = F.array_compact(F.array(*[F.when(contains(t), F.lit(t)) for t in listed]))
+    around = sents.select("doc_id", "sent_index", F.explode(hit).alias("t1")).withColumn("sent_index", F.explode(F.sequence(F.col("sent_index") - n_sentences, F.col("sent_index") + n_sentences)))
+    times = around.groupBy("doc_id", "sent_index", "t1").agg(F.count("*").alias("times"))
+    words = sents.select("doc_id", "sent_index", F.explode(F.filter(side_words(F.col("sentence")), lambda w: w.isin(listed))).alias("t2"))
+    said = words.groupBy("doc_id", "sent_index", "t2").agg(F.count("*").alias("k"))
+    return times.join(said, ["doc_id", "sent_index"]).where("t1 < t2").groupBy("t1", "t2").agg(F.sum(F.col("times") * F.col("k")).cast("double").alias("score"))
+
+
+def cells(sents: DataFrame, terms: list[str], method: str = "count", window: str = "sentence", n_sentences: int | None = None) -> DataFrame:
+    """(t1, t2, score) for t1 < t2: the pairs of listed terms that meet.  ``window``: sentence, or n_sentences (counts only)."""
+    if window not in ("sentence", "n_sentences") or (window == "n_sentences") != (n_sentences is not None):
+        raise ValueError("window is sentence, or n_sentences with their number")
     ways = {"count": lambda: exact_counts(sents, terms), "pmi": lambda: pmi(pair_counts(sents, terms)), "llr": lambda: log_likelihood(pair_counts(sents, terms))}
     if method not in ways:
         raise ValueError(f"unknown method {method!r}: one of {', '.join(ways)}")
-    half = ways[method]()
-    both = half.union(half.select("t2", "t1", "score"))
+    return near_counts(sents, terms, n_sentences) if method == "count" and window == "n_sentences" else ways[method]()
+
+
+def matrix(sents: DataFrame, terms: list[str], method: str = "count", window: str = "sentence", n_sentences: int | None = None) -> DataFrame:
+    """(t1, t2, score): every ordered pair of the listed terms; zero where they never meet, and on the diagonal."""
+    half = cells(sents, terms, method, window, n_sentences)
+    both = half.select(F.inline(F.array(F.struct("t1", "t2", "score"), F.struct(F.col("t2").alias("t1"), F.col("t1").alias("t2"), "score"))))
     names = sorted({t.lower() if method == "count" else t for t in terms})
-    full = sents.sparkSession.createDataFrame([(x, y) for x in names for y in names], "t1 string, t2 string")  # the list's own pairs
+    listed = sents.sparkSession.createDataFrame([(names,)], "names array<string>")
+    full = listed.select(F.explode("names").alias("t1"), "names").select("t1", F.explode("names").alias("t2"))  # the list's own pairs
     return full.join(both, ["t1", "t2"], "left").select("t1", "t2", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def top_associations(sents: DataFrame, term: str, terms: list[str], n: int = 10, method: str = "pmi") -> DataFrame:
+    """(word, score): the listed terms that are most strongly tied to ``term`` by pmi or llr."""
+    if method not in ("pmi", "llr"):
+        raise ValueError(f"unknown method {method!r}: pmi or llr")
+    t = term.lower()
+    counts = pair_counts(sents, [t, *(x.lower() for x in terms)]).where((F.col("t1") == t) | (F.col("t2") == t))
+    scored = pmi(counts) if method == "pmi" else log_likelihood(counts)
+    named = scored.select(F.when(F.col("t1") == t, F.col("t2")).otherwise(F.col("t1")).alias("word"), "score")
+    return named.orderBy(F.desc("score"), "word").limit(n)
+
+
 def top_cooccurrences(counts: DataFrame, n: int = 10) -> DataFrame:
     return counts.orderBy(F.desc("n"), "word").limit(n)

@@ -597,6 +597,20 @@ def top_cooccurrences(spark, sf):
     return cooccurrence.top_cooccurrences(cooccurrence.in_sentence(_sents(spark, sf), TERM))
 
 
+@query(f"""-- pairs
+SELECT CASE WHEN t1 = '{TERM}' THEN t2 ELSE t1 END AS word, round(log2((a / n) / ((n1 / n) * (n2 / n))), 9) AS score FROM counted WHERE '{TERM}' IN (t1, t2) ORDER BY log2((a / n) / ((n1 / n) * (n2 / n))) DESC, 1 LIMIT 5""")
+def top_by_pmi(spark, sf):
+    return cooccurrence.top_associations(_sents(spark, sf), TERM, TERMS, 5).select("word", _r("score"))
+
+
+@query("""-- side
+, w AS (SELECT unnest([""" + _quoted(WORDS) + """]) AS t),
+times AS (SELECT s.doc_id, s.sent_index, w.t AS t1, count(*) AS k FROM sentences s JOIN sentences x ON x.doc_id = s.doc_id AND abs(x.sent_index - s.sent_index) <= 1 JOIN w ON contains(lower(x.sentence), w.t) GROUP BY 1, 2, 3)
+SELECT t1, side.word AS t2, sum(k)::DOUBLE AS score FROM times JOIN side USING (doc_id, sent_index) WHERE side.word IN (SELECT t FROM w) AND t1 < side.word GROUP BY 1, 2""")
+def cooccur_cells_near(spark, sf):
+    return cooccurrence.cells(_sents(spark, sf), WORDS, "count", "n_sentences", 1)
+
+
 # --- relations and contexts
 
 
