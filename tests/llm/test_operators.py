@@ -418,6 +418,8 @@ def test_bpe(spark):
     texts = EDGE + ["don't  stop\n\n now 123", "<|endoftext|>"] + texts_of(2, 20)
     encoded = bpe_codec.encode_texts(frame(spark, texts), ranks, pattern)
     plain = bpe_codec.load_encoding(ranks, pattern)
+    both = lambda df: sorted(map(str, df.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()))
+    assert both(bpe_codec.round_trip(frame(spark, texts), ranks, pattern)) == both(bpe_codec.decode_ids(encoded, ranks, pattern))
     for r in bpe_codec.decode_ids(encoded, ranks, pattern).collect():
         ids = plain.encode_ordinary(texts[r.doc_id] or "")
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()

@@ -96,3 +96,23 @@ def decode_ids(encoded: DataFrame, rank_path: str, pattern: str, keep_bytes: boo
     kind = encoded.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", decoded binary" * keep_bytes
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, schema)
+
+
+def round_trip(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text: encoded, then decoded from its ids, as ``decode_ids(encode_texts(...))`` in one
+    pass of one worker a task; ids leave no task."""
+    prepare(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = load_encoding(rank_path, pattern)
+        for batch in batches:
+            n, ids, raw = [], [], []
+            for text in batch.column(1).to_pylist():
+                x = encode(encoding, text)
+                n.append(len(x))
+                ids.append(hashlib.sha256(x.tobytes()).hexdigest())
+                raw.append(hashlib.sha256(encoding.decode_bytes(x.tolist())).hexdigest())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(raw, pa.string())})
+
+    docs = documents_of(df, id_col, text_col)
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -367,13 +367,13 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def without_spans(text: str, spans: list) -> str:
-    """``text`` without the bytes of ``spans``."""
-    raw, out, at = text.encode(), [], 0
-    for s in spans:
-        out.append(raw[at : s["byte_start"]])
-        at = s["byte_end"]
-    return b"".join([*out, raw[at:]]).decode()
+def text_without(text: Column, spans: Column) -> Column:
+    """``text`` without the bytes of ``spans``, which stand in order; an expression, so that no second Python worker is needed."""
+    raw = F.encode(text, "UTF-8")
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit(b"").alias("out"))
+    step = lambda x, s: F.struct(s["byte_end"].alias("at"), F.concat(x["out"], F.substring(raw, (x["at"] + 1).cast("int"), (s["byte_start"] - x["at"]).cast("int"))).alias("out"))
+    rest = lambda x: F.concat(x["out"], F.substring(raw, (x["at"] + 1).cast("int"), F.octet_length(raw)))
+    return F.decode(F.aggregate(spans, first, step, rest), "UTF-8")
 
 
 def cleaned_documents(df: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -383,17 +383,8 @@ def cleaned_documents(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     others = [c for c in df.columns if c not in ("doc_id", "text")]
     packed = df.select("doc_id", "text", F.struct(F.lit(0), *[F.col(f"`{c}`") for c in others]).alias("others"))
     found = find_leaks(packed, benchmark, keep=("text", "others"))
-    clean = found.where(~is_contaminated(hit_words(F.col("spans")), F.col("n_words"))).select("doc_id", "text", "others", "spans")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, text = batch.column(3).to_pylist(), batch.column(1)
-            if any(spans):
-                text = pa.array([without_spans(t, s) if s else t for t, s in zip(text.to_pylist(), spans, strict=True)], text.type)
-            yield pa.RecordBatch.from_arrays([batch.column(0), text, batch.column(2), pa.array([bool(s) for s in spans])], ["doc_id", "text", "others", "shorter"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in packed.schema}
-    out = clean.mapInArrow(cut, ", ".join([f"`{c}` {k}" for c, k in kinds.items()]) + ", shorter boolean")
+    clean = found.where(~is_contaminated(hit_words(F.col("spans")), F.col("n_words")))
+    out = clean.select("doc_id", F.when(F.size("spans") > 0, text_without(F.col("text"), F.col("spans"))).otherwise(F.col("text")).alias("text"), "others", (F.size("spans") > 0).alias("shorter"))
     whole = lambda c: F.col("others")[c]
     anew = lambda c: F.when(F.col("shorter"), F.char_length("text").cast(df.schema[c].dataType)).otherwise(whole(c)) if c == "n_chars" else whole(c)
     return out.select(*[F.col(c) if c in ("doc_id", "text") else anew(c).alias(c) for c in df.columns])

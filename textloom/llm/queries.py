@@ -110,8 +110,7 @@ def op6_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = tokenizer_file("byte_bpe_50k.tiktoken"), split_pattern()
-    encoded = bpe_codec.encode_texts(table(spark, sf_dir, "documents"), ranks, pattern)
-    return bpe_codec.decode_ids(encoded, ranks, pattern, keep_bytes=False)
+    return bpe_codec.round_trip(table(spark, sf_dir, "documents"), ranks, pattern)
 
 
 def fold(divisor: int) -> Column:
