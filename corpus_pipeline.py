@@ -47,7 +47,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of ids and of the decoded bytes; a null text is an empty one, repeated rows are encoded each."""
     ranks, pattern = tokenizer_file("byte_bpe_50k.tiktoken"), split_pattern()
-    return bpe_codec.decode_ids(bpe_codec.encode_texts(docs, ranks, pattern), ranks, pattern, keep_bytes=False)
+    return bpe_codec.round_trip(docs, ranks, pattern)
 
 
 STAGES = [

@@ -264,3 +264,18 @@ def test_suggestions(spark):
     assert suggest.by_method(sents, toks, reference, "definitional", 5).where("term = 'dasein'").count() == 1
     with pytest.raises(ValueError):
         suggest.by_method(sents, toks, reference, "guess")
+
+
+def test_gexf_has_every_attribute(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+
+    nodes = spark.createDataFrame([("a", "A & B", 3, "NN"), ("b", "b", None, None)], "id string, label string, frequency int, pos string")
+    edges = spark.createDataFrame([("a", "b", 0.5, "svo", ["one", "two"])], "src string, dst string, weight double, relation_type string, evidence array<string>")
+    root = ET.parse(sinks.write_gexf(graph.ConceptGraph(nodes, edges, True), str(tmp_path / "g.gexf"))).getroot()
+    at = {"g": "http://gexf.net/1.2draft"}
+    names = {(c.get("class"), x.get("title")): x.get("id") for c in root.iterfind(".//g:attributes", at) for x in c}
+    assert {("node", "frequency"), ("node", "pos"), ("edge", "evidence"), ("edge", "relation_type")} <= set(names)
+    values = {n.get("id"): {v.get("for"): v.get("value") for v in n.iterfind(".//g:attvalue", at)} for n in root.iterfind(".//g:node", at)}
+    assert values["a"][names["node", "frequency"]] == "3" and values["b"] == {}
+    edge = root.find(".//g:edge", at)
+    assert edge.get("weight") == "0.5" and [v.get("value") for v in edge.iterfind(".//g:attvalue", at) if v.get("for") == names["edge", "evidence"]] == ["one | two"]

@@ -134,11 +134,22 @@ def write_graphml(g: graphs.ConceptGraph, path: str) -> str:
 
 
 def write_gexf(g: graphs.ConceptGraph, path: str) -> str:
+    """Every attribute of nodes and edges is declared and written; lists are joined."""
     nodes, edges = _collected(g)
-    body = "".join(f"<node id={quoteattr(n['id'])} label={quoteattr(n.get('label', n['id']))}/>\n" for n in nodes)
-    links = "".join(f'<edge id="{i}" source={quoteattr(e["src"])} target={quoteattr(e["dst"])} weight="{e.get("weight", 1.0)}" label={quoteattr(e.get("relation_type", ""))}/>\n' for i, e in enumerate(edges))
+    own = {"node": ("id", "label"), "edge": ("src", "dst", "weight")}
+
+    def parts(kind: str, rows: list[dict], mark: str) -> tuple[str, list[str]]:
+        kinds = {k: "double" if isinstance(v, float) else "long" if isinstance(v, int) else "string" for r in rows for k, v in r.items() if k not in own[kind]}
+        number = {k: i for i, k in enumerate(sorted(kinds))}
+        declared = "".join(f'<attribute id="{i}" title={quoteattr(k)} type="{kinds[k]}"/>\n' for k, i in number.items())
+        values = ["".join(f'<attvalue for="{number[k]}" value={quoteattr(_flat(v, mark))}/>' for k, v in sorted(r.items()) if k in number) for r in rows]
+        return f'<attributes class="{kind}">\n{declared}</attributes>\n' * bool(kinds), [f"<attvalues>{v}</attvalues>" * bool(v) for v in values]
+
+    (node_kinds, node_values), (edge_kinds, edge_values) = parts("node", nodes, ", "), parts("edge", edges, " | ")
+    body = "".join(f"<node id={quoteattr(n['id'])} label={quoteattr(n.get('label', n['id']))}>{v}</node>\n" for n, v in zip(nodes, node_values, strict=True))
+    links = "".join(f'<edge id="{i}" source={quoteattr(e["src"])} target={quoteattr(e["dst"])} weight="{e.get("weight", 1.0)}" label={quoteattr(e.get("relation_type", ""))}>{v}</edge>\n' for i, (e, v) in enumerate(zip(edges, edge_values, strict=True)))
     way = "directed" if g.directed else "undirected"
-    return _text(path, f'<?xml version="1.0" encoding="utf-8"?>\n<gexf xmlns="http://gexf.net/1.2draft" version="1.2">\n<graph defaultedgetype="{way}" mode="static">\n<nodes>\n{body}</nodes>\n<edges>\n{links}</edges>\n</graph>\n</gexf>\n')
+    return _text(path, f'<?xml version="1.0" encoding="utf-8"?>\n<gexf xmlns="http://gexf.net/1.2draft" version="1.2">\n<graph defaultedgetype="{way}" mode="static">\n{node_kinds}{edge_kinds}<nodes>\n{body}</nodes>\n<edges>\n{links}</edges>\n</graph>\n</gexf>\n')
 
 
 def write_dot(g: graphs.ConceptGraph, path: str, layout: str = "dot") -> str:
