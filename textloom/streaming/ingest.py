@@ -22,7 +22,7 @@ def stream_tokens(docs: DataFrame) -> DataFrame:
     """(doc_id, ts, sent_index, tok_index, token, pos, lemma) of a stream (or table) of documents."""
     sents = docs.select("doc_id", "ts", F.posexplode(annotate.sentences_of(F.col("text"))).alias("sent_index", "sentence")).where(F.trim("sentence") != "")
     split = sents.select("doc_id", "ts", "sent_index", F.posexplode(annotate.words_of(F.col("sentence"))).alias("tok_index", "token"))
-    return split.withColumn("pos", F.expr(annotate.POS_SQL)).withColumn("lemma", F.expr(annotate.LEMMA_SQL))
+    return split.withColumn("pos", annotate.tag_of(F.col("token"), F.col("tok_index"))).withColumn("lemma", annotate.lemma_of(F.col("token"), F.col("pos")))
 
 
 def running_counts(tokens: DataFrame, use_lemmas: bool = True) -> DataFrame:
