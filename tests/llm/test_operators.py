@@ -7,11 +7,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe_codec, components, fm_decontam, media_mpeg, ngram_join, quality_gbdt, queries, token_counts, tool_chat, toxicity_knn, url_cascade, xent_lm
-from textloom.llm.common import ALNUM_WORD, words_of
+from textloom.llm.common import ALNUM_WORD, beginning_hashes, text_bytes, word_hashes, words_of
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Extra columns whose names clash with those the operators make.
@@ -733,6 +734,43 @@ def test_block_max_neighbours_are_exact(head, first, monkeypatch):
             assert np.allclose(x[i[: len(best)]], x[best], atol=1e-9) and len(set(i[: len(best)])) == len(best)
 
 
+def test_beginnings_are_hashed_with_their_words():
+    """Each byte of a text is taken once; the hashes are those of the words and of their first bytes."""
+    buf, off = text_bytes(pa.array([*EDGE, "Longer words wörter x"] * 2))
+    starts, ends, _ = words_of(buf, off, ALNUM_WORD)
+    whole, *beginnings = beginning_hashes(buf, starts, ends, (1, 4, 6))
+    assert (whole == word_hashes(buf, starts, ends)).all()
+    for k, h in zip((1, 4, 6), beginnings, strict=True):
+        s = starts[ends - starts > k]
+        assert len(s) and (h == word_hashes(buf, s, s + k)).all()
+    assert [len(x) for x in beginning_hashes(buf, starts[:0], ends[:0], (4,))] == [0, 0]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3000])
+def test_terms_are_found_by_their_leading_bits(n):
+    rng = np.random.default_rng(n)
+    top = np.uint64(64 - toxicity_knn.KEY_BITS)
+    for shift in (0, 30):  # spread, and so close together that one value of the leading bits has them all
+        words = np.unique((rng.integers(0, 1 << 63, n, np.uint64) << np.uint64(1) >> top) >> np.uint64(shift))
+        key = np.concatenate([words, words + np.uint64(1), rng.integers(0, 1 << 52, 500, np.uint64), np.array([0, (1 << 52) - 1], np.uint64)])
+        place, there = toxicity_knn.places_of(words, toxicity_knn.buckets_of(words), key)
+        assert (there == np.isin(key, words)).all() and (words[place[there]] == key[there]).all()
+
+
+def test_index_holds_frequencies_of_repeated_terms_only():
+    times = np.array([[1, 0, 3], [1, 1, 0], [0, 2, 1], [1, 0, 0]])
+    doc, term = np.nonzero(times)
+    index = toxicity_knn.Index(np.arange(3, dtype=np.uint64), np.array([1.0, 2.0, 3.0]))
+    index.post(doc, term, times[doc, term], np.zeros(4), list(range(4)))
+    assert sorted(index.times) == [2, 3] and len(index.example) == 5 and len(index.example_again) == 2
+    got = np.zeros((4, 3), int)
+    for t in range(3):
+        got[index.example[index.start[t] : index.start[t + 1]], t] = 1
+        at = slice(index.start_again[t], index.start_again[t + 1])
+        got[index.example_again[at], t] = index.times[at]
+    assert (got == times[index.ids]).all()
+
+
 def test_words_stop_at_documents():
     buf, off = np.frombuffer(b"ab cdef", np.uint8), np.array([0, 5, 5, 7])
     assert [x.tolist() for x in words_of(buf, off, ALNUM_WORD)] == [[0, 3, 5], [2, 5, 7], [0, 0, 2]]

@@ -28,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ALNUM_WORD, documents_of, dropped, prepare, stored, text_chunks, word_hashes, words_of
+from textloom.llm.common import ALNUM_WORD, beginning_hashes, documents_of, dropped, prepare, stored, text_chunks, words_of
 
 EXAMPLES = 6_000
 FLOOR = 0.05
 PREFIXES = (4, 6)
 NEIGHBOURS, EVIDENCE = 64, 3
 #: Terms with block maxima, examples in a block, queries taken at once, blocks completed first: speed only.
-HEAD, BLOCK, QUERIES, FIRST = 768, 64, 64, 24
+HEAD, BLOCK, QUERIES, FIRST = 768, 64, 128, 24
+#: Postings that are copied as a whole from this length on: speed only.
+SLICE = 128
 #: Terms whose corpus counts travel together, and rows that add up each such range.
 RANGE, SALTS = 1 << 16, 8
 #: Bytes of texts taken at once: bounds the arrays of a worker.
@@ -47,11 +49,11 @@ _U = np.uint64
 def terms_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, term hash) of every word and of its beginnings, unordered."""
     starts, ends, doc = words_of(buf, off, ALNUM_WORD)
-    hashes, docs = [word_hashes(buf, starts, ends)], [doc]
-    for k in PREFIXES:
+    whole, *beginnings = beginning_hashes(buf, starts, ends, PREFIXES)
+    hashes, docs = [whole], [doc]
+    for k, h in zip(PREFIXES, beginnings, strict=True):
         longer = ends - starts > k
-        s = starts[longer]
-        hashes.append(word_hashes(buf, s, s + k) ^ (_U(k) << _U(32)))
+        hashes.append(h ^ (_U(k) << _U(32)))
         docs.append(doc[longer])
     return np.concatenate(docs), np.concatenate(hashes)
 
@@ -74,12 +76,15 @@ def counted(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 @dataclass
 class Index:
-    """Postings of every term: examples and term frequencies, from ``start[t]`` to ``start[t + 1]`` for term ``t``."""
+    """Postings of every term ``t``: the examples that have it once, from ``start[t]`` to ``start[t + 1]``, and those that have it again, with its
+    frequency there, from ``start_again[t]`` to ``start_again[t + 1]``."""
 
     vocabulary: np.ndarray  # sorted term hashes
     weight: np.ndarray  # of each term
     start: np.ndarray = None
     example: np.ndarray = None
+    start_again: np.ndarray = None
+    example_again: np.ndarray = None
     times: np.ndarray = None
     length: np.ndarray = None  # of each example's vector
     label: np.ndarray = None
@@ -92,7 +97,9 @@ class Index:
         return self.known(*counted(*terms_of(buf, off)), len(off) - 1)
 
     def known(self, doc: np.ndarray, key: np.ndarray, times: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        term, same = places_of(self.vocabulary, key)
+        if "_buckets" not in self.__dict__:
+            self._buckets = buckets_of(self.vocabulary)
+        term, same = places_of(self.vocabulary, self._buckets, key)
         doc, term, times = doc[same], term[same], times[same]
         weight = (1 + np.log(times)) * self.weight[term]
         size = np.maximum(np.sqrt(np.bincount(doc, weight * weight, n)), 1e-300)
@@ -127,41 +134,52 @@ class Index:
         both |= times.astype(_U)
         both.sort()
         small = lambda x, top: x.astype(np.uint16 if top < 1 << 16 else np.uint32)
-        self.times = small(both & _U((1 << 20) - 1), int(times.max(initial=0)))
+        times = small(both & _U((1 << 20) - 1), int(times.max(initial=0)))
         both >>= _U(20)
-        self.example = small(both & _U((1 << 18) - 1), n)
-        self.start = np.concatenate([[0], np.cumsum(most)])
+        both &= _U((1 << 18) - 1)
+        example = small(both, n)
+        del both
+        once, start = times == 1, np.concatenate([[0], np.cumsum(most)])
+        self.start = np.concatenate([[0], np.cumsum(once, dtype=np.int32)])[start]
+        self.start_again = start - self.start
+        self.example, self.example_again, self.times = example[once], example[~once], times[~once]
         self.length, self.label, self.ids = length[order], label[order], [ids[i] for i in order.tolist()]
 
     def _tables(self) -> tuple[np.ndarray, ...]:
         """(value of each tf, column of each term or -1, blocks x columns x examples of the long-posted terms, their block maxima); made once a process."""
         if "_made" not in self.__dict__:
-            value = 1 + np.log(np.maximum(np.arange(int(self.times.max(initial=0)) + 1), 1))
+            value = 1 + np.log(np.maximum(np.arange(int(self.times.max(initial=1)) + 1), 1))
             blocks = -(-max(len(self.ids), 1) // BLOCK)
-            top = np.argsort(-np.diff(self.start), kind="stable")[:HEAD]
+            top = np.argsort(-np.diff(self.start + self.start_again), kind="stable")[:HEAD]
             column, matrix = np.full(len(self.vocabulary), -1, np.int32), np.zeros((blocks, len(top), BLOCK))
             column[top] = np.arange(len(top))
             for c, t in enumerate(top.tolist()):
-                at = slice(self.start[t], self.start[t + 1])
-                e = self.example[at].astype(np.int64)
-                matrix[e // BLOCK, c, e % BLOCK] = value[self.times[at]] * self.weight[t] / self.length[e]
+                at, again = slice(self.start[t], self.start[t + 1]), slice(self.start_again[t], self.start_again[t + 1])
+                for e, v in ((self.example[at].astype(np.int64), value[1]), (self.example_again[again].astype(np.int64), value[self.times[again]])):
+                    matrix[e // BLOCK, c, e % BLOCK] = v * self.weight[t] / self.length[e]
             self._made = value, column, matrix, np.ascontiguousarray(matrix.max(axis=2).T)
         return self._made
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_made"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_made", "_buckets")}
 
     def _added(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, out: np.ndarray) -> None:
         """Add what short-posted terms give to the cosines ``out`` (queries x examples)."""
         value = self._tables()[0]
-        first, size = self.start[term], self.start[term + 1] - self.start[term]
-        cut = np.searchsorted(row, np.arange(len(out) + 1))
-        for r, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
-            if i < j:
-                lens = size[i:j]
-                ends = np.cumsum(lens)
-                places = np.repeat(first[i:j] - ends + lens, lens) + np.arange(ends[-1])
-                out[r] = np.bincount(self.example[places], np.repeat(weight[i:j], lens) * value[self.times[places]], out.shape[1])
+        once, again = self.start[term + 1] - self.start[term], self.start_again[term + 1] - self.start_again[term]
+        cut = np.searchsorted(row, np.arange(len(out) + 1)).tolist()
+        for i, j, to in zip(cut[:-1], cut[1:], out, strict=True):
+            if i == j:
+                continue
+            t, w, many = term[i:j], weight[i:j], once[i:j] >= SLICE
+            long, few = t[many], t[~many]
+            found = [self.example[a:b] for a, b in zip(self.start[long].tolist(), self.start[long + 1].tolist(), strict=True)]
+            found.append(self.example.take(runs(self.start[few], once[i:j][~many])))
+            at = runs(self.start_again[t], again[i:j])
+            found.append(self.example_again.take(at))
+            given = np.repeat(np.concatenate([w[many], w[~many], w]), np.concatenate([once[i:j][many], once[i:j][~many], again[i:j]]))
+            given[len(given) - len(at) :] *= value.take(self.times.take(at))
+            to[:] = np.bincount(np.concatenate(found), given, len(to))
         out[:, : len(self.ids)] /= self.length
 
     def _batch(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,12 +237,35 @@ class Index:
         return 1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * votes)))
 
 
-def places_of(vocabulary: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, ``size`` of each."""
+    ends = np.cumsum(size)
+    out = np.repeat(first - ends + size, size)
+    out += np.arange(len(out))
+    return out
+
+
+def buckets_of(vocabulary: np.ndarray) -> np.ndarray:
+    """Where the terms of each value of the leading bits start; there are more values than terms, which are hashes of ``KEY_BITS``."""
+    bits = len(vocabulary).bit_length() + 1
+    sizes = np.bincount((vocabulary >> _U(KEY_BITS - bits)).astype(np.int64), minlength=1 << bits)
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+
+def places_of(vocabulary: np.ndarray, buckets: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place in the vocabulary, whether it is there) of each term."""
     if not len(vocabulary):
         return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-    term = np.minimum(np.searchsorted(vocabulary, key), len(vocabulary) - 1)
-    return term, vocabulary[term] == key
+    bucket = (key >> _U(KEY_BITS + 1 - (len(buckets) - 1).bit_length())).astype(np.int64)
+    term = np.minimum(buckets.take(bucket), len(vocabulary) - 1).astype(np.int64)
+    same = vocabulary.take(term) == key
+    left = np.flatnonzero(~same)
+    while len(left):
+        left = left[term[left] + 1 < buckets[bucket[left] + 1]]
+        term[left] += 1
+        same[left] = vocabulary[term[left]] == key[left]
+        left = left[~same[left]]
+    return term, same
 
 
 def length_class(n: np.ndarray) -> np.ndarray:
@@ -244,12 +285,13 @@ def corpus_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
+        buckets = buckets_of(words)
         df, cf, lengths = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(LENGTHS, np.int64)
         for batch in batches:
             for i, j, buf, off in text_chunks(batch, CHUNK_BYTES):
                 doc, key, times = counted(*terms_of(buf, off))
                 lengths += np.bincount(length_class(np.bincount(doc, times, j - i)), minlength=LENGTHS)
-                term, same = places_of(words, key)
+                term, same = places_of(words, buckets, key)
                 term, times = term[same], times[same]
                 df += np.bincount(term, minlength=len(words))
                 np.add.at(cf, term, times) if len(term) < len(words) // 8 else np.add(cf, np.bincount(term, times, len(words)).astype(np.int64), out=cf)
