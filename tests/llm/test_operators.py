@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe_codec, components, fm_decontam, media_mpeg, ngram_join, quality_gbdt, queries, token_counts, tool_chat, toxicity_knn, url_cascade, xent_lm
-from textloom.llm.common import ALNUM_WORD, beginning_hashes, text_bytes, word_hashes, words_of
+from textloom.llm.common import ALNUM_WORD, beginning_hashes, released, text_bytes, word_hashes, words_of
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Extra columns whose names clash with those the operators make.
@@ -757,6 +757,31 @@ def test_terms_are_found_by_their_leading_bits(n):
         assert (there == np.isin(key, words)).all() and (words[place[there]] == key[there]).all()
 
 
+def test_corpus_counts_reach_the_driver_once(spark, monkeypatch):
+    """However many tasks count, the driver gets one row for each range of the vocabulary."""
+    monkeypatch.setattr(toxicity_knn, "RANGE", 16)
+    texts = texts_of(31, 120, 90, 40)
+    docs = frame(spark, texts).repartition(12)
+    bags = [plain_terms(t) for t in texts]
+    buf, off = text_bytes(pa.array(texts))
+    vocabulary = np.unique(toxicity_knn.counted(*toxicity_knn.terms_of(buf, off))[1])
+    kind, rows = type(docs), []
+    monkeypatch.setattr(kind, "toArrow", lambda self, f=kind.toArrow: (rows.append(f(self)), rows[-1])[1])
+    df, cf, lengths = toxicity_knn.corpus_counts(docs, vocabulary)
+    assert [t.num_rows for t in rows] == [-(-len(vocabulary) // 16) + 1]
+    assert sorted(df.tolist()) == sorted(Counter(w for b in bags for w in b).values())
+    assert sorted(cf.tolist()) == sorted(sum(bags, Counter()).values()) and lengths.sum() == len(texts)
+
+
+def test_memory_goes_back_to_the_system():
+    held = lambda: int(re.search(r"Pss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+    before, blocks = held(), [bytearray(5000) for _ in range(20_000)]
+    kept = blocks[::1000]  # in the way of a heap that only shrinks from its end
+    del blocks
+    released()
+    assert held() - before < 30 and len(kept) == 20
+
+
 def test_index_holds_frequencies_of_repeated_terms_only():
     times = np.array([[1, 0, 3], [1, 1, 0], [0, 2, 1], [1, 0, 0]])
     doc, term = np.nonzero(times)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ALNUM_WORD, beginning_hashes, documents_of, dropped, prepare, stored, text_chunks, words_of
+from textloom.llm.common import ALNUM_WORD, beginning_hashes, documents_of, dropped, prepare, released, stored, text_chunks, words_of
 
 EXAMPLES = 6_000
 FLOOR = 0.05
@@ -38,8 +38,8 @@ NEIGHBOURS, EVIDENCE = 64, 3
 HEAD, BLOCK, QUERIES, FIRST = 768, 64, 128, 24
 #: Postings that are copied as a whole from this length on: speed only.
 SLICE = 128
-#: Terms whose corpus counts travel together, and rows that add up each such range.
-RANGE, SALTS = 1 << 16, 8
+#: Terms whose corpus counts travel together, and tasks that add up each such range before one task does.
+RANGE, SALTS = 1 << 14, 8
 #: Bytes of texts taken at once: bounds the arrays of a worker.
 CHUNK_BYTES = 1 << 20
 THRESHOLD = 0.3
@@ -279,7 +279,8 @@ LENGTHS = 256
 def corpus_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(documents, occurrences) of each term of the vocabulary and the number of documents of each length class, over all rows of ``docs`` (text).
 
-    A task adds up the counts of its texts; ranges of the vocabulary are summed apart, each by ``SALTS`` tasks at most."""
+    A task adds up the counts of its texts; ranges of the vocabulary are summed apart, each by ``SALTS`` tasks at most and then by one, so the driver gets
+    each count once."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)  # terms of the bounded sample
 
@@ -317,16 +318,17 @@ def corpus_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
 
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = docs.select("text").mapInArrow(count, "range int, salt int, df binary, cf binary")
-    rows = packed.repartition(width, "range", "salt").mapInArrow(add, "range int, df binary, cf binary").toArrow()  # SALTS rows a range
+    sums = packed.repartition(width, "range", "salt").mapInArrow(add, "range int, df binary, cf binary")
+    rows = sums.repartition(width, "range").mapInArrow(add, "range int, df binary, cf binary").toArrow()  # a row a range
     shared.destroy()
     df, cf, lengths = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64), np.zeros(LENGTHS, np.int64)
-    for r, a, b in zip(*(rows.column(c).to_pylist() for c in ("range", "df", "cf")), strict=True):
-        a, b = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
-        if r < 0:
+    for r, a, b in zip(*(rows.column(c) for c in ("range", "df", "cf")), strict=True):
+        a, b = np.frombuffer(a.as_buffer(), np.int64), np.frombuffer(b.as_buffer(), np.int64)
+        if r.as_py() < 0:
             lengths += a
         else:
-            df[r * RANGE : r * RANGE + len(a)] += a
-            cf[r * RANGE : r * RANGE + len(b)] += b
+            df[r.as_py() * RANGE :][: len(a)] = a
+            cf[r.as_py() * RANGE :][: len(b)] = b
     return df, cf, lengths
 
 
@@ -376,21 +378,30 @@ def fit(df: DataFrame, labels: DataFrame, label: str, allowed: Column, id_col: s
     chosen = F.broadcast(pick(0).unionByName(pick(1)))  # at most 2 * examples short rows
     one_text = docs.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     packed = stored(one_text.mapInArrow(run, f"doc_id {kind}, label int, terms binary, times binary"), "toxic-examples")
-    # at most 2 * examples rows, one partition at a time
-    rows = sorted(((r.doc_id, float(r.label), np.frombuffer(r.terms, _U), np.frombuffer(r.times, np.uint32)) for r in packed.toLocalIterator()), key=lambda r: r[0])
-    ids, y, sizes_of = [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([len(r[2]) for r in rows])
+    # at most 2 * examples rows
+    heads = sorted(packed.select("doc_id", "label", (F.length("terms") / 8).cast("long").alias("size")).collect(), key=lambda r: r.doc_id)
+    ids, y, sizes_of = [r.doc_id for r in heads], np.array([float(r.label) for r in heads]), np.array([r.size for r in heads], np.int64)
     n1, n0 = float((y == 1).sum()), float((y == 0).sum())
     if not n1 or not n0:
         dropped(packed)
         return nothing
+    # their terms go straight to their places, one partition at a time
+    starts = dict(zip(ids, (np.cumsum(sizes_of) - sizes_of).tolist(), strict=True))
+    key, times = np.empty(int(sizes_of.sum()), _U), np.empty(int(sizes_of.sum()), np.uint32)
+    for r in packed.select("doc_id", "terms", "times").toLocalIterator():
+        at = slice(starts[r.doc_id], starts[r.doc_id] + len(r.terms) // 8)
+        key[at], times[at] = np.frombuffer(r.terms, _U), np.frombuffer(r.times, np.uint32)
     vocabulary = np.empty(0, _U)
-    for i in range(0, len(rows), 512):
-        vocabulary = np.unique(np.concatenate([vocabulary, *(r[2] for r in rows[i : i + 512])]))
-    term, times = np.concatenate([np.searchsorted(vocabulary, r[2]).astype(np.int32) for r in rows]), np.concatenate([r[3] for r in rows])
-    del rows
+    for i in range(0, len(key), 1 << 18):
+        vocabulary = np.unique(np.concatenate([vocabulary, key[i : i + (1 << 18)]]))
+    term = np.empty(len(key), np.int32)
+    for i in range(0, len(key), 1 << 18):
+        term[i : i + (1 << 18)] = np.searchsorted(vocabulary, key[i : i + (1 << 18)])
+    del key, starts, heads
     index = Index(vocabulary, term_weights(*corpus_counts(docs, vocabulary)))
     index.post(np.repeat(np.arange(len(ids), dtype=np.int32), sizes_of), term, times, y, ids)
     del term, times
+    released()
     place = {x: i for i, x in enumerate(index.ids)}
     shared = spark.sparkContext.broadcast((index, place))
 
@@ -411,6 +422,7 @@ def fit(df: DataFrame, labels: DataFrame, label: str, allowed: Column, id_col: s
     shared.destroy()
     y = own.column("label").to_numpy().astype(float)
     index.curve = _curve(own.column("v").to_numpy(), y, np.where(y == 1, sizes[1] / n1, sizes[0] / n0))
+    released()
     return index
 
 
