@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 
 from textloom.functions.words import STOPWORDS
 from textloom.operators import definitions, keyness, search
+from textloom.operators.frequency import occurrences
 
 WEIGHTS = {"ratio": 1.0, "tfidf": 1.0, "neologism": 0.5, "definitional": 0.3, "capitalized": 0.2}
 
 
-def signals(sents: DataFrame, toks: DataFrame, reference: DataFrame, dictionary: DataFrame, use_lemmas: bool = True, min_author_freq: int = 3) -> DataFrame:
-    """(term, n, ratio, tfidf, neologism, definitional, capitalized), raw, of every frequent term."""
+def signals(sents: DataFrame, toks: DataFrame, reference: DataFrame, dictionary: DataFrame, use_lemmas: bool = True, min_author_freq: int = 3, counts: DataFrame | None = None) -> DataFrame:
+    """(term, n, ratio, tfidf, neologism, definitional, capitalized), raw, of every frequent term; ``toks``: tokens or types; ``counts``: definition counts made before."""
     author = keyness.author_terms(toks, use_lemmas).where(F.col("n") >= min_author_freq)
-    size = F.broadcast(toks.agg(F.count("*").alias("a")).join(reference.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("r"))))  # one row
+    size = F.broadcast(toks.agg(occurrences(toks).alias("a")).join(reference.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("r"))))  # one row
     known = dictionary.select(F.lower("term").alias("key")).distinct().withColumn("known", F.lit(True))
-    defined = definitions.definition_counts(definitions.definitional_contexts(sents)).select("term", F.col("n").cast("double").alias("definitional"))
+    counts = definition_counts(sents) if counts is None else counts
+    defined = counts.select("term", F.col("n").cast("double").alias("definitional"))
     capital = keyness.capitalized_in(sents, min_author_freq).select("term", F.lit(1.0).alias("capitalized"))
     joined = author.join(reference.select("term", "count"), "term", "left").join(known, F.lower("term") == F.col("key"), "left").join(defined, "term", "left").join(capital, "term", "left").join(size)
     there, absent = F.coalesce(F.nullif("count", F.lit(0)), F.lit(0.5)), F.coalesce("count", F.lit(0)) == 0
@@ -45,14 +47,19 @@ def scored(found: DataFrame, definitional_max: DataFrame, weights: dict[str, flo
     return named.withColumn("total", sum(F.col(k) for k in parts))
 
 
-def definition_maximum(sents: DataFrame) -> DataFrame:
-    return definitions.definition_counts(definitions.definitional_contexts(sents)).agg(F.coalesce(F.max("n"), F.lit(1)).cast("double").alias("top"))
+def definition_counts(sents: DataFrame) -> DataFrame:
+    return definitions.definition_counts(definitions.definitional_contexts(sents))
+
+
+def definition_maximum(counts: DataFrame) -> DataFrame:
+    return counts.agg(F.coalesce(F.max("n"), F.lit(1)).cast("double").alias("top"))
 
 
 def score_all(sents: DataFrame, toks: DataFrame, reference: DataFrame, dictionary: DataFrame, use_lemmas: bool = True, min_author_freq: int = 3, min_score: float = 0.0, top_n: int | None = None, weights: dict[str, float] | None = None) -> DataFrame:
-    # a row a frequent term; read for the maxima and for the scores
-    found = signals(sents, toks, reference, dictionary, use_lemmas, min_author_freq).persist(StorageLevel.MEMORY_AND_DISK)
-    out = scored(found, definition_maximum(sents), weights)
+    # a row a defined term and a row a frequent term; read for the maxima and for the scores
+    counts = definition_counts(sents).persist(StorageLevel.MEMORY_AND_DISK)
+    found = signals(sents, toks, reference, dictionary, use_lemmas, min_author_freq, counts).persist(StorageLevel.MEMORY_AND_DISK)
+    out = scored(found, definition_maximum(counts), weights)
     out = out.where(keyness.is_valid_term(F.col("term")) & (F.col("total") >= min_score))
     return out if top_n is None else out.orderBy(F.desc("total"), "term").limit(top_n)
 
@@ -66,13 +73,10 @@ def high_confidence(scores: DataFrame, min_signals: int = 3, min_score: float =
 
 def modal_pos(toks: DataFrame) -> DataFrame:
     """(term, pos): each lower-cased token's most frequent tag, of equals the first by name."""
-    counts = toks.groupBy(F.lower("token").alias("term"), "pos").agg(F.count("*").alias("c"))
+    counts = toks.groupBy(F.lower("token").alias("term"), "pos").agg(occurrences(toks).alias("c"))
     return counts.groupBy("term").agg(F.min_by("pos", F.struct(-F.col("c"), F.col("pos"))).alias("pos"))
 
 
 def example_sentences(sents: DataFrame, terms: list[str], max_examples: int = 3) -> DataFrame:
     """(term, doc_id, sent_index, sentence): each term's first sentences."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("term").orderBy("doc_id", "sent_index")
-    return search.find_any(sents, terms).withColumn("k", F.row_number().over(w)).where(F.col("k") <= max_examples).drop("k")
+    return search.first_hits(search.find_any(sents, terms), max_examples).drop("k")

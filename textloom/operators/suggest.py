@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators import definitions, keyness, scorer
+from textloom.operators import definitions, keyness, scorer, search
 from textloom.operators.terms import shaped
 
 METHODS = ("ratio", "tfidf", "neologism", "definitional")
@@ -17,8 +17,7 @@ def examples_of(sents: DataFrame, chosen: DataFrame, max_examples: int = 3) -> D
     ``chosen`` (term) is a top-n list, so it is broadcast; each sentence is tested for its terms once."""
     low = F.lower("sentence")
     hits = sents.join(F.broadcast(chosen.select("term")), low.contains(F.lower("term")))  # n terms at most
-    w = Window.partitionBy("term").orderBy("doc_id", "sent_index")
-    first = hits.withColumn("k", F.row_number().over(w)).where(F.col("k") <= max_examples)
+    first = search.first_hits(hits, max_examples)
     return first.groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.trim("sentence").alias("s")))), lambda x: x["s"]).alias("examples"))
 
 
